@@ -12,17 +12,18 @@ from __future__ import annotations
 
 import html
 import random
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("plain", "html", "markdown", "wiki", "latex")
-PAGES = 2500
+PAGES = 4000
 
 # The forms of marks, tried in this order.
 _FORMS = {
@@ -48,7 +49,7 @@ _FORMS = {
     "template": r"\{\{\{?|\}\}\}?",
     "wikitable": r"^[ \t]*(?:\{\|[^\n]*|\|\}|\|-+[ \t]*$|\|\+[^\n]*)",
     "macro": r"\{/?(?:code|color|noformat|quote|panel|info|note|warning|tip|expand|anchor|toc|section|column)(?::[^}\n]*)?\}",
-    "braces": r"\{[^{}\n]*\}",
+    "braces": r"\{[^{}\n\\]*\}",
     "image": r"!\[[^\]\n]*\](?:\([^)\n]*\)?|\[[^\]\n]*\]?)?",
     "definition": r"^[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S+",
     "footnote": r"\[\^[^\]\n]+\]:?",
@@ -67,22 +68,72 @@ _FORMS = {
     "redirect": r"^\#(?:REDIRECT|REDIRECCIÓN|REDIRECIONAMENTO)\b",
     "hashes": r"^[ ]{0,3}(?:>[ \t]*)?\#{1,6}[ \t]+(?=\S)",
     "equals": r"^[ \t]*(?P<eq>={1,6})[ \t]*[^=\s][^=\n]*?(?P=eq)[ \t]*$",
-    "heading": r"^(?:>[ \t]*)?(?:h[1-6]|bq)\.[ \t]+(?=\S)",
+    "heading": r"^(?:h[1-6]|bq)\.[ \t]+(?=\S)",
     "bullet": r"^[ \t]*(?:>[ \t]*)?[-*+][ \t]+(?:\[[ xX]\][ \t])?(?=\S)",
     "number": r"^[ \t]*(?:>[ \t]*)?\d{1,3}[.)][ \t]+(?=\S)",
     "quotation": r"^[ \t]*>+[ \t]?(?=\S)",
     "separator": r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$",
     "row": r"^[ \t]*(?:\|{1,2}|!{1,2})(?=[^\n]*[|!])",
-    "pipe": r"[ ]\|[ ]",
+    "pipe": r"(?<=[ ])\|(?=[ ])",
     "ampersand": r"(?<=\s)&=?(?=\s)",
 }
-_ORDER = [k for k in _FORMS if k not in ("separator", "wikitable", "rule")]
-MARK = regex.compile("|".join(f"(?P<{k}>{_FORMS[k]})" for k in ["separator", "wikitable", "rule", *_ORDER]), regex.M)
+#: Where a mark may start: at a special character, or after the blanks of a line's start.
+_MAY_START = re.compile(r"^[ \t]*(?=[-+*>#|!:=\dhb_`~\[{])|[<&\\$\[{`*]|(?<=[ ])\|(?=[ ])|\}\}|''|(?<!\w)_|~~|!\[|(?<!\w)(?:[A-Za-z]:\\|https?://|ftp://)", re.M)
+_AT_LINE = ("separator", "wikitable", "rule", "definition", "fence", "redirect", "hashes", "equals", "heading", "bullet", "number", "quotation", "row")
+_BY_FIRST = {
+    "<": ("comment", "doctype", "autolink", "tag"),
+    "&": ("entity", "entitycut", "ampersand"),
+    "\\": ("texrow", "share", "texenv", "texmath", "texaccent", "texcommand", "texescape"),
+    "$": ("display", "inline", "dollar"),
+    "[": ("wikilink", "footnote", "link", "reference", "external", "bracket"),
+    "{": ("template", "macro", "braces"),
+    "}": ("template",),
+    "`": ("codespan",),
+    "*": ("star",),
+    "_": ("switch", "underline"),
+    "~": ("strike",),
+    "'": ("quotes",),
+    "!": ("image",),
+    "|": ("pipe",),
+}
+#: A line starts at its very start, or behind a quotation's "> ".
+_START = r"(?:^|(?<=\n> )|(?<=\A> ))"
+_alternation = lambda kinds: re.compile("|".join(f"(?P<{k}>{_FORMS[k].replace('^', _START, 1) if _FORMS[k].startswith('^') else _FORMS[k]})" for k in kinds), re.M).match
+_LINE_MATCH = _alternation(_AT_LINE)
+_MATCH = {c: _alternation(kinds) for c, kinds in _BY_FIRST.items()}
+_OTHER_MATCH = _alternation(("path", "url"))
+
+
+def _scan(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, form) of the marks, leftmost first; at one place a line's form goes before the others, these in the order of ``_FORMS``."""
+    past = 0
+    for c in _MAY_START.finditer(text):
+        at = c.start()
+        if at < past:
+            continue
+        m = None
+        if at == 0 or text[at - 1] == "\n":
+            m = _LINE_MATCH(text, at)
+            if m is None and c.end() > at:  # the blanks of a line's start: what stands behind them
+                at = c.end() if text[at] in " \t" else at
+                if at >= len(text):
+                    continue
+        if m is None:
+            m = _MATCH.get(text[at], _OTHER_MATCH)(text, at)
+        while m is not None and m.end() > m.start():
+            past, kind = m.end(), "equals" if m.lastgroup == "eq" else m.lastgroup
+            yield m.start(), past, kind
+            m = _LINE_MATCH(text, past) if kind == "quotation" else None
+
+
 #: A text without any of this has no marks; in the form of Java's and Python's expressions alike.
 MAYBE = r"(?m)[<&\\$\[{`*~|]|''|=={1,}|__|(?<![\p{L}\p{N}_])_[\p{L}\p{N}]|^[ \t]*(?:[-+>#!]|\d{1,3}[.)][ \t]|h[1-6]\.|bq\.|=)"
 
 _NAMES = frozenset(n.rstrip(";") for n in html.entities.html5)
 _VOID = frozenset(["br", "hr", "img", "input", "meta", "link", "wbr", "col"])
+_TAG_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:]*)").match
+_MATHS = re.compile(r"[\\^{}]|_\w|^[A-Za-z]$").search
+_TIGHT = re.compile(r"[|!]{1,2}[^ |!-]").match
 _CODEY = frozenset(["pre", "code", "script", "style"])
 
 
@@ -100,16 +151,13 @@ def _shape(s: str, most: int = 3) -> str:
 
 def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
     """(start, end, form, features) of the marks of a text, in order."""
-    out, stack = [], []
-    for m in MARK.finditer(text):
-        kind, a, b = m.lastgroup, m.start(), m.end()
-        if kind == "eq":
-            kind = "equals"
-        s = m[0]
+    out, stack, line_at = [], [], (0, -1, "", ())
+    for a, b, kind in _scan(text):
+        s = text[a:b]
         before, after = text[a - 1 : a], text[b : b + 1]
         fit = [kind]
         if kind == "tag":
-            name = regex.match(r"</?([A-Za-z][A-Za-z0-9:]*)", s)[1].lower()
+            name = _TAG_NAME(s)[1].lower()
             fit.append("tag:closed" if s.endswith(">") else "tag:cut=" if "=" in s or s.startswith("</") else "tag:cut")
             if s.startswith("</"):
                 if name in stack:
@@ -123,13 +171,15 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         elif kind in ("inline", "dollar"):
             body = s[1:-1]
             fit.append("money:" + ("edge" if body[:1].isspace() or body[-1:].isspace() or not body else "tight"))
-            fit.append("money:" + ("math" if regex.search(r"[\\^{}]|_\w|^[A-Za-z]$", body) else "text"))
+            fit.append("money:" + ("math" if _MATHS(body) else "text"))
             fit.append("money:" + ("9" if before.isdigit() else "-"))
         elif kind in ("row", "pipe", "separator", "wikitable"):
-            c, d = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-            line = text[c : d if d >= 0 else len(text)].strip()
-            double = "||" in line or "!!" in line
-            fit.append(f"{kind}:{s.strip()[:1]}:{'double' if double else 'single'}:{'shut' if line.endswith('|') else 'open'}:{'tight' if regex.match(r'[|!]{1,2}[^ |!-]', line) else 'wide'}")
+            if not line_at[0] <= a < line_at[1]:
+                c, d = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+                line = text[c : d if d >= 0 else len(text)].strip()
+                line_at = (c, d if d >= 0 else len(text), f"{'double' if '||' in line or '!!' in line else 'single'}:{'shut' if line.endswith('|') else 'open'}:{'tight' if _TIGHT(line) else 'wide'}", d)
+            d = line_at[3]
+            fit.append(f"{kind}:{s.strip()[:1]}:{line_at[2]}")
             fit.append("table:" + (stack[-1] if stack and stack[-1].startswith("table") else "none"))
             if kind == "separator":
                 stack[:] = [x for x in stack if not x.startswith("table")] + ["table-md"]
@@ -147,7 +197,7 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
             tag = "fence" + s.strip().lstrip("> ")[:1]
             stack.remove(tag) if tag in stack else stack.append(tag)
         elif kind == "texenv":
-            name = "tex-" + regex.sub(r"^\\(?:begin|end)\{?|\}$", "", s)
+            name = "tex-" + re.sub(r"^\\(?:begin|end)\{?|\}$", "", s)
             if s.startswith("\\begin"):
                 stack.append(name)
             elif name in stack:
@@ -303,3 +353,185 @@ def mask(text: str | None, crf: Crf) -> int:
     for y in set(crf.viterbi(tuple(f for *_, f in found))) if found else ():
         out |= 1 << y
     return out & ~1
+
+
+# Commands whose argument is their text, and commands that point somewhere.
+_HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+_POINTERS = frozenset(["cite", "ref", "label", "eqref", "pageref", "citep", "citet"])
+_ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
+_ARGUMENT = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]]*\])?\{([^{}]*)\}").match
+_MATH_ENVS = frozenset(["equation", "align", "eqnarray", "gather", "multline", "math", "displaymath"])
+
+
+def clean(text: str | None, crf: Crf) -> str | None:
+    """The text without its markup. Headings come as ``#`` lines, lists as ``-`` or numbered lines, table cells parted by `` | ``,
+    code between back-ticks or fences, formulas between dollar signs. Look-alikes stay as they are. Null gives null."""
+    if text is None:
+        return None
+    found = label(text, crf)
+    out: list[str] = []
+    past, math, silent, fenced, fresh = 0, False, False, False, True
+
+    def head_line(level: int) -> None:  # makes the line written last a heading
+        k = len(out)
+        joined = "".join(out).rstrip("\n")
+        cut = joined.rfind("\n") + 1
+        del out[:k]
+        out.append(joined[:cut] + "#" * level + " " + joined[cut:] + "\n")
+
+    for a, b, kind, lang in found:
+        if a < past or lang == "plain":
+            continue
+        if not silent:
+            out.append(text[past:a])
+        s, past, new = text[a:b], b, ""
+        if math and kind not in ("texmath", "display", "texenv"):
+            new = s
+        elif lang == "html" and kind == "tag":
+            name, closing = _TAG_NAME(s)[1].lower(), s.startswith("</")
+            if name in ("style", "script"):
+                silent = not closing
+            elif re.fullmatch(r"h[1-6]", name):
+                new = "\n" if closing else "\n" + "#" * int(name[1]) + " "
+            elif name == "li":
+                new = "" if closing else "\n- "
+            elif name == "pre":
+                new, fenced = ("\n```\n", not closing)
+            elif name in ("code", "tt"):
+                new = "" if fenced else "`"
+            elif name == "tr":
+                new, fresh = ("" if closing else "\n"), True
+            elif name in ("td", "th"):
+                if not closing:
+                    new, fresh = ("" if fresh else " | "), False
+            elif name in ("br", "hr") or name in ("p", "div", "ul", "ol", "table", "body", "html", "blockquote") and closing:
+                new = "\n"
+        elif kind in ("entity", "entitycut"):
+            new = html.unescape(s).replace("\xa0", " ") if kind == "entity" else ""
+        elif kind == "hashes":
+            new = "#" * s.count("#") + " "
+        elif kind == "rule":
+            if lang == "markdown" and s.strip()[:1] in "=-" and out and "".join(out).rstrip("\n").rpartition("\n")[2].strip() and "".join(out).endswith("\n") and not "".join(out).endswith("\n\n"):
+                head_line(1 if s.strip()[0] == "=" else 2)
+        elif kind in ("star", "underline"):
+            new = s.strip(s[0])
+        elif kind == "strike":
+            new = s.strip("~")
+        elif kind in ("link", "image", "reference"):
+            new = re.match(r"!?\[([^\]]*)", s)[1]
+        elif kind == "definition":
+            if s.lstrip().startswith("[^"):
+                past = b - len(s.split()[-1])
+            else:
+                end = text.find("\n", b)
+                past = end if end >= 0 else len(text)
+        elif kind in ("fence", "macro") and ("`" in s or "~" in s or s.lstrip("{/").startswith(("code", "noformat"))):
+            new = "```"
+        elif kind in ("bullet", "number"):
+            new = re.sub(r"[-*+](?=[ \t])", "-", s.replace("\t", "    "), count=1) if kind == "bullet" else s
+        elif kind == "codespan":
+            new = s
+        elif kind == "row" and lang in ("markdown", "wiki"):
+            end = text.find("\n", b)
+            line = text[b : end if end >= 0 else len(text)]
+            new = ""
+            if not any(b < x < b + len(line) and k != "pipe" for x, _, k, _ in found):
+                new = " | ".join(c.strip() for c in re.split(r"\|\||!!|\|", line.strip().strip("|!")))
+                past = b + len(line)
+        elif kind == "pipe":
+            new = "|"
+        elif kind == "autolink":
+            new = s[1:-1]
+        elif kind == "wikilink":
+            body = s.strip("[]")
+            new = "" if re.match(r"(?i)categor", body) else body.rpartition("|")[2].rpartition("::")[2]
+        elif kind == "external":
+            new = s.strip("[]").partition(" ")[2] or s.strip("[]")
+        elif kind == "equals":
+            new = "#" * (len(s.strip()) - len(s.strip().lstrip("="))) + " " + s.strip().strip("=").strip()
+        elif kind == "heading":
+            new = "#" * int(s.strip()[1]) + " " if s.strip()[0] == "h" else ""
+        elif kind == "texenv":
+            name = re.sub(r"^\\(?:begin|end)\{?|\*?\}?$", "", s)
+            if name in _MATH_ENVS:
+                new, math = "$$", s.startswith("\\begin")
+            elif name in ("verbatim", "lstlisting", "minted"):
+                new = "```"
+        elif kind == "texmath":
+            new, math = ("$" if s[1] in "()" else "$$"), s[1] in "(["
+        elif kind == "display":
+            new, math = "$$", not math
+        elif kind == "inline":
+            new = s
+        elif kind == "texaccent":
+            letter = re.sub(r"[^A-Za-z]", "", s)[:1] or ""
+            new = unicodedata.normalize("NFC", letter + _ACCENTS.get(s[1], ""))
+        elif kind == "texescape":
+            new = s[1:]
+        elif kind == "texrow":
+            new = ""
+        elif kind == "ampersand":
+            new = "|"
+        elif kind == "texcommand":
+            name, m = s.strip("\\*"), _ARGUMENT(text, a)
+            if name == "item":
+                new = "-"
+            elif name in ("ldots", "dots"):
+                new = "…"
+            elif m and name in _HEADS:
+                new, past = "#" * _HEADS[name] + " " + m[2], m.end()
+            elif m and name in _POINTERS:
+                new, past = f"[{m[2]}]", m.end()
+            elif m:
+                new, past = m[2], m.end()
+            elif re.match(r"\\verb(.)(.*?)\1", text[a : a + 200]):
+                m = re.match(r"\\verb(.)(.*?)\1", text[a:])
+                new, past = f"`{m[2]}`", a + m.end()
+        elif kind == "template":
+            new = ""
+        elif kind == "braces":
+            new = s if lang == "latex" else ""
+        if not silent:
+            out.append(new)
+    if not silent:
+        out.append(text[past:])
+    lines = (re.sub(r"[ \t]+$", "", x) for x in "".join(out).split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+
+
+def carried(chunks: DataFrame, text_cols: tuple[str, ...] = ("raw_text", "context_text"), key: str = "id", at: str = "generated_at") -> DataFrame:
+    """(key, markup): a row per current record and language that any of its texts carries.
+
+    Rows are labelled where they lie; only (key, time, mask) is shuffled to find the current row of each key. Texts without any character that
+    markup needs don't leave the JVM. Equal times: the greater mask. A null key is no record."""
+    crf = model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks = np.zeros(batch.num_rows, np.int32)
+            for c in range(2, batch.num_columns):
+                for i, t in enumerate(batch.column(c).to_pylist()):
+                    if t:
+                        masks[i] |= mask(t, crf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks)], names=[key, at, "mask"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    maybe = [F.when(F.col(c).rlike(MAYBE), F.col(c)).alias(c) for c in text_cols]
+    rows = chunks.filter(F.col(key).isNotNull()).select(key, at, *maybe).mapInArrow(run, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, mask int")
+    now = rows.groupBy(key).agg(F.max(F.struct(at, "mask")).alias("m"))
+    bit = [F.when(F.col("m.mask").bitwiseAND(1 << k) != 0, F.lit(name)) for k, name in enumerate(LABELS) if k]
+    return now.filter("m.mask <> 0").select(key, F.explode(F.filter(F.array(*bit), lambda x: x.isNotNull())).alias("markup"))
+
+
+def cleaned(chunks: DataFrame, text_cols: tuple[str, ...] = ("raw_text", "context_text"), key: str = "id", at: str = "generated_at") -> DataFrame:
+    """(key, text columns): the clean texts of the current records."""
+    crf = model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [pa.array([clean(t, crf) for t in batch.column(c).to_pylist()], pa.string()) for c in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[key, *text_cols])
+
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    now = chunks.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(at, *text_cols)).alias("m")).select(key, *(F.col(f"m.{c}").alias(c) for c in text_cols))
+    return now.mapInArrow(run, f"`{key}` {kinds[key]}, " + ", ".join(f"`{c}` string" for c in text_cols))

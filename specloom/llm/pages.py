@@ -159,7 +159,7 @@ def _block(p: _Pen, lang: str, say) -> None:
         p.put(tail, lang)
 
     if lang == "markdown":
-        k = r.randint(0, 12)
+        k = r.choice([*range(13), 11, 11, 1])
         if k == 0:
             line("#" * r.randint(1, 4) + " ", r.choice(["\n", "\n", " ##\n"]))
         elif k == 1:
@@ -200,7 +200,7 @@ def _block(p: _Pen, lang: str, say) -> None:
         else:
             p.put(r.choice([f"[{r.randint(1, 9)}]: https://sitio.example/{p.slug()}", f"[{p.words()}]: ../{p.slug()}.md"]) + "\n", lang) if r.random() < 0.6 else line(f"[^{r.randint(1, 9)}]: ")
     elif lang == "wiki":
-        k = r.randint(0, 9)
+        k = r.choice([*range(10), 2, 2])
         if k in (0, 1):
             e = "=" * r.randint(2, 4)
             line(e + " ", " " + e + "\n")
@@ -303,7 +303,7 @@ def page(seed: int) -> tuple[str, list[tuple[int, str]]]:
     for _ in range(rng.randint(1, 5)):
         if langs and rng.random() < 0.5:
             lang = rng.choice(langs)
-            if rng.random() < 0.05:
+            if rng.random() < 0.08:
                 p.put("> ", "markdown")
             _block(p, lang, say)
         else:

@@ -6,7 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import bpe, packing
+from . import bpe, markup, packing, splitting
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(splitting.oversized(table(spark, sf_dir, "chunk_embeddings"), table(spark, sf_dir, "encoder_models")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that the splitter cuts: each has a second piece, one only."""
+    return _pieces(spark, sf_dir).filter("piece = 1").select("id")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.carried(table(spark, sf_dir, "chunk_embeddings"))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(table(spark, sf_dir, "chunk_embeddings"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +50,9 @@ def p7_fill(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame
     return w.agg(F.countDistinct("window_id").alias("windows"), F.countDistinct("doc_id").alias("texts"), F.sum("tokens").alias("tokens")).withColumn("fill", F.try_divide(F.col("tokens").cast("double"), F.col("windows") * capacity))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p2_found": """select id from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
+join encoder_models m using (model) where k = 1 and length(raw_text) > max_chars""",
+}
