@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import bpe, markup, packing, splitting
+from . import bpe, markup, neighbours, packing, splitting
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,17 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.cleaned(table(spark, sf_dir, "chunk_embeddings"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floor of the pairs wanted is the ball within which neighbours are looked for; what lies outside can't be among a point's ten with that cosine."""
+    points = neighbours.current_points(table(spark, sf_dir, "chunk_embeddings"))
+    return neighbours.mutual(neighbours.similar(points, 10, floor=0.95)).select("id_a", "id_b")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = neighbours.current_points(table(spark, sf_dir, "chunk_embeddings"))
+    return neighbours.similar(points, 10)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -50,9 +61,16 @@ def p7_fill(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame
     return w.agg(F.countDistinct("window_id").alias("windows"), F.countDistinct("doc_id").alias("texts"), F.sum("tokens").alias("tokens")).withColumn("fill", F.try_divide(F.col("tokens").cast("double"), F.col("windows") * capacity))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
 
 ORACLE = {
+    "p5_found": """with u as (
+  select id, coalesce(document_id, chr(1) || id) as doc, model, vector::double[] as v from (
+    select *, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
+  where k = 1 and vector is not null and len(vector) = dimensions and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+s as (select a.id, b.id as other, list_cosine_similarity(a.v, b.v) as c from u a join u b on a.model = b.model and a.doc <> b.doc and len(a.v) = len(b.v)),
+t as (select * from (select *, row_number() over (partition by id order by round(c, 9) desc, other) as k from s) r where k <= 10 and c >= 0.95)
+select t.id as id_a, t.other as id_b from t join t r on r.id = t.other and r.other = t.id where t.id < t.other""",
     "p2_found": """select id from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
 join encoder_models m using (model) where k = 1 and length(raw_text) > max_chars""",
 }
