@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import bpe, markup, neighbours, packing, splitting
+from . import bpe, markup, neighbours, packing, splitting, truncation
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,16 @@ def p7_fill(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame
     return w.agg(F.countDistinct("window_id").alias("windows"), F.countDistinct("doc_id").alias("texts"), F.sum("tokens").alias("tokens")).withColumn("fill", F.try_divide(F.col("tokens").cast("double"), F.col("windows") * capacity))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_off(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return truncation.shares(docs, truncation.cut_off(docs))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found, "p8_sources": p8_sources}
 
 ORACLE = {
     "p5_found": """with u as (
