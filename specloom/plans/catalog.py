@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-from . import upkeep
+from . import graphs, upkeep
 
-_CORE = [upkeep]
+_CORE = [upkeep, graphs]
 
 
 def _modules() -> list:
@@ -17,7 +17,7 @@ def _modules() -> list:
 
 
 def flagship(spark, sf_dir):
-    return upkeep.p4_report(spark, sf_dir)
+    return graphs.hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict:
