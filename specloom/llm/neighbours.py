@@ -36,6 +36,7 @@ from ..runtime import cut
 SAMPLE = 16_000
 LEAF = 192
 SALTS = 16
+PART = 120_000
 
 
 def current_points(chunks: DataFrame) -> DataFrame:
@@ -206,16 +207,33 @@ class Index:
         several = heads.join(self.classes.filter("n > 1").select("model", "cls", "unit"), ["model", "cls"]).select("model", "cls", "doc", "id", "unit")
         self.heads = single.unionByName(several)
         counts = {r["model"]: r["n"] for r in self.classes.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row a model
-        sample = self.classes.select("model", "unit").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).toPandas()
+        # about SAMPLE classes by their digest, no more than twice as many at any size
+        share = min(1.0, SAMPLE / max(1, sum(counts.values())))
+        place = F.pmod(F.xxhash64("cls"), F.lit(1_000_000))
+        sample = self.classes.filter(place < int(share * 1_000_000) + 1).select("model", "unit").limit(2 * SAMPLE).toPandas()
         self.trees: dict[str, Tree] = {}
+        self.sample = {}
         for m, n in counts.items():
             rows = sample[sample["model"] == m]["unit"]
             if len(rows):
                 x = np.stack([np.asarray(v, np.float64) for v in rows])
                 self.trees[m] = Tree(x, max(1, -(-len(x) // max(1, round(n / shard)))))
+                self.sample[m] = (x, n / len(x))
+
+    def _plan_parts(self, width: float | None) -> dict[str, np.ndarray]:
+        """Into how many parts the questions to each shard are split, by how many of the sample reach it: none has many more than ``PART``."""
+        out = {}
+        for m, (x, weight) in self.sample.items():
+            tree = self.trees[m]
+            n = np.ones(len(tree.nodes), np.int64)
+            got = tree.reach(x, np.full(len(x), width)) if width is not None else ((at, np.flatnonzero(tree.home(x) == at)) for at in range(len(tree.nodes)))
+            for at, rows in got:
+                n[at] = max(1, -(-int(len(rows) * weight) // PART))
+            out[m] = n
+        return out
 
-    def _route(self, df: DataFrame, kind: int, factor: float | None, radius: str | None) -> DataFrame:
-        """Rows (model, cls, id, doc, unit[, radius]) to the shards they lie in (no factor) or ask in."""
+    def _route(self, df: DataFrame, kind: int, factor: float | None, radius: str | None, parts: dict[str, np.ndarray]) -> DataFrame:
+        """Rows (model, cls, id, doc, unit[, radius]) to the shards they lie in (no factor) or ask in. Points go to all parts of a shard, a question to one."""
         trees = self.trees
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,28 +251,38 @@ class Index:
                     else:
                         got = [(rows, np.full(len(rows), at)) for at, rows in tree.reach(x, factor * r)]
                         rows, shards = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                    out = part.take(pa.array(rows)).append_column("shard", pa.array(shards, pa.int32()))
-                    yield from out.select(["model", "shard", "kind", "cls", "id", "doc", "unit", "radius"]).combine_chunks().to_batches()
+                    many = parts.get(m, np.ones(1, np.int64))[shards]
+                    if kind == 0:
+                        at = np.repeat(np.arange(len(rows)), many)
+                        piece = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                        rows, shards = rows[at], shards[at]
+                    else:
+                        piece = np.array([int.from_bytes(c[:4], "little") for c in part.column("cls").to_pylist()], np.int64)[rows] % many
+                    out = part.take(pa.array(rows)).append_column("shard", pa.array(shards, pa.int32())).append_column("part", pa.array(piece, pa.int32()))
+                    yield from out.select(["model", "shard", "part", "kind", "cls", "id", "doc", "unit", "radius"]).combine_chunks().to_batches()
 
         text = F.lit(None).cast("string")
         cols = [F.col("id") if kind == 0 else text.alias("id"), F.col("doc") if kind == 0 else text.alias("doc")]
         rows = df.select("model", F.lit(kind).alias("kind"), "cls", *cols, "unit", (F.lit(0.0) if radius is None else F.expr(radius)).cast("double").alias("radius"))
-        return rows.mapInArrow(run, "model string, shard int, kind int, cls binary, id string, doc string, unit array<float>, radius double")
+        return rows.mapInArrow(run, "model string, shard int, part int, kind int, cls binary, id string, doc string, unit array<float>, radius double")
 
     def answers(self, factor: float, floor: float | None = None) -> DataFrame:
         """(model, cls, found: [(score, id, doc)]): the 2k best of each class, at most k a document, in order."""
         k = self.k
-        points = self._route(self.heads, 0, None, None)
         if floor is not None:
-            asked = self._route(self.classes, 1, factor, f"{float(np.sqrt(max(0.0, 2 - 2 * floor)))}D")
-            return self._merge(self._ask(points, asked, factor, floor))
-        first = self._ask(points, self._route(self.classes, 1, None, "2D"), factor, None)
+            r = float(np.sqrt(max(0.0, 2 - 2 * floor)))
+            parts = self._plan_parts(factor * r)
+            return self._merge(self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, factor, f"{r}D", parts), factor, floor))
+        parts = self._plan_parts(None)
+        first = self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, None, "2D", parts), factor, None)
         first = cut(first)
         known = first.groupBy("model", "cls").agg(F.sort_array(F.collect_list("score"), False).alias("s"), F.first("shard").alias("home"))
         # the ball of the k-th best found at home, had the class a document of its own: a bound on what can still come
         radius = F.when(F.size("s") >= k + 1, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("s", k + 1)))).otherwise(F.lit(2.0))
         wide = self.classes.join(known.select("model", "cls", radius.alias("radius"), "home"), ["model", "cls"], "left")
-        asked = self._route(wide, 1, factor, "coalesce(radius, 2D)").join(known.select("model", "cls", F.col("home").alias("shard")), ["model", "cls", "shard"], "left_anti")
+        parts = self._plan_parts(factor)
+        asked = self._route(wide, 1, factor, "coalesce(radius, 2D)", parts).join(known.select("model", "cls", F.col("home").alias("shard")), ["model", "cls", "shard"], "left_anti")
+        points = self._route(self.heads, 0, None, None, parts)
         return self._merge(first.unionByName(self._ask(points, asked.select(points.columns), factor, None)))
 
     def _ask(self, points: DataFrame, asked: DataFrame, factor: float, floor: float | None) -> DataFrame:
@@ -291,7 +319,7 @@ class Index:
             out = q.select(["model", "cls", "shard"]).take(pa.array(i))
             return pa.table({"model": out.column("model"), "cls": out.column("cls"), "shard": out.column("shard"), "score": pa.array(s), "id": p.column("id").take(pa.array(j)), "doc": p.column("doc").take(pa.array(j))}) if len(i) else empty
 
-        return points.unionByName(asked).groupBy("model", "shard").applyInArrow(run, "model string, cls binary, shard int, score double, id string, doc string")
+        return points.unionByName(asked).groupBy("model", "shard", "part").applyInArrow(run, "model string, cls binary, shard int, score double, id string, doc string")
 
     def _merge(self, hits: DataFrame) -> DataFrame:
         k = self.k
@@ -310,10 +338,10 @@ class Index:
         return rows.select("id", F.posexplode(mine).alias("r", "x")).select("id", (F.col("r") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.score").alias("score"))
 
 
-def similar(points: DataFrame, k: int = 10, floor: float | None = None, factor: float | None = None, shard: int = 24_000) -> DataFrame:
+def similar(points: DataFrame, k: int = 10, floor: float | None = None, factor: float | None = None, shard: int = 60_000) -> DataFrame:
     """(id, rank, neighbour, score): the k most similar points of other documents and the same model, with cosine ``floor`` at least if one is given."""
     index = Index(points, k, shard)
-    return index.neighbours(index.answers(factor if factor is not None else (0.3 if floor is not None else 0.18), floor))
+    return index.neighbours(index.answers(factor if factor is not None else (0.2 if floor is not None else 0.18), floor))
 
 
 def mutual(similarities: DataFrame) -> DataFrame:
