@@ -13,13 +13,20 @@ from pyspark.sql import types as T
 from ..dims import LINK_PREFIXES
 
 LINK = r"\[\[([^\]]+)\]\]"
+#: White space in the wide sense: all separators and the byte order mark.
+BLANK = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
 LINKS_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("raw", "target", "domain", "alias")]))
 SECTIONS_TYPE = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("path", T.StringType())]))
 
 
+def strip(text: Column) -> Column:
+    """Without white space, in the wide sense, at either end."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def wiki_links(text: Column) -> Column:
     """Array of (raw, target, domain, alias) of the links ``[[domain::target|alias]]`` of a text, in order; blank ones are left out. Null for null."""
-    raws = F.filter(F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+    raws = F.filter(F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: strip(x)), lambda x: x != "")
 
     def part(raw: Column) -> Column:
         scoped = raw.contains("::")
@@ -27,9 +34,9 @@ def wiki_links(text: Column) -> Column:
         names = F.split(rest, r"\|")
         return F.struct(
             raw.alias("raw"),
-            F.trim(F.element_at(names, 1)).alias("target"),
-            F.when(scoped, F.trim(F.element_at(F.split(raw, "::"), 1))).alias("domain"),
-            F.when(F.size(names) > 1, F.trim(F.element_at(names, 2))).alias("alias"),
+            strip(F.element_at(names, 1)).alias("target"),
+            F.when(scoped, strip(F.element_at(F.split(raw, "::"), 1))).alias("domain"),
+            F.when(F.size(names) > 1, strip(F.element_at(names, 2))).alias("alias"),
         )
 
     return F.transform(raws, part)
@@ -52,13 +59,13 @@ def is_entity_target(target: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut at white space behind a full stop, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=\.)\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, rf"(?<=\.){BLANK}+"), lambda s: strip(s)), lambda s: s != "")
 
 
 def list_items(text: Column) -> Column:
     """Trimmed items of the lines that start with "- " or "* "."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("- ") | x.startswith("* "))
-    return F.transform(lines, lambda x: F.trim(F.substr(x, F.lit(3))))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x.startswith("- ") | x.startswith("* "))
+    return F.transform(lines, lambda x: strip(F.substr(x, F.lit(3))))
 
 
 def snippet(kind: Column, title: Column, node_id: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-from . import graphs, upkeep
+from . import graphs, texts, upkeep
 
-_CORE = [upkeep, graphs]
+_CORE = [upkeep, graphs, texts]
 
 
 def _modules() -> list:
