@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 KEYS = ["rec_table", "rec_id"]
 EVENTS = "rec_table string, rec_id string, digest string, event string, token bigint, owner string, until timestamp_ntz, at timestamp_ntz"
 
@@ -98,10 +100,10 @@ class WorkLedger:
         return g.select("rec_table", "rec_id", "digest", state.alias("state"), F.col("lease.token").alias("token"), F.col("lease.owner").alias("owner"))
 
     def enqueue(self, items: DataFrame, batch: str, now) -> None:
-        """Register items (rec_table, rec_id, digest). The same batch written again replaces itself; an item known already changes nothing."""
-        known = self.state(now).select("rec_table", "rec_id", "digest")
+        """Register items (rec_table, rec_id, digest). The same batch written again replaces itself; an item known from elsewhere changes nothing."""
+        known = self._events().filter((F.col("event") != "new") | (F.col("owner") != batch)).select("rec_table", "rec_id", "digest").distinct()
         fresh = items.select("rec_table", "rec_id", "digest").distinct().alias("i").join(known.alias("k"), [F.col("i.rec_table") == F.col("k.rec_table"), F.col("i.rec_id") == F.col("k.rec_id"), F.col("i.digest").eqNullSafe(F.col("k.digest"))], "left_anti")
-        self._write(fresh.select("*", F.lit("new").alias("event"), F.lit(0).cast("bigint").alias("token"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(now).cast("timestamp_ntz").alias("at")), "new", batch)
+        self._write(cut(fresh).select("*", F.lit("new").alias("event"), F.lit(0).cast("bigint").alias("token"), F.lit(batch).alias("owner"), F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(now).cast("timestamp_ntz").alias("at")), "new", batch)
 
     def lease(self, owner: str, until, now, limit: int | None = None) -> int:
         """Lease pending items until ``until``; gives the fencing token, greater than all before."""
@@ -113,11 +115,13 @@ class WorkLedger:
         return token
 
     def leased(self, token: int) -> DataFrame:
-        return self._events().filter((F.col("event") == "lease") & (F.col("token") == token)).select("rec_table", "rec_id", "digest")
+        return self._lease(token).select("rec_table", "rec_id", "digest")
+
+    def _lease(self, token: int) -> DataFrame:
+        return self.spark.read.schema(EVENTS).parquet(f"{self.path}/lease/{token}")
 
     def _close(self, token: int, event: str, now) -> None:
-        rows = self._events().filter((F.col("event") == "lease") & (F.col("token") == token))
-        self._write(rows.select("rec_table", "rec_id", "digest", F.lit(event).alias("event"), "token", "owner", "until", F.lit(now).cast("timestamp_ntz").alias("at")), event, token)
+        self._write(self._lease(token).select("rec_table", "rec_id", "digest", F.lit(event).alias("event"), "token", "owner", "until", F.lit(now).cast("timestamp_ntz").alias("at")), event, token)
 
     def complete(self, token: int, now) -> int:
         """Mark the items of a lease done; gives how many were accepted. Items leased anew since then keep their newer token: this writer is stale for them."""

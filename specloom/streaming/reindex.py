@@ -41,12 +41,12 @@ def current(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
 
 def telemetry(events: DataFrame, at: str = "ts", late: str = "10 minutes", every: str = "5 minutes", slide: str | None = None, *keys: str) -> DataFrame:
     """Counts and sums per window of a stream; rows later than ``late`` are dropped."""
-    return maintain.windows(events.withWatermark(at, late), at, every, slide, *keys)
+    return maintain.windows(events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late), at, every, slide, *keys)
 
 
 def latency(queries: DataFrame, at: str = "ts", late: str = "10 minutes") -> DataFrame:
     """95th percentile of ``value`` per minute."""
-    return queries.withWatermark(at, late).groupBy(F.window(at, "1 minute").alias("w")).agg(F.percentile_approx("value", 0.95).alias("p95"), F.count("*").alias("queries")).select(F.col("w.start").alias("start"), "p95", "queries")
+    return queries.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, "1 minute").alias("w")).agg(F.percentile_approx("value", 0.95).alias("p95"), F.count("*").alias("queries")).select(F.col("w.start").alias("start"), "p95", "queries")
 
 
 def states(events: DataFrame, key: str, state: str, at: str) -> DataFrame:
