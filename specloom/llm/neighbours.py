@@ -37,6 +37,7 @@ SAMPLE = 16_000
 LEAF = 192
 SALTS = 16
 PART = 120_000
+BLOCK = 4_096
 
 
 def current_points(chunks: DataFrame) -> DataFrame:
@@ -277,8 +278,8 @@ class Index:
         first = self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, None, "2D", parts), factor, None)
         first = cut(first)
         known = first.groupBy("model", "cls").agg(F.sort_array(F.collect_list("score"), False).alias("s"), F.first("shard").alias("home"))
-        # the ball of the k-th best found at home, had the class a document of its own: a bound on what can still come
-        radius = F.when(F.size("s") >= k + 1, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("s", k + 1)))).otherwise(F.lit(2.0))
+        # what is found elsewhere must beat the last of a full answer at home
+        radius = F.when(F.size("s") >= 2 * k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("s", 2 * k)))).otherwise(F.lit(2.0))
         wide = self.classes.join(known.select("model", "cls", radius.alias("radius"), "home"), ["model", "cls"], "left")
         parts = self._plan_parts(factor)
         asked = self._route(wide, 1, factor, "coalesce(radius, 2D)", parts).join(known.select("model", "cls", F.col("home").alias("shard")), ["model", "cls", "shard"], "left_anti")
@@ -306,16 +307,19 @@ class Index:
                 low, radius = np.full(len(y), -1.1), q.column("radius").to_numpy().copy()
                 open_ = radius >= 2.0
                 low = np.where(open_, low, 1 - radius**2 / 2)
-                if open_.any():  # the k-th best of the home leaf bounds the ball
+                if open_.any():  # the home leaf's 2k-th best bounds the answer, if no document has more than k rows there
                     at = tree.home(y)
                     for leaf in np.unique(at[open_]):
                         rows, members = np.flatnonzero((at == leaf) & open_), tree.nodes[leaf][1]
-                        if len(members) > 2 * k:
-                            s = np.partition(y[rows] @ x[members].T, len(members) - 2 * k, axis=1)[:, len(members) - 2 * k]
-                            radius[rows] = np.sqrt(np.maximum(0, 2 - 2 * s))
-            i, j, s = search(tree, x, y, factor * radius, low, ids, doc, k)
-            best = _best(i, s, ids[j], doc[j], k)
-            i, j, s = i[best], j[best], s[best]
+                        if len(members) > 2 * k and np.unique(doc[members], return_counts=True)[1].max() <= k:
+                            low[rows] = np.partition(y[rows] @ x[members].T, len(members) - 2 * k, axis=1)[:, len(members) - 2 * k]
+                            radius[rows] = np.sqrt(np.maximum(0, 2 - 2 * low[rows]))
+            got = []
+            for a in range(0, len(y), BLOCK):  # hits of a block are cut to answers before the next
+                i, j, s = search(tree, x, y[a : a + BLOCK], factor * radius[a : a + BLOCK], low[a : a + BLOCK], ids, doc, k)
+                best = _best(i, s, ids[j], doc[j], k)
+                got.append((i[best] + a, j[best], s[best]))
+            i, j, s = (np.concatenate(c) for c in zip(*got))
             out = q.select(["model", "cls", "shard"]).take(pa.array(i))
             return pa.table({"model": out.column("model"), "cls": out.column("cls"), "shard": out.column("shard"), "score": pa.array(s), "id": p.column("id").take(pa.array(j)), "doc": p.column("doc").take(pa.array(j))}) if len(i) else empty
 
