@@ -38,6 +38,7 @@ LEAF = 192
 SALTS = 16
 PART = 120_000
 BLOCK = 4_096
+RISING = 0.9
 
 
 def current_points(chunks: DataFrame) -> DataFrame:
@@ -144,29 +145,48 @@ def _best(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, docs: np.ndarra
     return order[np.arange(len(o)) - first < 2 * k]
 
 
-def search(tree: Tree, x: np.ndarray, q: np.ndarray, width: np.ndarray, floor: np.ndarray, xid: np.ndarray, xdoc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, cosine): for each row of q the answers with cosine at least its floor, from the leaves its width reaches."""
-    got_q, got_x, got_s = [], [], []
-    x32, q32, low = x.astype(np.float32), q.astype(np.float32), floor.astype(np.float32) - np.float32(1e-5)
-    for at, rows in tree.reach(q32, width):
+def search(tree: Tree, x: np.ndarray, q: np.ndarray, radius: np.ndarray, low: np.ndarray, factor: float, xdoc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine): answers of each row of q with cosine ``low`` at least, from the leaves its ball reaches.
+
+    What an answer must beat rises as leaves are seen: to the 2k-th best so far of the rows whose documents have no more than k rows here. These can't be more than k a
+    document, so 2k of them make a full answer. Rows of larger documents are held against the same bound, but don't raise it."""
+    x32, q32 = x.astype(np.float32), q.astype(np.float32)
+    plain = np.bincount(xdoc, minlength=1)[xdoc] <= k
+    bound = low.astype(np.float32) - np.float32(1e-5)
+    rising = len(low) > 0 and low.min() < RISING
+    top = np.full((len(q), 2 * k), -2, np.float32) if rising else None
+    got = []
+
+    def visit(at: int, rows: np.ndarray, keep: bool) -> None:
         members = tree.nodes[at][1]
-        spread = floor.min() < 0.9 and np.unique(xdoc[members], return_counts=True)[1].max(initial=0) <= k
-        for a in range(0, len(rows), 4096):
-            part = rows[a : a + 4096]
-            s = q32[part] @ x32[members].T
-            if spread and len(members) > 2 * k:  # no document has more than k of the leaf: its 2k best are all it can add
-                least = np.partition(s, len(members) - 2 * k, axis=1)[:, len(members) - 2 * k]
-                i, j = np.nonzero(s >= np.maximum(low[part], least)[:, None])
-            else:
-                i, j = np.nonzero(s >= low[part][:, None])
-            got_q.append(part[i])
-            got_x.append(members[j])
-            got_s.append(s[i, j])
-    if not got_q:
+        s = q32[rows] @ x32[members].T
+        hit = s >= bound[rows][:, None]
+        if keep:
+            i, j = np.nonzero(hit)
+            got.append((rows[i], members[j], s[i, j]))
+        if rising:
+            own = hit & plain[members]
+            some = np.flatnonzero(own.any(1))
+            if len(some):
+                both = np.concatenate([top[rows[some]], np.where(own[some], s[some], np.float32(-2))], 1)
+                best = np.partition(both, both.shape[1] - 2 * k, axis=1)[:, -2 * k :]
+                top[rows[some]] = best
+                bound[rows[some]] = np.maximum(bound[rows[some]], best.min(1) - np.float32(1e-5))
+
+    if rising:  # a look around the home leaf: bounds only
+        for at, rows in tree.reach(q32, np.full(len(q), 0.25 * factor)):
+            visit(at, rows, False)
+        top[:] = -2
+        radius = np.minimum(radius, np.sqrt(np.maximum(0, 2 - 2 * bound)))
+    for at, rows in tree.reach(q32, factor * radius):
+        visit(at, rows, True)
+    if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    i, j = np.concatenate(got_q), np.concatenate(got_x)
+    i, j, s = (np.concatenate(c) for c in zip(*got))
+    keep = s >= bound[i]  # by the bounds at the end
+    i, j = i[keep], j[keep]
     s = np.einsum("nd,nd->n", q[i], x[j])
-    keep = s >= floor[i] - 1e-12
+    keep = s >= low[i] - 1e-12
     return i[keep], j[keep], s[keep]
 
 
@@ -301,22 +321,11 @@ class Index:
             doc = pa.compute.dictionary_encode(p.column("doc").combine_chunks()).indices.to_numpy()
             tree = Tree(x, LEAF)
             ids = np.arange(len(x))
-            if floor is not None:
-                low, radius = np.full(len(y), floor), q.column("radius").to_numpy()
-            else:
-                low, radius = np.full(len(y), -1.1), q.column("radius").to_numpy().copy()
-                open_ = radius >= 2.0
-                low = np.where(open_, low, 1 - radius**2 / 2)
-                if open_.any():  # the home leaf's 2k-th best bounds the answer, if no document has more than k rows there
-                    at = tree.home(y)
-                    for leaf in np.unique(at[open_]):
-                        rows, members = np.flatnonzero((at == leaf) & open_), tree.nodes[leaf][1]
-                        if len(members) > 2 * k and np.unique(doc[members], return_counts=True)[1].max() <= k:
-                            low[rows] = np.partition(y[rows] @ x[members].T, len(members) - 2 * k, axis=1)[:, len(members) - 2 * k]
-                            radius[rows] = np.sqrt(np.maximum(0, 2 - 2 * low[rows]))
+            radius = q.column("radius").to_numpy()
+            low = np.full(len(y), floor) if floor is not None else np.where(radius >= 2.0, -1.1, 1 - radius**2 / 2 - 1e-9)
             got = []
             for a in range(0, len(y), BLOCK):  # hits of a block are cut to answers before the next
-                i, j, s = search(tree, x, y[a : a + BLOCK], factor * radius[a : a + BLOCK], low[a : a + BLOCK], ids, doc, k)
+                i, j, s = search(tree, x, y[a : a + BLOCK], radius[a : a + BLOCK], low[a : a + BLOCK], factor, doc, k)
                 best = _best(i, s, ids[j], doc[j], k)
                 got.append((i[best] + a, j[best], s[best]))
             i, j, s = (np.concatenate(c) for c in zip(*got))

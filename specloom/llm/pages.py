@@ -318,6 +318,12 @@ def page(seed: int) -> tuple[str, list[tuple[int, str]]]:
                 p.put(" ")
             p.put("\n")
         p.put("\n" if rng.random() < 0.8 else "")
+    if rng.random() < 0.06:  # ends amid something
+        p.put(p.words() + " ")
+        if "html" in langs:
+            p.put(rng.choice(_ENTITIES)[: rng.choice([3, 4, 5])].rstrip(";"), "html")
+        else:
+            p.put(rng.choice(["I&D", "R&D", f"{p.words(1, 1)} &", "A&B", f"{p.number()} <", "$", "x_", "[", "(*"]))
     text, at = _finish(p)
     if langs and rng.random() < 0.12:
         text = text[: max(1, int(len(text) * rng.uniform(0.3, 1)))]
