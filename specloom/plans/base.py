@@ -16,12 +16,13 @@ HUB = "Entity:CarpetaMaestra"
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "graph_nodes").unionByName(table(spark, sf_dir, "core_nodes"))
+    rows = table(spark, sf_dir, "graph_nodes").unionByName(table(spark, sf_dir, "core_nodes")).select("id", "kind", "layer", "domain", "source_file", "source_hash", "aliases", "indexed_fields", "indexed_at", "loaded_at")
     return G.current(rows, ["id"], "indexed_at", "loaded_at").withColumn("kind", F.lower(F.trim("kind")))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.current(table(spark, sf_dir, "graph_edges"), ["edge_id"], "loaded_at")
+    rows = table(spark, sf_dir, "graph_edges").select("edge_id", "from_node", "to_node", "edge_type", "source_file", "ordinal", "layer_violation", "loaded_at")
+    return G.current(rows, ["edge_id"], "loaded_at")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
