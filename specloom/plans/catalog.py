@@ -1,19 +1,10 @@
-"""All registered queries and their SQL."""
+"""The registered queries of the library proper and their SQL."""
 
 from __future__ import annotations
 
-import importlib
-
 from . import graphs, texts, upkeep
 
-_CORE = [upkeep, graphs, texts]
-
-
-def _modules() -> list:
-    try:
-        return [*_CORE, importlib.import_module("specloom.llm.plans")]
-    except ImportError:
-        return _CORE
+MODULES = [upkeep, graphs, texts]
 
 
 def flagship(spark, sf_dir):
@@ -21,8 +12,8 @@ def flagship(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _modules() for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
