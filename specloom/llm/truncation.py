@@ -46,16 +46,16 @@ TAIL = 48
 # No filter here uses a column computed here, and lines are exploded as if they might be none: either would have the optimizer compute the masks again.
 _TEXTS = r"""
 with t as (select {id} as id, xxhash64({text}) as h, rtrim(' \n', translate({text}, '{blanks}\r', '{spaces}')) as body
-  from {docs} where {text} rlike r'(?:[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]+){{3}}[\p{{L}}\p{{N}}]'),
+  from {docs} where {text} rlike r'^[^\p{L}\p{N}]*+(?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){3}[\p{L}\p{N}]'),
 m as (select id, h, body, regexp_extract(right(body, {tail}), r'{hard}', 0) as hard from t),
 n as (select id, h, hard <> '' as marked, rtrim(' \n', left(body, length(body) - length(hard))) as body from m),
 o as (select id, h, marked, body, regexp_extract(right(body, {tail}), r'{soft}', 0) as soft from n),
-b as (select id, h, marked, soft <> '' as soft, rtrim(' \n', left(body, length(body) - length(soft))) as body from o),
-l as (select id, h, marked, soft, body, split(lower({masked}), '\n') as lines from b)
+b as (select id, h, marked, soft <> '' as soft, rtrim(' \n', left(body, length(body) - length(soft))) as body from o)
 """
 
 _LINES = r"""
-, x as (select line from l lateral view outer explode(lines) y as line),
+, l as (select split(lower({masked}), '\n') as lines from b),
+x as (select line from l lateral view outer explode(lines) y as line),
 w as (select line like '#%' as head, concat(array('^', '^'), regexp_extract_all(line, r'{token}', 1)) as w from x where line is not null and line <> '')
 """
 
@@ -73,8 +73,9 @@ _FINALS = r"""
 , f as (
   select id, h, marked, soft, body rlike r'[.?!](?:\s|$)' as pointed,
     size(split(body, r'(?m)^(?:```|~~~)')) % 2 = 0 or (startswith(body, '---\n') and locate('\n---', body, 4) = 0) as inside,
-    concat(array('^', '^'), regexp_extract_all(element_at(lines, -1), r'{token}', 1)) as r from l),
-k as (select *, transform(slice(r, -3, 3), x -> if(endswith(x, '\u0001'), 'nn', x)) as w, rtrim('\u0001', element_at(r, -1)) as w3 from f)
+    element_at(split(body, '\n'), -1) as line from b),
+c as (select *, concat(array('^', '^'), regexp_extract_all(lower({line_masked}), r'{token}', 1)) as r from f),
+k as (select *, transform(slice(r, -3, 3), x -> if(endswith(x, '\u0001'), 'nn', x)) as w, rtrim('\u0001', element_at(r, -1)) as w3 from c)
 select id, h, marked, soft, pointed, inside, w[1] as w2, w3, xxhash64(w[0], w[1], w[2]) as tri, xxhash64('2', w[1], w[2]) as bi, xxhash64('1', w[2]) as uni from k
 """
 
@@ -108,11 +109,13 @@ where f.marked or f.inside or f.soft and not r.styled or if(f.pointed, r.cut_poi
 def cut_off(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, how): the documents whose text lost its end; ``how`` says by what it shows: 'mark', 'block' or 'end'."""
     spark = docs.sparkSession
-    masked = "body"
-    for pattern, form in _MASKS:
+    masked, line_masked = "body", "line"
+    for k, (pattern, form) in enumerate(_MASKS):
         masked = f"regexp_replace({masked}, r'{pattern}', '{form}')"
+        if k:  # closed code blocks are a matter of more than one line
+            line_masked = f"regexp_replace({line_masked}, r'{pattern}', '{form}')"
     values = {
-        "id": f"`{id_col}`", "text": f"`{text_col}`", "hard": HARD_MARK, "soft": SOFT_MARK, "tail": str(TAIL), "masked": masked, "token": _TOKEN, "blanks": "".join(map(chr, _BLANKS)), "spaces": " " * len(_BLANKS),
+        "id": f"`{id_col}`", "text": f"`{text_col}`", "hard": HARD_MARK, "soft": SOFT_MARK, "tail": str(TAIL), "masked": masked, "line_masked": line_masked, "token": _TOKEN, "blanks": "".join(map(chr, _BLANKS)), "spaces": " " * len(_BLANKS),
         "seen": str(SEEN), "share": str(SHARE), "word_seen": str(WORD_SEEN), "word_share": str(WORD_SHARE), "fragment": str(FRAGMENT), "salts": str(SALTS),
     }
 
