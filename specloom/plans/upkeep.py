@@ -76,6 +76,14 @@ b as (select e.*, case when r.at > n.l then 'gone' when n.id is null then 'missi
 
 ORACLE = {
     "p1_found": _P1 + "select c.rec_table, c.rec_id from cur c left join did using (rec_table, rec_id) where did.d is null or c.d is null or c.d <> did.d",
+    "p1_states": _P1
+    + f""", all_nodes as (select id as rec_id, max(indexed_at) as seen_at, arg_max(source_hash, indexed_at) as h from graph_nodes where id is not null group by id),
+every as (
+  select 'graph_nodes' as rec_table, rec_id, seen_at, {_DIGEST.format("h")} as d, true as there from all_nodes
+  union all select 'chunk_embeddings', rec_id, null, d, true from cur where rec_table = 'chunk_embeddings'),
+keys as (select rec_table, rec_id from every union select rec_table, rec_id from process_ledger where run_id in (select run_id from ok) and rec_id is not null union select 'graph_nodes', node_id from node_removals where node_id is not null)
+select rec_table, case when there is null then 'unknown' when r.at > every.seen_at then 'removed' when every.d = did.d then 'done' when did.d is null then 'new' else 'changed' end as state, count(*) as records
+from keys left join every using (rec_table, rec_id) left join did using (rec_table, rec_id) left join removed r on rec_table = 'graph_nodes' and r.node_id = rec_id group by all""",
     "p4_found": _P4 + "select edge_id, end_side from b where reason is not null group by all",
     "p4_report": _P4
     + """select edge_type, end_side, strftime(extracted_at, '%Y-%m') as month, count(*) as broken, count(*) filter (reason = 'missing') as missing,

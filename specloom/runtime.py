@@ -32,6 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lit_list(values) -> str:
-    """SQL literal list of strings."""
-    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it is read in fewer: one small file would keep one core busy. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
+
