@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, table
+from ..runtime import cut, spread, table
 from . import bpe, markup, neighbours, packing, splitting, truncation
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "chunk_embeddings").select("id", "generated_at", "raw_text", "context_text"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(splitting.oversized(table(spark, sf_dir, "chunk_embeddings"), table(spark, sf_dir, "encoder_models")))
 
@@ -23,11 +31,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.carried(table(spark, sf_dir, "chunk_embeddings"))
+    return markup.carried(_chunk_texts(spark, sf_dir))
 
 
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.cleaned(table(spark, sf_dir, "chunk_embeddings"))
+    return markup.cleaned(_chunk_texts(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +50,7 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, sf_dir, "documents"))
+    return bpe.encode_texts(_texts(spark, sf_dir))
 
 
 def _capacity(spark: SparkSession, sf_dir: str, window: str) -> int:
@@ -50,7 +58,7 @@ def _capacity(spark: SparkSession, sf_dir: str, window: str) -> int:
 
 
 def p7_windows(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame:
-    sizes = cut(bpe.count_tokens(table(spark, sf_dir, "documents")))
+    sizes = cut(bpe.count_tokens(_texts(spark, sf_dir)))
     return packing.pack(sizes, _capacity(spark, sf_dir, window))
 
 
@@ -62,12 +70,12 @@ def p7_fill(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFrame
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.cut_off(table(spark, sf_dir, "documents")).select("doc_id")
+    return truncation.cut_off(_texts(spark, sf_dir)).select("doc_id")
 
 
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return truncation.shares(docs, truncation.cut_off(docs))
+    return truncation.shares(docs, truncation.cut_off(_texts(spark, sf_dir)))
 
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_clean": p3_clean, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows, "p7_fill": p7_fill, "p8_found": p8_found, "p8_sources": p8_sources}
