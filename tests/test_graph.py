@@ -126,7 +126,7 @@ def test_violations(spark, impact_graph):
 
 @pytest.fixture(scope="module")
 def chunks(spark):
-    v = [("KDoc:chunk-0", [1.0, 0, 0, 0]), ("UC-1:chunk-0", [0, 1.0, 0, 0]), ("BR-1:chunk-3", [0.9, 0.1, 0, 0]), ("zero:chunk-0", [0.0] * 4), ("none:chunk-0", None), ("short:chunk-0", [1.0]), ("nan:chunk-0", [float("nan"), 0, 0, 0])]
+    v = [("KDoc:chunk-0", [1.0, 0.0, 0.0, 0.0]), ("UC-1:chunk-0", [0.0, 1.0, 0.0, 0.0]), ("BR-1:chunk-3", [0.9, 0.1, 0.0, 0.0]), ("zero:chunk-0", [0.0] * 4), ("none:chunk-0", None), ("short:chunk-0", [1.0]), ("nan:chunk-0", [float("nan"), 0.0, 0.0, 0.0])]
     return spark.createDataFrame(v, "id string, vector array<float>")
 
 
