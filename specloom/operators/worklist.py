@@ -1,12 +1,12 @@
 """Processing only new or changed records: a work-item ledger.
 
-An item is one version of a record: (rec_table, rec_id, digest). The ledger is an append-only event log; the state of an item
+An item is one version of a record: (rec_table, rec_id, digest). The ledger is an append-only event log; the state of a record
 is folded from its events, so that a repeated or broken run neither loses nor repeats a record:
 
-* no event, or another digest done last: ``pending``
+* no event, or another digest done last (also if this one was done before that), or a null digest registered anew: ``pending``
 * an open lease: ``leased``; a lease that ran out, or whose run ended without success: ``pending`` again
-* a ``done`` event that carries the item's newest fencing token: ``done``; one that carries an older token comes from a
-  stale writer (its lease ran out and the item was leased again) and is rejected
+* a ``done`` event that carries the record's newest fencing token: ``done``; one that carries an older token comes from a
+  stale writer (its lease ran out and the record was leased again) and is rejected
 
 Events are written under paths that derive from batch and token only, so a retried write replaces its own files.
 """
@@ -85,25 +85,46 @@ class WorkLedger:
         df.select(*cols).write.mode("overwrite").parquet("/".join([self.path, *map(str, parts)]))
 
     def state(self, now) -> DataFrame:
-        """(rec_table, rec_id, digest, state, token, owner): folded events. ``now`` decides which leases have run out."""
-        e = self._events()
-        g = e.groupBy("rec_table", "rec_id", "digest").agg(
-            F.max(F.when(F.col("event") == "lease", F.struct("token", "owner", "until"))).alias("lease"),
-            F.max(F.when(F.col("event") == "done", F.col("token"))).alias("done_token"),
-            F.max(F.when(F.col("event") == "release", F.col("token"))).alias("released"),
+        """(rec_table, rec_id, digest, state, token, owner): one row per record, for the version registered last. ``now`` decides which leases have run out.
+
+        A null digest is a version of its own each time it is registered: only a lease given after that (a greater token) can have handled it."""
+        last = lambda kind, *cols: F.max(F.when(F.col("event") == kind, F.struct(*cols)))
+        g = (
+            self._events()
+            .filter(F.col("rec_id").isNotNull())
+            .groupBy(*KEYS)
+            .agg(
+                last("new", "token", "at", "owner", "digest").alias("cur"),
+                last("done", "token", "digest").alias("did"),
+                last("lease", "token", "digest", "owner", "until").alias("lease"),
+                last("release", "token").alias("released"),
+            )
         )
+        of_current = lambda e: F.col(f"{e}.digest").eqNullSafe(F.col("cur.digest")) & (F.col("cur.digest").isNotNull() | (F.col(f"{e}.token") > F.col("cur.token")))
+        held = F.col("lease").isNotNull() & of_current("lease") & (F.coalesce("released.token", F.lit(-1)) < F.col("lease.token"))
         state = (
-            F.when(F.col("done_token") == F.col("lease.token"), "done")
-            .when(F.col("lease").isNull() | (F.col("released") >= F.col("lease.token")) | (F.col("lease.until") <= F.lit(now).cast("timestamp_ntz")), "pending")
-            .otherwise("leased")
+            F.when(F.col("cur").isNull(), "unknown")
+            .when(F.col("did").isNotNull() & of_current("did") & ~(held & (F.col("lease.token") > F.col("did.token"))), "done")
+            .when(held & (F.col("lease.until") > F.lit(now).cast("timestamp_ntz")), "leased")
+            .otherwise("pending")
         )
-        return g.select("rec_table", "rec_id", "digest", state.alias("state"), F.col("lease.token").alias("token"), F.col("lease.owner").alias("owner"))
+        return g.select(*KEYS, F.col("cur.digest").alias("digest"), state.alias("state"), F.col("lease.token").alias("token"), F.col("lease.owner").alias("owner"))
 
     def enqueue(self, items: DataFrame, batch: str, now) -> None:
-        """Register items (rec_table, rec_id, digest). The same batch written again replaces itself; an item known from elsewhere changes nothing."""
-        known = self._events().filter((F.col("event") != "new") | (F.col("owner") != batch)).select("rec_table", "rec_id", "digest").distinct()
-        fresh = items.select("rec_table", "rec_id", "digest").distinct().alias("i").join(known.alias("k"), [F.col("i.rec_table") == F.col("k.rec_table"), F.col("i.rec_id") == F.col("k.rec_id"), F.col("i.digest").eqNullSafe(F.col("k.digest"))], "left_anti")
-        self._write(cut(fresh).select("*", F.lit("new").alias("event"), F.lit(0).cast("bigint").alias("token"), F.lit(batch).alias("owner"), F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(now).cast("timestamp_ntz").alias("at")), "new", batch)
+        """Register items (rec_table, rec_id, digest), a record's present version each (of several, the greatest digest).
+
+        A version equal to the one registered last changes nothing, whatever came before that; a null digest equals none. The same batch written again
+        replaces itself and keeps its place in the log (event ``batch``: the greatest token and the time when it first came), so that it re-opens nothing."""
+        e = self._events()
+        place = e.filter((F.col("owner") == batch) & F.col("event").isin("batch", "new")).orderBy("token", "at").first()
+        token, at = (place["token"], place["at"]) if place else (e.agg(F.max("token")).first()[0] or 0, now)
+        token, at = F.lit(token).cast("bigint").alias("token"), F.lit(at).cast("timestamp_ntz").alias("at")
+        before = e.filter((F.col("event") == "new") & (F.struct("token", "at", "owner") < F.struct(token, at, F.lit(batch).alias("owner"))))
+        known = before.groupBy(*KEYS).agg(F.max(F.struct("token", "at", "owner", "digest")).alias("k")).select(*KEYS, F.col("k.digest").alias("digest"))
+        fresh = items.filter(F.col("rec_id").isNotNull()).groupBy(*KEYS).agg(F.max("digest").alias("digest")).join(known, [*KEYS, "digest"], "left_anti")
+        none = F.lit(None).cast("string")
+        rows = cut(fresh).select(*KEYS, "digest", F.lit("new").alias("event")).unionByName(self.spark.range(1).select(none.alias("rec_table"), none.alias("rec_id"), none.alias("digest"), F.lit("batch").alias("event")))
+        self._write(rows.select("*", token, F.lit(batch).alias("owner"), F.lit(None).cast("timestamp_ntz").alias("until"), at), "new", batch)
 
     def lease(self, owner: str, until, now, limit: int | None = None) -> int:
         """Lease pending items until ``until``; gives the fencing token, greater than all before."""
@@ -120,14 +141,16 @@ class WorkLedger:
     def _lease(self, token: int) -> DataFrame:
         return self.spark.read.schema(EVENTS).parquet(f"{self.path}/lease/{token}")
 
-    def _close(self, token: int, event: str, now) -> None:
-        self._write(self._lease(token).select("rec_table", "rec_id", "digest", F.lit(event).alias("event"), "token", "owner", "until", F.lit(now).cast("timestamp_ntz").alias("at")), event, token)
-
     def complete(self, token: int, now) -> int:
-        """Mark the items of a lease done; gives how many were accepted. Items leased anew since then keep their newer token: this writer is stale for them."""
-        self._close(token, "done", now)
-        return self.state(now).filter((F.col("state") == "done") & (F.col("token") == token)).count()
+        """Mark the items of a lease done; gives how many were accepted. Records leased anew since then keep their newer token: this writer is stale for them,
+        and no ``done`` is written. A retry keeps what was accepted before."""
+        e = self._events().filter(F.col("rec_id").isNotNull())
+        own = F.max((F.col("event") == "done") & (F.col("token") == token)).alias("accepted")
+        mine = e.groupBy(*KEYS).agg(F.max(F.when(F.col("event") == "lease", F.col("token"))).alias("newest"), own).filter((F.col("newest") == token) | F.col("accepted")).select(*KEYS)
+        done = cut(self._lease(token).join(mine, KEYS, "left_semi"))
+        self._write(done.select(*KEYS, "digest", F.lit("done").alias("event"), "token", "owner", "until", F.lit(now).cast("timestamp_ntz").alias("at")), "done", token)
+        return done.count()
 
     def fail(self, token: int, now) -> None:
         """A run that broke gives its items back at once."""
-        self._close(token, "release", now)
+        self._write(self._lease(token).select(*KEYS, "digest", F.lit("release").alias("event"), "token", "owner", "until", F.lit(now).cast("timestamp_ntz").alias("at")), "release", token)

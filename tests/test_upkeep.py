@@ -75,6 +75,33 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert rows(led.state(at(8)).filter("state = 'pending'"), "rec_id", "digest") == [("a", "2")]
 
 
+def _handle(led, hour):
+    return led.complete(led.lease("w", at(hour + 1), at(hour)), at(hour))
+
+
+def test_ledger_reopens_what_differs_from_the_last(spark, tmp_path):
+    led = worklist.WorkLedger(spark, str(tmp_path / "ledger"))
+    put = lambda batch, hour, *items: led.enqueue(spark.createDataFrame([("t", *i) for i in items], "rec_table string, rec_id string, digest string"), batch, at(hour))
+    states = lambda: rows(led.state(at(99)), "rec_id", "digest", "state")
+    put("b1", 0, ("a", "A"), ("n", None), ("r", "A"))
+    assert _handle(led, 1) == 3
+    put("b1", 2, ("a", "A"), ("n", None), ("r", "A"))  # the batch repeated: nothing to do
+    assert {s for *_, s in states()} == {"done"}
+    put("b2", 3, ("a", "B"), ("n", None), ("r", "B"))
+    assert states() == [("a", "B", "pending"), ("n", None, "pending"), ("r", "B", "pending")]
+    put("b3", 3, ("r", "A"))  # back before B was taken: A is what was handled last
+    assert states()[2] == ("r", "A", "done")
+    assert _handle(led, 4) == 2
+    put("b1", 5, ("a", "A"), ("n", None), ("r", "A"))
+    assert {s for *_, s in states()} == {"done"}
+    put("b4", 6, ("a", "A"), ("n", None), ("r", "A"))  # A -> B -> A
+    assert states() == [("a", "A", "pending"), ("n", None, "pending"), ("r", "A", "done")]
+    stale = led.lease("w", at(7), at(6))
+    newer = led.lease("w", at(9), at(8))
+    assert led.complete(stale, at(8)) == 0 and led.complete(newer, at(8)) == 2
+    assert {s for *_, s in states()} == {"done"}
+
+
 def _broken(spark, edges, nodes, removals=()):
     e = spark.createDataFrame(edges, "edge_id bigint, from_node string, to_node string, edge_type string, extracted_at timestamp_ntz, key string, period int")
     n = spark.createDataFrame(nodes, "id string, indexed_at timestamp_ntz")
