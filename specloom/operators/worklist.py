@@ -34,37 +34,63 @@ def last_reports(manifests: DataFrame) -> DataFrame:
     return manifests.groupBy("run_id").agg(F.max(F.struct("reported_at", "status")).alias("r")).select("run_id", F.col("r.status").alias("status"))
 
 
+def _event(rec_table: Column, rec_id: str, event: Column, token: int, at: str, digest: Column, seq: Column | None = None) -> list[Column]:
+    """The columns of an event of the given tables. All their runs came before the snapshot that is registered now: token 0 against its 1."""
+    return [
+        *(rec_table.alias("rec_table"), F.col(rec_id).alias("rec_id"), digest.alias("digest"), event.alias("event"), F.lit(token).cast("bigint").alias("token")),
+        *(F.lit(None).cast("string").alias("owner"), F.col(at).cast("timestamp_ntz").alias("until"), F.col(at).alias("at"), (F.lit(0) if seq is None else seq).cast("bigint").alias("seq")),
+    ]
+
+
 def current_versions(rows: DataFrame, rec_table: str, id_col: str, hash_col: str, at_col: str) -> DataFrame:
-    """Events ``seen``: every delivered version of the records of one table, unreduced (the fold takes the latest)."""
-    return rows.select(F.lit(rec_table).alias("rec_table"), F.col(id_col).alias("rec_id"), F.lit("seen").alias("event"), F.col(at_col).alias("at"), F.lit(0).cast("bigint").alias("seq"), digest(F.col(hash_col)).alias("digest"))
+    """Events ``new``: every delivered version of the records of one table, unreduced (the fold takes the latest)."""
+    return rows.select(*_event(F.lit(rec_table), id_col, F.lit("new"), 1, at_col, digest(F.col(hash_col))))
 
 
 def done_versions(ledger: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Events ``done``: what runs whose last report is a success have handled. Work of other runs counts as a lease that lapsed.
+    """Events ``done``: what runs whose last report is a success have handled; ``lease``, run out when it was given: what other runs took.
 
+    The order is that of processed_at, then ledger_id, not that of run_id: a run with a lower number may have handled a record later.
     The runs are one row each; whether that side is broadcast is left to the planner, which knows its size."""
-    ok = last_reports(manifests).filter("status = 'success'").select("run_id")
-    return ledger.join(ok, "run_id", "left_semi").select("rec_table", "rec_id", F.lit("done").alias("event"), F.col("processed_at").alias("at"), F.col("ledger_id").alias("seq"), digest(F.col("seen_hash")).alias("digest"))
+    event = F.when(F.col("status") == "success", "done").otherwise("lease")
+    rows = ledger.join(last_reports(manifests), "run_id", "left")
+    return rows.select(*_event(F.col("rec_table"), "rec_id", event, 0, "processed_at", digest(F.col("seen_hash")), F.col("ledger_id")))
 
 
 def removed_records(removals: DataFrame, rec_table: str, id_col: str, at_col: str) -> DataFrame:
-    return removals.select(F.lit(rec_table).alias("rec_table"), F.col(id_col).alias("rec_id"), F.lit("removed").alias("event"), F.col(at_col).alias("at"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("digest"))
+    return removals.select(*_event(F.lit(rec_table), id_col, F.lit("removed"), 0, at_col, F.lit(None).cast("string")))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """One row per record: current digest, digest done last, and the state ``pending``, ``done``, ``removed`` or ``unknown``.
+def fold(events: DataFrame, now=None) -> DataFrame:
+    """(rec_table, rec_id, digest, at, done_digest, state, token, owner): one row per record that was registered, done or removed, for the version registered
+    last, with the state ``pending``, ``leased``, ``done``, ``removed`` or ``unknown``. ``now`` decides which leases have run out; without it, all have.
 
     One shuffle: each event kind is a conditional max, combined before the shuffle, so a key with a third of all rows travels as one row
-    a task. Rows with a null id are no records. A null digest differs from everything, also from null. Ties: greater sequence, then digest."""
-    pick = lambda kind: F.max(F.when(F.col("event") == kind, F.struct("at", "seq", "digest")))
-    g = events.filter(F.col("rec_id").isNotNull()).groupBy(*KEYS).agg(pick("seen").alias("cur"), pick("done").alias("did"), pick("removed").alias("gone"))
+    a task. Rows with a null id are no records. A null digest differs from everything, also from null: it is a version of its own each time it is
+    registered, and only a lease given after that (a greater token) can have handled it. Ties: greater sequence, then digest."""
+    last = lambda kind, *cols: F.max(F.when(F.col("event") == kind, F.struct(*cols)))
+    g = (
+        events.filter(F.col("rec_id").isNotNull())
+        .groupBy(*KEYS)
+        .agg(
+            last("new", "token", "at", "owner", "digest").alias("cur"),
+            last("done", "token", "at", "seq", "digest").alias("did"),
+            last("lease", "token", "at", "seq", "digest", "owner", "until").alias("lease"),
+            last("release", "token").alias("released"),
+            last("removed", "at").alias("gone"),
+        )
+        .filter("cur is not null or did is not null or gone is not null")
+    )
+    of_current = lambda e: F.col(e).isNotNull() & F.col(f"{e}.digest").eqNullSafe(F.col("cur.digest")) & (F.col("cur.digest").isNotNull() | (F.col(f"{e}.token") > F.col("cur.token")))
+    held = of_current("lease") & (F.coalesce("released.token", F.lit(-1)) < F.col("lease.token"))
     state = (
         F.when(F.col("cur").isNull(), "unknown")
         .when(F.col("gone.at") > F.col("cur.at"), "removed")
-        .when(F.col("cur.digest") == F.col("did.digest"), "done")
+        .when(of_current("did") & ~(held & (F.col("lease.token") > F.col("did.token"))), "done")
+        .when(held & (F.col("lease.until") > F.lit(now).cast("timestamp_ntz")), "leased")
         .otherwise("pending")
     )
-    return g.select(*KEYS, F.col("cur.digest").alias("digest"), F.col("cur.at").alias("at"), F.col("did.digest").alias("done_digest"), state.alias("state"))
+    return g.select(*KEYS, F.col("cur.digest").alias("digest"), F.col("cur.at").alias("at"), F.col("did.digest").alias("done_digest"), state.alias("state"), F.col("lease.token").alias("token"), F.col("lease.owner").alias("owner"))
 
 
 class WorkLedger:
@@ -85,30 +111,8 @@ class WorkLedger:
         df.select(*cols).write.mode("overwrite").parquet("/".join([self.path, *map(str, parts)]))
 
     def state(self, now) -> DataFrame:
-        """(rec_table, rec_id, digest, state, token, owner): one row per record, for the version registered last. ``now`` decides which leases have run out.
-
-        A null digest is a version of its own each time it is registered: only a lease given after that (a greater token) can have handled it."""
-        last = lambda kind, *cols: F.max(F.when(F.col("event") == kind, F.struct(*cols)))
-        g = (
-            self._events()
-            .filter(F.col("rec_id").isNotNull())
-            .groupBy(*KEYS)
-            .agg(
-                last("new", "token", "at", "owner", "digest").alias("cur"),
-                last("done", "token", "digest").alias("did"),
-                last("lease", "token", "digest", "owner", "until").alias("lease"),
-                last("release", "token").alias("released"),
-            )
-        )
-        of_current = lambda e: F.col(f"{e}.digest").eqNullSafe(F.col("cur.digest")) & (F.col("cur.digest").isNotNull() | (F.col(f"{e}.token") > F.col("cur.token")))
-        held = F.col("lease").isNotNull() & of_current("lease") & (F.coalesce("released.token", F.lit(-1)) < F.col("lease.token"))
-        state = (
-            F.when(F.col("cur").isNull(), "unknown")
-            .when(F.col("did").isNotNull() & of_current("did") & ~(held & (F.col("lease.token") > F.col("did.token"))), "done")
-            .when(held & (F.col("lease.until") > F.lit(now).cast("timestamp_ntz")), "leased")
-            .otherwise("pending")
-        )
-        return g.select(*KEYS, F.col("cur.digest").alias("digest"), state.alias("state"), F.col("lease.token").alias("token"), F.col("lease.owner").alias("owner"))
+        """(rec_table, rec_id, digest, state, token, owner): folded events. ``now`` decides which leases have run out."""
+        return fold(self._events().withColumn("seq", F.lit(0).cast("bigint")), now).select(*KEYS, "digest", "state", "token", "owner")
 
     def enqueue(self, items: DataFrame, batch: str, now) -> None:
         """Register items (rec_table, rec_id, digest), a record's present version each (of several, the greatest digest).

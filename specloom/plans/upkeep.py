@@ -10,6 +10,7 @@ from ..runtime import table
 
 
 def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables as events of the work ledger, folded by its rules."""
     t = lambda n: table(spark, sf_dir, n)
     events = (
         worklist.current_versions(t("graph_nodes"), "graph_nodes", "id", "source_hash", "indexed_at")

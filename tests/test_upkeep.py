@@ -102,6 +102,23 @@ def test_ledger_reopens_what_differs_from_the_last(spark, tmp_path):
     assert {s for *_, s in states()} == {"done"}
 
 
+def test_given_tables_pass_through_the_ledger(spark, tmp_path):
+    led = worklist.WorkLedger(spark, str(tmp_path / "ledger"))
+    ledger = spark.createDataFrame([(1, 1, "t", "a", "A", at(1)), (2, 2, "t", "a", "A", at(2)), (3, 2, "t", "b", "B", at(2)), (4, 3, "t", "c", "C", at(2)), (5, 2, "t", "only", "x", at(2))], "ledger_id bigint, run_id bigint, rec_table string, rec_id string, seen_hash string, processed_at timestamp_ntz")
+    manifests = spark.createDataFrame([(1, "success", at(3)), (2, "failed", at(3)), (3, "running", at(3))], "run_id bigint, status string, reported_at timestamp_ntz")
+    nodes = spark.createDataFrame([(i, i.upper(), at(0)) for i in "abcd"], "id string, h string, at timestamp_ntz")
+    handled = worklist.done_versions(ledger, manifests)
+    assert rows(handled, "rec_id", "event") == [("a", "done"), ("a", "lease"), ("b", "lease"), ("c", "lease"), ("only", "lease")]
+    events = worklist.current_versions(nodes, "t", "id", "h", "at").unionByName(handled)
+    states = lambda e, now=None: rows(worklist.fold(e, now), "rec_id", "state")
+    want = [("a", "done"), ("b", "pending"), ("c", "pending"), ("d", "pending")]
+    assert states(events) == states(events, at(9)) == want
+    led._write(events, "given")  # the same events from the ledger's own files
+    assert rows(led.state(at(9)), "rec_id", "state") == want
+    assert led.lease("w", at(12), at(10)) == 2
+    assert rows(led.state(at(11)), "rec_id", "state") == [("a", "done"), *((i, "leased") for i in "bcd")]
+
+
 def _broken(spark, edges, nodes, removals=()):
     e = spark.createDataFrame(edges, "edge_id bigint, from_node string, to_node string, edge_type string, extracted_at timestamp_ntz, key string, period int")
     n = spark.createDataFrame(nodes, "id string, indexed_at timestamp_ntz")
