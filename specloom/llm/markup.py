@@ -42,7 +42,8 @@ _FORMS = {
     "texcommand": r"\\[A-Za-z]+\*?",
     "texescape": r"\\[^\w\s]",
     "display": r"\$\$",
-    "inline": r"\$[^$\n]{1,160}?\$",
+    # both ends of a long one are alike, without blanks or, around signs of mathematics, with: a price and the start of a later formula are no pair
+    "inline": r"\$[^$\n]{1,160}?\$|\$(?=\S)[^$\n]{161,}+(?<![\s(\[¿¡«])\$(?!\d)|\$(?=\s)(?=[^$\n]*?(?:[\\^{}]|_\w))[^$\n]{161,}+(?<=\s)\$(?!\w)",
     "dollar": r"\$",
     "url": r"(?:https?|ftp)://[^\s\])>\"'|}]+",
     "wikilink": r"\[\[[^\[\]\n]*(?:\]\]?|(?=\n|\Z))",
@@ -61,8 +62,8 @@ _FORMS = {
     "codespan": r"(?<!`)`[^`\n]+`(?!`)",
     "rule": r"^[ ]{0,3}(?:(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|(?:-[ \t]*){3,}|={3,}[ \t]*)$",
     "switch": r"__[A-Z]{2,}__",
-    "star": r"(?<![\w*\\])\*{1,3}(?=[\w¿¡\"«(\[<&\\])[^*\n]{1,200}?(?<=\S)\*{1,3}(?![\w*])",
-    "underline": r"(?<![\w_\\])_{1,3}(?=[^\W_]|[¿¡\"«(])(?:[^_\n]|(?<=\w)_(?=[^\W_])){1,200}?(?<=[^\s_])_{1,3}(?!\w)",
+    "star": r"(?<![\w*\\])\*{1,3}(?=[\w¿¡\"«(\[<&\\])[^*\n]++(?<=\S)\*{1,3}(?![\w*])",
+    "underline": r"(?<![\w_\\])_{1,3}(?=[^\W_]|[¿¡\"«(])(?:[^_\n]++|(?<=\w)_(?=[^\W_]))+?(?<=[^\s_])_{1,3}(?!\w)",
     "strike": r"(?<!~)~~(?=\S)[^~\n]+~~(?!~)",
     "quotes": r"'{2,5}",
     "redirect": r"^\#(?:REDIRECT|REDIRECCIÓN|REDIRECIONAMENTO)\b",
@@ -170,7 +171,7 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
                 fit.append("entitycut:" + ("start" if len(s) > 2 and any(n.startswith(s[1:]) for n in ("nbsp", "amp", "lt", "gt", "quot", "ldquo", "rdquo", "laquo", "raquo", "hellip", "aacute", "eacute", "iacute", "oacute", "uacute", "ntilde")) else "other"))
         elif kind in ("inline", "dollar"):
             body = s[1:-1]
-            fit.append("money:" + ("edge" if body[:1].isspace() or body[-1:].isspace() or not body else "tight"))
+            fit.append("money:" + ("edge" if len(body) <= 160 and (body[:1].isspace() or body[-1:].isspace() or not body) else "tight"))
             fit.append("money:" + ("math" if _MATHS(body) else "text"))
             fit.append("money:" + ("9" if before.isdigit() else "-"))
         elif kind in ("row", "pipe", "separator", "wikitable"):
@@ -360,6 +361,7 @@ _HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection
 _POINTERS = frozenset(["cite", "ref", "label", "eqref", "pageref", "citep", "citet"])
 _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 _ARGUMENT = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]]*\])?\{([^{}]*)\}").match
+_VERB = re.compile(r"\\verb\*?([^A-Za-z\s*])(.*?)\1").match
 _MATH_ENVS = frozenset(["equation", "align", "eqnarray", "gather", "multline", "math", "displaymath"])
 
 
@@ -484,9 +486,8 @@ def clean(text: str | None, crf: Crf) -> str | None:
                 new, past = f"[{m[2]}]", m.end()
             elif m:
                 new, past = m[2], m.end()
-            elif re.match(r"\\verb(.)(.*?)\1", text[a : a + 200]):
-                m = re.match(r"\\verb(.)(.*?)\1", text[a:])
-                new, past = f"`{m[2]}`", a + m.end()
+            elif name == "verb" and (m := _VERB(text, a)):
+                new, past = f"`{m[2]}`", m.end()
         elif kind == "template":
             new = ""
         elif kind == "braces":

@@ -131,6 +131,21 @@ def test_clean(crf, text, want):
     assert (got or "").strip("\n").replace("\n\n\n", "\n\n") == (want or "").strip("\n") if text != "|a|b|\n" else got is not None
 
 
+def test_marks_of_any_length(crf):
+    languages = lambda t: {n for k, n in enumerate(markup.LABELS) if markup.mask(t, crf) >> k & 1}
+    for n in (30, 1_000, 100_000):
+        words = ("palabra " * n)[: 8 * n - 1]
+        for t in (f"Antes **{words}** y fin.", f"Antes __{words}__ y fin."):
+            assert languages(t) == {"markdown"} and markup.clean(t, crf) == f"Antes {words} y fin."
+        sums = " + ".join(f"\\alpha_{k}" for k in range(n))
+        for t in (f"Vale ${sums}$ en total.", f"Vale $ {sums} $ en total."):
+            assert [k for *_, k, _ in markup.marks(t)] == ["inline"] and languages(t) == {"latex"} and markup.clean(t, crf) == t
+        assert markup.clean(f"Con \\verb|{words}| fin", crf) == f"Con `{words}` fin"
+        assert [k for *_, k, _ in markup.marks(f"Cuesta $40 {words} y $x^2$ da.")] == ["dollar", "inline"]  # a price takes no formula's start
+        for t in ("*a " * n, "_a " * n, "$" + words, "*" + words, "_a_b" * n, "\\verb|x " * n):
+            markup.clean(t, crf)
+
+
 def test_carried_takes_current_rows(spark):
     c = spark.createDataFrame([("a", 1, "<b>x</b>", None, 7), ("a", 2, "plain", "also **md**", 7), ("b", 1, None, None, 7), ("c", 1, "<i>", "[[w]]", 7), ("c", 1, "<i>", "[[w]]", 7), (None, 1, "<i>", "", 7)], "id string, generated_at int, raw_text string, context_text string, mask int")
     assert rows(markup.carried(c), "id", "markup") == [("a", "markdown"), ("c", "html"), ("c", "wiki")]
