@@ -128,7 +128,7 @@ def _scan(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 #: A text without any of this has no marks; in the form of Java's and Python's expressions alike.
-MAYBE = r"(?m)[<&\\$\[{`*~|]|''|=={1,}|__|(?<![\p{L}\p{N}_])_[\p{L}\p{N}]|^[ \t]*(?:[-+>#!]|\d{1,3}[.)][ \t]|h[1-6]\.|bq\.|=)"
+MAYBE = r"(?m)[<&\\$\[{`*~|]|''|\}\}|=={1,}|__|(?<![\p{L}\p{N}_])_\S|(?:https?|ftp)://|^[ \t]*(?:[-+>#!_]|\p{Nd}{1,3}[.)][ \t]|h[1-6]\.|bq\.|=)"
 
 _NAMES = frozenset(n.rstrip(";") for n in html.entities.html5)
 _VOID = frozenset(["br", "hr", "img", "input", "meta", "link", "wbr", "col"])

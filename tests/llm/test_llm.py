@@ -131,6 +131,30 @@ def test_clean(crf, text, want):
     assert (got or "").strip("\n").replace("\n\n\n", "\n\n") == (want or "").strip("\n") if text != "|a|b|\n" else got is not None
 
 
+#: A text for each form, with no other mark in it where that can be.
+MINIMAL = [
+    ("comment", "a <!-- b"), ("doctype", "<!DOCTYPE"), ("autolink", "a <ftp:b>"), ("tag", "a <b"), ("entity", "a &amp; b"), ("entitycut", "a &am"), ("texrow", "a \\\\ b"), ("share", "\\\\a"), ("path", "D:\\a"), ("texenv", "\\begin{a"),
+    ("texmath", "a \\( b"), ("texaccent", "\\'a"), ("texcommand", "\\a"), ("texescape", "a\\% b"), ("display", "a $$ b"), ("inline", "a $b$ c"), ("dollar", "a $ b"), ("url", "Ver https://a.example/b hoy"), ("url", "ftp://a.example"),
+    ("wikilink", "[[a"), ("template", "a {{b"), ("template", "fin de plantilla}} y sigue"), ("wikitable", "{| a"), ("macro", "{code}"), ("braces", "{a}"), ("image", "![a]"), ("definition", "[a]: b"), ("footnote", "[^a]"), ("link", "[a](b)"),
+    ("reference", "[a][b]"), ("external", "[ftp:a b]"), ("bracket", "[a]"), ("fence", "~~~"), ("codespan", "`a`"), ("rule", "a\n_ _ _"), ("rule", "a\n---"), ("rule", "==="), ("switch", "__TOC__"), ("star", "*a*"), ("underline", "a _b_ c"),
+    ("underline", "Dice _¿seguro?_ y sigue."), ("underline", "_¡a!_"), ("underline", '_"a"_'), ("underline", "_«a»_"), ("underline", "_(a)_"), ("underline", "___a___"), ("strike", "~~a~~"), ("quotes", "a ''b"), ("redirect", "#REDIRECT a"),
+    ("hashes", "# a"), ("equals", "=a="), ("heading", "h1. a"), ("heading", "bq. a"), ("bullet", "- a"), ("bullet", "+ a"), ("number", "1. a"), ("number", "٣) a"), ("quotation", "> a"), ("separator", "--|--"), ("row", "! a ! b"),
+    ("pipe", "a | b"), ("ampersand", "a & b"),
+]
+
+
+def test_maybe_covers_every_form(spark):
+    import regex
+
+    shapes = {k for k, t in MINIMAL if k in [m[2] for m in markup.marks(t)]}
+    assert shapes == set(markup._FORMS) and all(k in [m[2] for m in markup.marks(t)] for k, t in MINIMAL)
+    may = regex.compile(markup.MAYBE)
+    assert [t for _, t in MINIMAL if not may.search(t)] == []
+    df = spark.createDataFrame(MINIMAL, "form string, t string")
+    assert df.filter(~F.col("t").rlike(markup.MAYBE)).collect() == []  # Java's reading of it
+    assert not may.search("Texto llano: a_b, 3.5 y c} (d) = e; f - g")
+
+
 def test_marks_of_any_length(crf):
     languages = lambda t: {n for k, n in enumerate(markup.LABELS) if markup.mask(t, crf) >> k & 1}
     for n in (30, 1_000, 100_000):
