@@ -10,7 +10,8 @@ Vectors are scaled to length one; cosine c then means the distance sqrt(2 - 2c).
 4. The answers of the shards are merged.
 
 The triangle inequality proper is ``factor`` 1, which gives exact results. Distances to a vantage point differ far less than the points' own distance does
-(in d dimensions by about its 1/sqrt(d)-th part), so a smaller factor prunes most and loses little. With a floor on the cosine the ball is known from the start.
+(in d dimensions by about its 1/sqrt(d)-th part), so a smaller factor prunes most and loses little: ``ALL`` or, with a floor, ``ABOVE`` over sqrt(d) unless one is
+given. What is lost adds up with the levels of the trees, those of the shards and those within them. With a floor on the cosine the ball is known from the start.
 Without one, a point first asks its own shard, and the k-th distance found there is the radius for the rest.
 
 A point's answers leave out its own document. So that a class of copies or a document of any size stays bounded, an answer holds the ``2 * k`` best
@@ -23,7 +24,7 @@ document_id is a document of its own. Ties: the smaller id by bytes. Redelivered
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SALTS = 16
 PART = 120_000
 BLOCK = 4_096
 RISING = 0.9
+ALL = 2.0
+ABOVE = 1.6
 
 
 def current_points(chunks: DataFrame) -> DataFrame:
@@ -60,6 +63,11 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y)))
 
 
+def relaxed(factor: float | None, floor: float | None, d: int) -> float:
+    """The factor for vectors of d dimensions: the one given, else by ``ALL`` or ``ABOVE``; 1, which loses nothing, at most."""
+    return factor if factor is not None else min(1.0, (ALL if floor is None else ABOVE) / d**0.5)
+
+
 class Tree:
     """A vantage-point tree over the rows of a matrix of unit vectors: inner nodes (point, radius, near, far), leaves hold row numbers."""
 
@@ -241,19 +249,19 @@ class Index:
                 self.trees[m] = Tree(x, max(1, -(-len(x) // max(1, round(n / shard)))))
                 self.sample[m] = (x, n / len(x))
 
-    def _plan_parts(self, width: float | None) -> dict[str, np.ndarray]:
+    def _plan_parts(self, factor: Callable[[int], float] | None, radius: float = 1.0) -> dict[str, np.ndarray]:
         """Into how many parts the questions to each shard are split, by how many of the sample reach it: none has many more than ``PART``."""
         out = {}
         for m, (x, weight) in self.sample.items():
             tree = self.trees[m]
             n = np.ones(len(tree.nodes), np.int64)
-            got = tree.reach(x, np.full(len(x), width)) if width is not None else ((at, np.flatnonzero(tree.home(x) == at)) for at in range(len(tree.nodes)))
+            got = tree.reach(x, np.full(len(x), factor(x.shape[1]) * radius)) if factor is not None else ((at, np.flatnonzero(tree.home(x) == at)) for at in range(len(tree.nodes)))
             for at, rows in got:
                 n[at] = max(1, -(-int(len(rows) * weight) // PART))
             out[m] = n
         return out
 
-    def _route(self, df: DataFrame, kind: int, factor: float | None, radius: str | None, parts: dict[str, np.ndarray]) -> DataFrame:
+    def _route(self, df: DataFrame, kind: int, factor: Callable[[int], float] | None, radius: str | None, parts: dict[str, np.ndarray]) -> DataFrame:
         """Rows (model, cls, id, doc, unit[, radius]) to the shards they lie in (no factor) or ask in. Points go to all parts of a shard, a question to one."""
         trees = self.trees
 
@@ -270,7 +278,7 @@ class Index:
                     elif factor is None:
                         rows, shards = np.arange(len(x)), tree.home(x)
                     else:
-                        got = [(rows, np.full(len(rows), at)) for at, rows in tree.reach(x, factor * r)]
+                        got = [(rows, np.full(len(rows), at)) for at, rows in tree.reach(x, factor(x.shape[1]) * r)]
                         rows, shards = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
                     many = parts.get(m, np.ones(1, np.int64))[shards]
                     if kind == 0:
@@ -287,12 +295,13 @@ class Index:
         rows = df.select("model", F.lit(kind).alias("kind"), "cls", *cols, "unit", (F.lit(0.0) if radius is None else F.expr(radius)).cast("double").alias("radius"))
         return rows.mapInArrow(run, "model string, shard int, part int, kind int, cls binary, id string, doc string, unit array<float>, radius double")
 
-    def answers(self, factor: float, floor: float | None = None) -> DataFrame:
+    def answers(self, factor: float | None, floor: float | None = None) -> DataFrame:
         """(model, cls, found: [(score, id, doc)]): the 2k best of each class, at most k a document, in order."""
         k = self.k
+        given, factor = factor, lambda d: relaxed(given, floor, d)
         if floor is not None:
             r = float(np.sqrt(max(0.0, 2 - 2 * floor)))
-            parts = self._plan_parts(factor * r)
+            parts = self._plan_parts(factor, r)
             return self._merge(self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, factor, f"{r}D", parts), factor, floor))
         parts = self._plan_parts(None)
         first = self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, None, "2D", parts), factor, None)
@@ -306,7 +315,7 @@ class Index:
         points = self._route(self.heads, 0, None, None, parts)
         return self._merge(first.unionByName(self._ask(points, asked.select(points.columns), factor, None)))
 
-    def _ask(self, points: DataFrame, asked: DataFrame, factor: float, floor: float | None) -> DataFrame:
+    def _ask(self, points: DataFrame, asked: DataFrame, factor: Callable[[int], float], floor: float | None) -> DataFrame:
         k = self.k
 
         def run(t: pa.Table) -> pa.Table:
@@ -325,7 +334,7 @@ class Index:
             low = np.full(len(y), floor) if floor is not None else np.where(radius >= 2.0, -1.1, 1 - radius**2 / 2 - 1e-9)
             got = []
             for a in range(0, len(y), BLOCK):  # hits of a block are cut to answers before the next
-                i, j, s = search(tree, x, y[a : a + BLOCK], radius[a : a + BLOCK], low[a : a + BLOCK], factor, doc, k)
+                i, j, s = search(tree, x, y[a : a + BLOCK], radius[a : a + BLOCK], low[a : a + BLOCK], factor(x.shape[1]), doc, k)
                 best = _best(i, s, ids[j], doc[j], k)
                 got.append((i[best] + a, j[best], s[best]))
             i, j, s = (np.concatenate(c) for c in zip(*got))
@@ -354,7 +363,7 @@ class Index:
 def similar(points: DataFrame, k: int = 10, floor: float | None = None, factor: float | None = None, shard: int = 60_000) -> DataFrame:
     """(id, rank, neighbour, score): the k most similar points of other documents and the same model, with cosine ``floor`` at least if one is given."""
     index = Index(points, k, shard)
-    return index.neighbours(index.answers(factor if factor is not None else (0.2 if floor is not None else 0.18), floor))
+    return index.neighbours(index.answers(factor, floor))
 
 
 def mutual(similarities: DataFrame) -> DataFrame:

@@ -228,6 +228,31 @@ def test_relaxed_recall(spark):
     assert sum(len(got[i] & set(want[i])) for i in ids) / (10 * len(ids)) >= 0.9
 
 
+@pytest.mark.parametrize("d", [32, 64])
+def test_relaxed_recall_over_many_levels(spark, d):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, d)).astype(np.float32)
+    radius = np.sqrt(np.maximum(0, 2 - 2 * np.partition((u := x / np.linalg.norm(x, axis=1, keepdims=True))[:400] @ u.T, -21)[:, -21]))
+    want = np.argpartition(-(u[:400] @ u.T), 11)[:, :11]
+    factor = neighbours.relaxed(None, None, d)
+    got = total = 0
+    tree = neighbours.Tree(u.astype(np.float64), 3)  # twelve levels
+    reached = [set() for _ in range(400)]
+    for at, some in tree.reach(u[:400].astype(np.float64), factor * radius):
+        for i in some:
+            reached[i].update(tree.nodes[at][1].tolist())
+    for i in range(400):
+        near = set(want[i].tolist()) - {i}
+        got, total = got + len(near & reached[i]), total + len(near)
+    assert got / total >= 0.95, got / total
+    few, ids, docs = x[:3000], [f"c{i:04d}" for i in range(3000)], [f"d{i}" for i in range(3000)]
+    found = {}
+    for r in neighbours.similar(neighbours.current_points(frame(spark, ids, docs, few)), 10, shard=200).collect():  # several shards
+        found.setdefault(r["id"], set()).add(r["neighbour"])
+    brute = brute_neighbours(ids, docs, few.astype(np.float64), 10)
+    assert sum(len(found[i] & set(brute[i])) for i in ids) / (10 * len(ids)) >= 0.97
+
+
 def test_unusable_vectors_and_mutual_pairs(spark):
     nan, inf = float("nan"), float("inf")
     data = [("a", "1", "m", 2, [1.0, 0.0], 1), ("b", "2", "m", 2, [1.0, 0.01], 1), ("b", "2", "m", 2, [1.0, 0.01], 1), ("c", "3", "m", 2, [0.0, 0.0], 1), ("d", "3", "m", 2, None, 1), ("e", "3", "m", 2, [1.0], 1), ("f", "3", "m", 2, [nan, 1.0], 1), ("g", "3", "m", 2, [inf, 1.0], 1), ("h", "3", "m", 2, [None, 1.0], 1), ("i", "3", None, 2, [1.0, 0.0], 1), ("j", None, "m", 2, [5.0, 0.0], 1), ("k", None, "m", 2, [5.0, 0.0], 1), ("l", "9", "other", 2, [1.0, 0.0], 1), (None, "9", "m", 2, [1.0, 0.0], 1), ("a2", "1", "m", 2, [1.0, 0.0], 1)]
