@@ -44,42 +44,35 @@ _TOKEN = r"https?://\S+|0++(?:[.,/:]0++)*+(?![\p{L}\p{M}\p{N}_])|[\p{L}\p{M}\p{N
 _CLASS = r"""case when contains(x, '0') then case when translate(x, '0.,/:', '') = '' then '0' when startswith(x, 'http') then 'URL' else 'CC' end
   when x = lower(x) then if(startswith(x, 'http') and contains(x, '://'), 'URL', x) when substr(x, 2) <> lower(substr(x, 2)) then 'NN' else lower(x) end"""
 
-_TEXTS = r"""
-with t as (select {id} as id, {text} as text, rtrim(' \n', translate({text}, '{blanks}123456789\r', '{spaces}000000000')) as body
-  from {docs} where {text} rlike r'^[^\p{L}\p{N}]*+(?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){3}[\p{L}\p{N}]')
-"""
+_WORDS = r"{text} rlike r'^[^\p{L}\p{N}]*+(?:[\p{L}\p{N}]++[^\p{L}\p{N}]++){3}[\p{L}\p{N}]'"
+_EVEN = r"'{blanks}123456789\r', '{spaces}000000000'"
 
 # A closed block of code is a matter of several lines; lines are exploded as if there might be none, or the optimizer would compute them again.
-_GRAMS = (
-    _TEXTS
-    + r"""
-, l as (select split(if(contains(body, '```') or contains(body, '~~~'), regexp_replace(body, r'(?ms)^(```|~~~).*?^\1', '```'), body), '\n') as lines from t),
+_GRAMS = r"""
+with t as (select rtrim(' \n', translate({text}, {even})) as body from {docs} where {words}),
+l as (select split(if(contains(body, '```') or contains(body, '~~~'), regexp_replace(body, r'(?ms)^(```|~~~).*?^\1', '```'), body), '\n') as lines from t),
 x as (select line from l lateral view outer explode(lines) y as line),
 w as (select startswith(line, '#') as head, transform(regexp_extract_all(line, r'{token}', 0), x -> {class}) as w from x where line is not null and line <> ''),
 g as (
-  select inline(transform(sequence(0, size(w) - 1), i -> struct(
-    xxhash64(if(i > 1, w[i - 2], '^'), if(i > 0, w[i - 1], '^')) as ab, xxhash64(if(i > 0, w[i - 1], '^')) as b, w[i] as c,
-    case when i = size(w) - 1 then if(head, 0, 2) when w[i + 1] in ('.', '?', '!') then 1 when i = size(w) - 2 and w[i + 1] in ('...', '…') then 3 else 0 end as nxt)))
-  from w where size(w) > 0)
+  select xxhash64(if(i > 1, w[i - 2], '^'), if(i > 0, w[i - 1], '^')) as ab, xxhash64(if(i > 0, w[i - 1], '^')) as b, c,
+    case when i = size(w) - 1 then if(head, 0, 2) when w[i + 1] in ('.', '?', '!') then 1 when i = size(w) - 2 and w[i + 1] in ('...', '…') then 3 else 0 end as nxt
+  from w lateral view outer posexplode(w) y as i, c where c is not null)
 select ab, b, c, count(*) as n, count_if(nxt = 1) as stops, count_if(nxt = 2) as ends, count_if(nxt = 3) as softs from g group by ab, b, c
 """
-)
 
-_FINALS = (
-    _TEXTS
-    + r"""
-, m as (select id, text, body, regexp_extract(substring_index(body, '\n', -1), r'{hard}', 0) as hard from t),
-n as (select id, text, hard <> '' as marked, rtrim(' \n', left(body, length(body) - length(hard))) as body from m),
+_FINALS = r"""
+with t as (select {id} as id, {text} as text, rtrim('{blanks} \r\n', {text}) as body from {docs} where {words}),
+m as (select id, text, body, regexp_extract(substring_index(body, '\n', -1), r'{hard}', 0) as hard from t),
+n as (select id, text, hard <> '' as marked, if(hard = '', body, rtrim('{blanks} \r\n', left(body, length(body) - length(hard)))) as body from m),
 o as (select id, text, marked, body, regexp_extract(substring_index(body, '\n', -1), r'{soft}', 0) as soft from n),
-b as (select id, text, marked, soft <> '' as soft, rtrim(' \n', left(body, length(body) - length(soft))) as body from o),
+b as (select id, text, marked, soft <> '' as soft, if(soft = '', body, rtrim('{blanks} \r\n', left(body, length(body) - length(soft)))) as body from o),
 f as (
-  select id, xxhash64(text) as h, marked, soft, body rlike r'[.?!](?:\s|$)' as pointed,
-    (contains(body, '```') or contains(body, '~~~')) and size(split(body, r'(?m)^(?:```|~~~)')) % 2 = 0 or startswith(body, '---\n') and locate('\n---', body, 4) = 0 as inside,
-    slice(concat(array('^', '^'), regexp_extract_all(substring_index(body, '\n', -1), r'{token}', 0)), -3, 3) as r from b),
+  select id, xxhash64(text) as h, marked, soft, body rlike r'[.?!](?:[\s{blanks}]|$)' as pointed,
+    (contains(body, '```') or contains(body, '~~~')) and size(split(body, r'(?m)^(?:```|~~~)')) % 2 = 0 or body rlike r'^---\r?\n' and locate('\n---', body, 4) = 0 as inside,
+    slice(concat(array('^', '^'), regexp_extract_all(translate(substring_index(body, '\n', -1), {even}), r'{token}', 0)), -3, 3) as r from b),
 k as (select *, transform(r, x -> {class}) as w from f)
 select id, h, marked, soft, pointed, inside, xxhash64(w[0], w[1]) as ab, xxhash64(w[1]) as b, if(r[2] <> lower(r[2]), array_distinct(array(w[2], lower(r[2]), 'NN', 'CC')), array(w[2])) as cs from k
 """
-)
 
 #: What is counted by: the two tokens before the last, the one before, none. All of them with the last token.
 _LEVELS = "array(struct(3 as level, ab as pair), struct(2 as level, b as pair), struct(1 as level, 0L as pair))"
@@ -117,7 +110,7 @@ def cut_off(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, how): the documents whose text lost its end; ``how`` says what shows it: 'trigram', 'bigram', 'word', 'mark' or 'block'."""
     spark = docs.sparkSession
     values = {
-        "id": f"`{id_col}`", "text": f"`{text_col}`", "hard": HARD_MARK, "soft": SOFT_MARK, "token": _TOKEN, "class": _CLASS, "blanks": "".join(map(chr, _BLANKS)), "spaces": " " * len(_BLANKS),
+        "words": _WORDS, "even": _EVEN, "id": f"`{id_col}`", "text": f"`{text_col}`", "hard": HARD_MARK, "soft": SOFT_MARK, "token": _TOKEN, "class": _CLASS, "blanks": "".join(map(chr, _BLANKS)), "spaces": " " * len(_BLANKS),
         "seen": str(SEEN), "share": str(SHARE), "word_seen": str(WORD_SEEN), "word_share": str(WORD_SHARE), "few": str(FEW), "style": str(STYLE), "levels": _LEVELS, "salts": str(SALTS),
     }
 
