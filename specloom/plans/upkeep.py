@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import orphans, worklist
-from ..runtime import table
+from ..runtime import shared_dir, table
 
 
-def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables as events of the work ledger, folded by its rules."""
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables as events of the work ledger."""
     t = lambda n: table(spark, sf_dir, n)
-    events = (
+    return (
         worklist.current_versions(t("graph_nodes"), "graph_nodes", "id", "source_hash", "indexed_at")
         .unionByName(worklist.current_versions(t("chunk_embeddings"), "chunk_embeddings", "id", "text_hash", "generated_at"))
         .unionByName(worklist.done_versions(t("process_ledger"), t("index_manifests")))
         .unionByName(worklist.removed_records(t("node_removals"), "graph_nodes", "node_id", "removed_at"))
     )
-    return worklist.fold(events)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _worklist(spark, sf_dir).filter("state = 'pending'").select("rec_table", "rec_id")
+    """What the next run takes: a ledger that goes on from the given tables leases all that is pending; the rows are read from that lease.
+
+    Each call opens a ledger of its own in the shared folder, as the given tables, which it continues, are not written to."""
+    ledger = worklist.WorkLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}", _events(spark, sf_dir))
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    return ledger.leased(ledger.lease("p1_found", now + timedelta(hours=1), now)).select("rec_table", "rec_id")
 
 
 def p1_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records of each table are new, changed, done, removed, or only known to the ledger."""
-    w = _worklist(spark, sf_dir)
+    w = worklist.fold(_events(spark, sf_dir))
     state = F.when((F.col("state") == "pending") & F.col("done_digest").isNull(), "new").when(F.col("state") == "pending", "changed").otherwise(F.col("state"))
     return w.groupBy("rec_table", state.alias("state")).agg(F.count("*").alias("records"))
 

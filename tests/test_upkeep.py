@@ -113,12 +113,72 @@ def test_given_tables_pass_through_the_ledger(spark, tmp_path):
     states = lambda e, now=None: rows(worklist.fold(e, now), "rec_id", "state")
     want = [("a", "done"), ("b", "pending"), ("c", "pending"), ("d", "pending")]
     assert states(events) == states(events, at(9)) == want
-    led._write(events, "given")  # the same events from the ledger's own files
+    led._write(events, "new", "given")  # the same events from the ledger's own files
     assert rows(led.state(at(9)), "rec_id", "state") == want
     assert led.lease("w", at(12), at(10)) == 2
+    over = worklist.WorkLedger(spark, str(tmp_path / "over"), events)  # a ledger that goes on from them
+    mine = over.lease("w", at(12), at(10))
+    assert rows(over.leased(mine), "rec_id") == [("b",), ("c",), ("d",)] and over.complete(mine, at(11)) == 3
+    assert {s for _, s in rows(over.state(at(99)), "rec_id", "state")} == {"done"}
     assert rows(led.state(at(11)), "rec_id", "state") == [("a", "done"), *((i, "leased") for i in "bcd")]
 
 
+def _items(spark, *items):
+    return spark.createDataFrame([("t", *i) for i in items], "rec_table string, rec_id string, digest string")
+
+
+def test_two_runs_never_hold_one_token(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    led = worklist.WorkLedger(spark, str(tmp_path / "ledger"))
+    led.enqueue(_items(spark, ("a", "1"), ("b", "1")), "b1", at(0))
+    with ThreadPoolExecutor(6) as pool:
+        assert len(set(pool.map(lambda _: led._draw(), range(60)))) == 60
+        tokens = list(pool.map(lambda n: led.lease(f"w{n}", at(5), at(1)), range(3)))
+    assert len(set(tokens)) == 3
+    accepted = [led.complete(t, at(2)) for t in sorted(tokens)]
+    assert sum(accepted) == 2  # every record is accepted from one run only, the newest that leased it
+    assert {s for *_, s in rows(led.state(at(3)), "rec_id", "state")} == {"done"}
+
+
+def test_crash_between_write_and_complete(spark, tmp_path):
+    led = worklist.WorkLedger(spark, str(tmp_path / "ledger"))
+    led.enqueue(_items(spark, ("a", "1"), ("b", None)), "b1", at(0))
+    assert led.published("x") is None
+    first = led.lease("w1", at(2), at(1))
+    led.publish(first, led.leased(first).selectExpr("*", "'broken' as made"), "x")  # and the run dies here
+    assert rows(led.published("x")) == []
+    second = led.lease("w2", at(9), at(3))
+    for _ in range(2):  # a retry replaces its own files
+        led.publish(second, led.leased(second).selectExpr("*", "'whole' as made"), "x")
+    assert led.complete(second, at(4)) == 2
+    with pytest.raises(worklist.StaleToken):
+        led.publish(first, led.leased(first).selectExpr("*", "'stale' as made"), "x")
+    assert led.complete(first, at(5)) == 0
+    assert rows(led.published("x"), "rec_id", "made") == [("a", "whole"), ("b", "whole")]
+
+
+def test_compaction_changes_nothing(spark, tmp_path):
+    led = worklist.WorkLedger(spark, str(tmp_path / "ledger"))
+    look = lambda: rows(led.state(at(50)), "rec_id", "digest", "state", "token")
+    led.compact()
+    assert look() == []
+    led.enqueue(_items(spark, ("a", "A"), ("n", None), ("r", "A")), "b1", at(0))
+    _handle(led, 1)
+    led.enqueue(_items(spark, ("a", "B"), ("n", None)), "b2", at(2))
+    led.fail(led.lease("w", at(9), at(3), limit=1), at(4))
+    before = look()
+    led.compact()
+    assert look() == before and [f.split("/")[0] for f in led._folders()] == ["snapshot"]
+    led.enqueue(_items(spark, ("a", "A"), ("n", None), ("r", "A")), "b1", at(5))  # an old batch again
+    assert look() == before
+    assert _handle(led, 6) == 2
+    led._create("snapshot", 99, "half")  # a snapshot that broke off
+    after = look()
+    led.compact()
+    assert look() == after and {s for *_, s, _ in after} == {"done"}
+
+
 def _broken(spark, edges, nodes, removals=()):
     e = spark.createDataFrame(edges, "edge_id bigint, from_node string, to_node string, edge_type string, extracted_at timestamp_ntz, key string, period int")
     n = spark.createDataFrame(nodes, "id string, indexed_at timestamp_ntz")
