@@ -213,6 +213,25 @@ def test_hot_key_in_several_ranges(spark):
     assert got.count() == (n + 2) // 3 + (1 if (n - 1) % 3 else 0)
 
 
+def test_bitmaps_hold_what_they_should(spark):
+    n = 5_000
+    e = spark.range(n).selectExpr("id as edge_id", "concat('n', id % 700) as from_node", "concat('m', id % 900) as to_node", "'T' as edge_type", "timestamp_ntz'2024-02-01' + make_dt_interval(int(id % 90)) as extracted_at")
+    nodes = spark.range(600).selectExpr("concat('n', id) as id", "timestamp_ntz'2024-01-01' + make_dt_interval(int(id % 80)) as indexed_at")
+    d = orphans.key_dictionary(orphans.edge_ends(e), [nodes], spark.createDataFrame([], "node_id string, removed_at timestamp_ntz"))
+    code = {r["code"]: r for r in d.collect()}
+    got = set()
+    for r in orphans.bitmaps(d).collect():
+        assert [w["word"] for w in r["words"]] == sorted({w["word"] for w in r["words"]}) and all(w["refs"] for w in r["words"])
+        for w in r["words"]:
+            for bit in range(64):
+                if w["refs"] >> bit & 1:
+                    k = code[(r["range"] << 15) + (w["word"] << 6) + bit]
+                    first = k["first"] and k["first"].year * 12 + k["first"].month
+                    assert bool(w["parents"] >> bit & 1) == bool(k["known"] and first < r["period"])
+                    got.add((k["key"], r["period"]))
+    assert got == {(k["key"], p) for k in code.values() for p in k["periods"]}
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p1_states", "p4_found", "p4_report"])
 def test_queries_run(spark, sf, name):
     from specloom.plans import upkeep
