@@ -1,21 +1,25 @@
 """Markup residue in texts: which languages a text carries, and its clean form.
 
-A text is laid out as a tree of blocks (fences, tables, environments, HTML elements) whose leaves hold marks: spans that could be markup. A linear-chain
-conditional random field labels the marks of a text in order as plain, html, markdown, wiki or latex. Its features are the mark's form, the
-text around it, the line it stands in, and the tags of its ancestors. It is trained (log-likelihood, stochastic gradient) on labelled pages that
+A text is parsed into a document tree. Its blocks are headings, rows, fences, environments, HTML elements and the like, its inline elements emphasis, links and commands;
+both may hold others. The leaf blocks are the marks: delimiters, tags, commands, references, each of which could be markup or plain text. A linear-chain
+conditional random field labels the leaves of a text in order as plain, html, markdown, wiki or latex. Its features are the leaf's form, the
+text around it, the line it stands in, and the tags of its ancestors in the tree. It is trained (log-likelihood, stochastic gradient) on labelled pages that
 ``pages`` composes from constructs of each language and from look-alikes in plain text, ``PAGES`` in number; it is decoded by Viterbi's algorithm.
+The clean text is put together from the tree, innermost elements first; elements whose leaves are plain stay as they are.
 
-A null or blank text has no marks. A text of any length is read whole.
+A null or blank text has no marks. A text of any length and any depth is read whole.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import random
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,7 @@ _FORMS = {
     "texrow": r"\\\\(?=\s|\Z|\[)",
     "share": r"\\\\\w+(?:\\[\w.]+)*",
     "path": r"(?<!\w)[A-Za-z]:\\[\w\\.]*",
+    "group": r"\{(?=\\[A-Za-z])",
     "texenv": r"\\(?:begin|end)(?:\{[^}\n]*\}?)?",
     "texmath": r"\\[\[\]()]",
     "texaccent": r"\\['`^\"~=.]\{?\\?[A-Za-z]\}?",
@@ -75,11 +80,12 @@ _FORMS = {
     "quotation": r"^[ \t]*>+[ \t]?(?=\S)",
     "separator": r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$",
     "row": r"^[ \t]*(?:\|{1,2}|!{1,2})(?=[^\n]*[|!])",
+    "cell": r"\|{1,2}|!!",
     "pipe": r"(?<=[ ])\|(?=[ ])",
     "ampersand": r"(?<=\s)&=?(?=\s)",
 }
 #: Where a mark may start: at a special character, or after the blanks of a line's start.
-_MAY_START = re.compile(r"^[ \t]*(?=[-+*>#|!:=\dhb_`~\[{])|[<&\\$\[{`*]|(?<=[ ])\|(?=[ ])|\}\}|''|(?<!\w)_|~~|!\[|(?<!\w)(?:[A-Za-z]:\\|https?://|ftp://)", re.M)
+_MAY_START = re.compile(r"^[ \t]*(?=[-+*>#|!:=\dhb_`~\[{])|[<&\\$\[{`*]|\||!!|\}\}|''|(?<!\w)_|~~|!\[|(?<!\w)(?:[A-Za-z]:\\|https?://|ftp://)", re.M)
 _AT_LINE = ("separator", "wikitable", "rule", "definition", "fence", "redirect", "hashes", "equals", "heading", "bullet", "number", "quotation", "row")
 _BY_FIRST = {
     "<": ("comment", "doctype", "autolink", "tag"),
@@ -87,7 +93,7 @@ _BY_FIRST = {
     "\\": ("texrow", "share", "texenv", "texmath", "texaccent", "texcommand", "texescape"),
     "$": ("display", "inline", "dollar"),
     "[": ("wikilink", "footnote", "link", "reference", "external", "bracket"),
-    "{": ("template", "macro", "braces"),
+    "{": ("template", "group", "macro", "braces"),
     "}": ("template",),
     "`": ("codespan",),
     "*": ("star",),
@@ -103,28 +109,115 @@ _alternation = lambda kinds: re.compile("|".join(f"(?P<{k}>{_FORMS[k].replace('^
 _LINE_MATCH = _alternation(_AT_LINE)
 _MATCH = {c: _alternation(kinds) for c, kinds in _BY_FIRST.items()}
 _OTHER_MATCH = _alternation(("path", "url"))
+_CELL_MATCH = _alternation(("cell",))
+#: In a wiki table any line that starts with a bar is a row, also one of a single cell.
+_WIKI_ROW_MATCH = re.compile(r"(?P<row>[ \t]*(?:\|{1,2}|!{1,2})(?=[ \t]*\S))").match
 
 
-def _scan(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, form) of the marks, leftmost first; at one place a line's form goes before the others, these in the order of ``_FORMS``."""
-    past = 0
+_TAIL_HASHES = re.compile(r"[ \t]+\#+[ \t]*\Z")
+_OPTION = re.compile(r"\*?[ \t]*(?:\[[^\]\n]*\])?\{").match
+
+
+def _partners(text: str) -> dict[int, int]:
+    """Where the brace opened at each place is closed; escaped braces don't count."""
+    out, stack = {}, []
+    for m in re.finditer(r"\\[\s\S]|[{}]", text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif m[0] == "}" and stack:
+            out[stack.pop()] = m.start()
+    return out
+
+
+def _content(form: str, text: str, a: int, b: int, limit: int, braces) -> tuple[int, int, int] | None:
+    """(start and end of what an element of this form holds, end of the element); None for a form that holds nothing."""
+    if form in ("star", "underline", "strike"):
+        s = text[a:b]
+        n = min(len(s) - len(s.lstrip(s[0])), len(s) - len(s.rstrip(s[0])))
+        return a + n, b - n, b
+    if form in ("link", "reference"):
+        return a + 1, text.index("](" if form == "link" else "][", a), b
+    if form == "wikilink":
+        end = b - (2 if text.endswith("]]", a + 2, b) else 1 if text.endswith("]", a + 2, b) else 0)
+        start = max(text.rfind("|", a, end) + 1, text.rfind("::", a, end) + 2 if text.find("::", a, end) >= 0 else 0, a + 2)
+        return start, end, b
+    if form == "external":
+        k = text.find(" ", a, b)
+        return (k + 1, b - 1, b) if 0 <= k < b - 2 else None
+    if form == "equals":
+        s = text[a:b]
+        return a + len(s) - len(s.lstrip(" \t=")), b - (len(s) - len(s.rstrip(" \t="))), b
+    if form in ("hashes", "heading", "row"):
+        end = text.find("\n", b, limit)
+        end = limit if end < 0 else end
+        tail = _TAIL_HASHES.search(text, b, end) if form == "hashes" else None
+        return b, tail.start() if tail else end, end
+    if form == "group":
+        end = braces().get(a, -1)
+        return (a + 1, end, end + 1) if a < end < limit else None
+    if form == "texcommand":
+        m = _OPTION(text, b, limit)
+        if m is None or text.startswith("\\verb", a):
+            return None
+        start = m.end()
+        end = braces().get(start - 1, -1)
+        while a < end < limit and text.startswith("{", end + 1) and start < limit:  # of several arguments the last is the text
+            start, end = end + 2, braces().get(end + 1, -1)
+        if a < end < limit:
+            return start, end, end + 1
+        end = text.find("\n", start, limit)  # cut off: up to the end of its line
+        end = limit if end < 0 else end
+        return start, end, end
+    return None
+
+
+def _scan(text: str) -> Iterator[tuple[int, int, str, int, int, int]]:
+    """(start, end, form, start and end of its content, end of the element) of the marks in order, those within an element's content behind its own.
+
+    At one place a line's form goes before the others, these in the order of ``_FORMS``."""
+    past, wiki, spans, known = 0, 0, [], []
+
+    def braces() -> dict[int, int]:
+        if not known:
+            known.append(_partners(text))
+        return known[0]
+
     for c in _MAY_START.finditer(text):
         at = c.start()
         if at < past:
             continue
+        while spans and at >= spans[-1][1]:
+            spans.pop()
+        if spans and at >= spans[-1][0]:  # in the closing mark of an element
+            past = spans[-1][1]
+            continue
+        limit = spans[-1][0] if spans else len(text)
         m = None
         if at == 0 or text[at - 1] == "\n":
-            m = _LINE_MATCH(text, at)
+            m = _LINE_MATCH(text, at, limit)
+            if m is None and wiki:
+                m = _WIKI_ROW_MATCH(text, at, limit)
             if m is None and c.end() > at:  # the blanks of a line's start: what stands behind them
                 at = c.end() if text[at] in " \t" else at
-                if at >= len(text):
+                if at >= limit:
                     continue
+        if m is None and spans and spans[-1][2] and text[at] in spans[-1][2]:
+            m = _CELL_MATCH(text, at, limit)
         if m is None:
-            m = _MATCH.get(text[at], _OTHER_MATCH)(text, at)
+            m = _MATCH.get(text[at], _OTHER_MATCH)(text, at, limit)
         while m is not None and m.end() > m.start():
-            past, kind = m.end(), "equals" if m.lastgroup == "eq" else m.lastgroup
-            yield m.start(), past, kind
-            m = _LINE_MATCH(text, past) if kind == "quotation" else None
+            a, b = m.span()
+            form = "equals" if m.lastgroup == "eq" else m.lastgroup
+            if form == "wikitable":
+                mark = m[0].lstrip()
+                wiki = wiki + 1 if mark.startswith("{|") else max(0, wiki - 1) if mark.startswith("|}") else wiki
+            start, stop, end = _content(form, text, a, b, limit, braces) or (b, b, b)
+            yield a, b, form, start, stop, end
+            past = start
+            if end > start or stop > start:
+                spans.append((stop, end, ("|!" if "!" in m[0] else "|") if form == "row" else ""))
+                limit = stop
+            m = _LINE_MATCH(text, past, limit) if form == "quotation" else None
 
 
 #: A text without any of this has no marks; in the form of Java's and Python's expressions alike.
@@ -150,10 +243,45 @@ def _shape(s: str, most: int = 3) -> str:
     return "".join(out)
 
 
+class Leaf(NamedTuple):
+    """A leaf block of the tree: a mark that opens an element with content (``start`` to ``stop``, the element's end being ``last``), one of the two marks of an
+    element (``other`` is the number of its partner), or one that stands alone."""
+
+    a: int
+    b: int
+    form: str
+    features: tuple[str, ...]
+    start: int
+    stop: int
+    last: int
+
+
 def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
-    """(start, end, form, features) of the marks of a text, in order."""
+    """(start, end, form, features) of the leaf blocks of a text, in order."""
+    return [x[:4] for x in parse(text)[0]]
+
+
+def parse(text: str) -> tuple[list[Leaf], dict[int, int]]:
+    """The tree of a text: its leaf blocks in order, and which leaf closes the element that another opens (both ways). Elements don't overlap; a mark without its partner stands alone."""
     out, stack, line_at = [], [], (0, -1, "", ())
-    for a, b, kind in _scan(text):
+    pairs: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    spans: list[tuple[int, str, int]] = []  # elements with content that are open: (end, form, what was opened before)
+
+    def open_(name: str) -> None:
+        opened.append((name, len(out)))
+
+    def close(name: str) -> bool:
+        for k in range(len(opened) - 1, (spans[-1][2] if spans else 0) - 1, -1):
+            if opened[k][0] == name:
+                pairs[opened[k][1]], pairs[len(out)] = len(out), opened[k][1]
+                del opened[k:]
+                return True
+        return False
+
+    for a, b, kind, start, stop, last in _scan(text):
+        while spans and a >= spans[-1][0]:
+            del opened[spans.pop()[2] :]
         s = text[a:b]
         before, after = text[a - 1 : a], text[b : b + 1]
         fit = [kind]
@@ -163,8 +291,10 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
             if s.startswith("</"):
                 if name in stack:
                     del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                close(name)
             elif name not in _VOID and not s.endswith("/>"):
                 stack.append(name)
+                open_(name)
         elif kind == "entity" or kind == "entitycut":
             fit.append("entity:named" if s.strip("&;") in _NAMES or s[1:2] == "#" else "entity:odd")
             if kind == "entitycut":
@@ -174,7 +304,7 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
             fit.append("money:" + ("edge" if len(body) <= 160 and (body[:1].isspace() or body[-1:].isspace() or not body) else "tight"))
             fit.append("money:" + ("math" if _MATHS(body) else "text"))
             fit.append("money:" + ("9" if before.isdigit() else "-"))
-        elif kind in ("row", "pipe", "separator", "wikitable"):
+        elif kind in ("row", "cell", "pipe", "separator", "wikitable"):
             if not line_at[0] <= a < line_at[1]:
                 c, d = text.rfind("\n", 0, a) + 1, text.find("\n", b)
                 line = text[c : d if d >= 0 else len(text)].strip()
@@ -197,15 +327,27 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         elif kind == "fence":
             tag = "fence" + s.strip().lstrip("> ")[:1]
             stack.remove(tag) if tag in stack else stack.append(tag)
+            close(tag) or open_(tag)
         elif kind == "texenv":
             name = "tex-" + re.sub(r"^\\(?:begin|end)\{?|\}$", "", s)
             if s.startswith("\\begin"):
                 stack.append(name)
-            elif name in stack:
-                stack.remove(name)
+                open_(name)
+            else:
+                close(name)
+                if name in stack:
+                    stack.remove(name)
+        elif kind == "texmath":
+            open_(s) if s[1] in "([" else close("\\(" if s[1] == ")" else "\\[")
+        elif kind == "template":
+            open_("{" * len(s)) if s[0] == "{" else close("{" * len(s))
         elif kind == "display" or kind == "macro" and s.startswith(("{code", "{noformat")):
             tag = "display" if kind == "display" else "macro"
             stack.remove(tag) if tag in stack else stack.append(tag)
+            close(tag) or open_(tag)
+        elif kind == "macro":
+            name = re.match(r"\{/?(\w+)", s)[1]
+            close(name) or open_(name)
         elif kind == "rule":
             c = text.rfind("\n", 0, max(a - 1, 0)) + 1
             above = text[c : max(a - 1, 0)].strip() if a else ""
@@ -228,8 +370,11 @@ def marks(text: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         fit.append("before:" + _shape(before, 1) + "|" + kind)
         fit.append("after:" + _shape(after, 1) + "|" + kind)
         fit.append("in:" + ((stack[-1] if stack[-1].startswith(("table", "fence", "macro", "display", "tex-")) else "code" if stack[-1] in _CODEY else "element") if stack else "root"))
-        out.append((a, b, kind, tuple(fit)))
-    return out
+        fit.append("up:" + (spans[-1][1] if spans else "none") + "|" + kind)
+        out.append(Leaf(a, b, kind, tuple(fit), start, stop, last))
+        if last > start or stop > start:
+            spans.append((last, kind, len(opened)))
+    return out, pairs
 
 
 class Crf:
@@ -339,14 +484,6 @@ def model() -> Crf:
     return train([labelled(*page(k)) for k in range(PAGES)])
 
 
-def label(text: str | None, crf: Crf) -> list[tuple[int, int, str, str]]:
-    """(start, end, form, language) of a text's marks."""
-    found = marks(text) if text and not text.isspace() else []
-    if not found:
-        return []
-    return [(a, b, kind, LABELS[y]) for (a, b, kind, _), y in zip(found, crf.viterbi(tuple(f for *_, f in found)))]
-
-
 def mask(text: str | None, crf: Crf) -> int:
     """Bit k is set if the text carries a mark of language k of ``LABELS``."""
     found = marks(text) if text else []
@@ -356,148 +493,293 @@ def mask(text: str | None, crf: Crf) -> int:
     return out & ~1
 
 
-# Commands whose argument is their text, and commands that point somewhere.
+# Commands whose argument is a heading, that point somewhere, or that stand for a sign; accents; environments.
 _HEADS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
 _POINTERS = frozenset(["cite", "ref", "label", "eqref", "pageref", "citep", "citet"])
+_SIGNS = {"ldots": "…", "dots": "…", "cdot": "·", "times": "×", "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "pm": "±", "to": "→", "infty": "∞", "S": "§", "sum": "∑", "prod": "∏", "int": "∫"}
 _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
-_ARGUMENT = re.compile(r"\\([A-Za-z]+)\*?(?:\[[^\]]*\])?\{([^{}]*)\}").match
-_VERB = re.compile(r"\\verb\*?([^A-Za-z\s*])(.*?)\1").match
 _MATH_ENVS = frozenset(["equation", "align", "eqnarray", "gather", "multline", "math", "displaymath"])
+_CODE_ENVS = frozenset(["verbatim", "lstlisting", "minted"])
+_VERB = re.compile(r"\\verb\*?([^A-Za-z\s*])(.*?)\1").match
+_ENV_ARGUMENTS = re.compile(r"(?:\[[^\]\n]*\]|\{[^{}\n]*\})*").match
+_BLOCKS = frozenset(["p", "div", "body", "html", "blockquote", "section", "article", "header", "footer", "main", "dl", "figure"])
+_SILENT = frozenset(["style", "script", "head", "title"])
+_LINE_ONLY = frozenset(["rule", "separator", "wikitable", "switch", "comment", "doctype", "redirect", "texenv", "fence"])
+
+
+class _Frame:
+    """An element that is being put together: what it is, the leaf that opened it, where it closes, and what it holds so far."""
+
+    __slots__ = ("what", "leaf", "closes", "span", "raw", "held", "number", "nest", "list")
+
+    def __init__(self, what: str, leaf: Leaf | None = None, closes: float = float("inf"), raw: bool = False, above: "_Frame | None" = None):
+        self.what, self.leaf, self.closes, self.held, self.number = what, leaf, closes, [], 0
+        self.span = leaf is not None and _spans(leaf)
+        self.raw = raw or above is not None and above.raw
+        self.nest = (above.nest if above else 0) + (what in ("li", "itemize", "enumerate"))
+        self.list = self if what in ("ul", "ol", "itemize", "enumerate") else above.list if above else None
+
+
+def _signs(text: str) -> list[str]:
+    """Three characters that the text does not hold: a line that goes, the start of a cell, the line above is a heading."""
+    held = set(text)
+    return list(itertools.islice((c for c in map(chr, itertools.chain(range(0xFDD0, 0xFDF0), range(0xF0000, 0x10FFFF))) if c not in held), 3))
+
+
+def _environment(mark: str) -> str:
+    return re.sub(r"^\\(?:begin|end)\{?|\*?\}?$", "", mark)
+
+
+def _fields(x: str) -> str:
+    """A template's name and arguments as words: "Name (key: value, value)"; of a conditional its branches."""
+    name, *rest = (p.strip() for p in x.split("|"))
+    if name.startswith("#"):
+        name, rest = "", [name.partition(":")[2].strip(), *rest]
+    rest = [": ".join(y.strip() for y in p.split("=", 1)) for p in rest if p.strip("= ")]
+    return f"{name} ({', '.join(rest)})" if name and rest else name or ", ".join(rest)
 
 
 def clean(text: str | None, crf: Crf) -> str | None:
-    """The text without its markup. Headings come as ``#`` lines, lists as ``-`` or numbered lines, table cells parted by `` | ``,
-    code between back-ticks or fences, formulas between dollar signs. Look-alikes stay as they are. Null gives null."""
+    """The text without its markup. Headings come as ``#`` lines, lists as ``-`` or numbered lines indented by their depth, table cells parted by `` | ``,
+    code between back-ticks or fences, formulas between dollar signs. Look-alikes stay as they are. Null gives null.
+
+    The tree is put together in one pass: elements are kept on a stack and become text when they close."""
     if text is None:
         return None
-    found = label(text, crf)
-    out: list[str] = []
-    past, math, silent, fenced, fresh = 0, False, False, False, True
-
-    def head_line(level: int) -> None:  # makes the line written last a heading
-        k = len(out)
-        joined = "".join(out).rstrip("\n")
-        cut = joined.rfind("\n") + 1
-        del out[:k]
-        out.append(joined[:cut] + "#" * level + " " + joined[cut:] + "\n")
-
-    for a, b, kind, lang in found:
-        if a < past or lang == "plain":
+    leaves, pairs = parse(text) if text and not text.isspace() else ([], {})
+    if not leaves:
+        return _tidy(text, None)
+    languages = [LABELS[y] for y in crf.viterbi(tuple(x.features for x in leaves))]
+    gone, cell, under = _signs(text)
+    frames = [_Frame("text")]
+    at = 0
+
+    def push(what: str, i: int, raw: bool = False) -> None:
+        x = leaves[i]
+        frames.append(_Frame(what, x, x.stop if _spans(x) else leaves[pairs[i]].a, raw, frames[-1]))
+
+    def pop() -> None:
+        nonlocal at
+        f = frames.pop()
+        if f.span:
+            f.held.append(text[at : f.leaf.stop])
+            at = max(at, f.leaf.last)
+        frames[-1].held.append(whole(f, "".join(f.held)))
+
+    def bullet(of: _Frame | None) -> str:
+        if of is None or of.what in ("ul", "itemize"):
+            return "-"
+        of.number += 1
+        return f"{of.number}."
+
+    def whole(f: _Frame, x: str) -> str:
+        what, leaf = f.what, f.leaf
+        if what == "plain":
+            return text[leaf.a : leaf.start] + x + text[leaf.stop : leaf.last]
+        if re.fullmatch(r"h[1-6]", what):
+            return "\n" + "#" * int(what[1]) + " " + " ".join(x.split()) + "\n"
+        if what == "li":
+            return "\n" + "  " * (f.nest - 1) + bullet(f.list) + " " + x.strip()
+        if what in ("td", "th"):
+            return cell + " ".join(x.split())
+        if what == "tr":
+            return "\n" + (" | ".join(x.split(cell)[1:]) if cell in x else x.strip())
+        if what in ("code", "tt"):
+            return f"`{x}`" if x.strip() else x
+        if what in ("pre", "verbatim"):
+            return "\n```\n" + x.strip("\n") + "\n```\n"
+        if what == "fence":
+            return "```" + x + "```"
+        if what in ("display", "formula"):
+            return "$$" + x + "$$"
+        if what == "within":
+            return "$" + x + "$"
+        if what in _BLOCKS:
+            return "\n" + x + "\n"
+        if what in ("ul", "ol", "table"):
+            return x + "\n"
+        if what == "template":
+            return _fields(x)
+        if what == "parameter":
+            return x.partition("|")[2].strip()
+        if what == "row":
+            parts = [" ".join(p.split()) for p in x.split(cell)]
+            while parts and not parts[-1]:
+                parts.pop()
+            return " | ".join(parts)
+        if what == "heading":
+            line = "#" * f.number + " " + x.strip() if f.number else x
+            if leaf.form != "texcommand":
+                return line
+            return "\n" * (leaf.a > 0 and text[leaf.a - 1] != "\n") + line + "\n" * (leaf.last < len(text) and text[leaf.last] != "\n")
+        if what == "group":
+            return x.lstrip(" ")
+        if what == "pointer":
+            return f"[{x}]"
+        if what == "note":
+            return f" ({x.strip()})"
+        if what in _SILENT:
+            return ""
+        return x
+
+    def leaf_text(i: int, x: Leaf, language: str) -> tuple[str, int]:
+        """What a leaf that stands alone becomes, and where the text goes on."""
+        s, form = text[x.a : x.b], x.form
+        if form == "tag":
+            name = _TAG_NAME(s)[1].lower()
+            if name == "li" and not s.startswith("</"):
+                return "\n- ", x.b
+            return ("\n" if name in ("br", "hr", "tr", "p", "div", "li", "ul", "ol", "table") else ""), x.b
+        if form == "entity":
+            return html.unescape(s).replace("\xa0", " "), x.b
+        if form == "rule":
+            return (under + s.strip()[0] if language == "markdown" and s.strip()[:1] in "=-" else gone), x.b
+        if form == "image":
+            return re.match(r"!\[([^\]]*)", s)[1], x.b
+        if form == "definition":
+            end = text.find("\n", x.b)
+            return ("", x.b - len(s.split()[-1])) if s.lstrip().startswith("[^") else (gone, end if end >= 0 else len(text))
+        if form in ("fence", "macro") and ("`" in s or "~" in s or s.lstrip("{/").startswith(("code", "noformat"))):
+            return "```", x.b
+        if form == "bullet":
+            return re.sub(r"[-*+](?=[ \t])", "-", s.replace("\t", "    "), count=1), x.b
+        if form in ("number", "codespan", "inline", "display", "url"):
+            return s, x.b
+        if form == "autolink":
+            return s[1:-1], x.b
+        if form == "external":
+            return s.strip("[]"), x.b
+        if form == "pipe":
+            return "|", x.b
+        if form == "cell":
+            return s, x.b
+        if form == "wikitable":
+            return (s.strip()[2:].strip() if s.lstrip().startswith("|+") else gone), x.b
+        if form == "texaccent":
+            return unicodedata.normalize("NFC", (re.sub(r"[^A-Za-z]", "", s)[:1] or "") + _ACCENTS.get(s[1], "")), x.b
+        if form == "texescape":
+            return s[1:], x.b
+        if form == "texmath":
+            return ("$" if s[1] in "()" else "$$"), x.b
+        if form == "ampersand":
+            return "|", x.b
+        if form == "braces":
+            return (s if language == "latex" and text[x.a - 1 : x.a] in ("_", "^") else "" if language == "wiki" else s.strip("{}")), x.b
+        if form == "bracket" or form == "dollar":
+            return s, x.b
+        if form == "texcommand":
+            name, m = s.strip("\\*"), _VERB(text, x.a)
+            if name == "verb" and m:
+                return f"`{m[2]}`", m.end()
+            if name == "item":
+                return "  " * max(0, frames[-1].nest - 1) + bullet(frames[-1].list), x.b
+            try:
+                return unicodedata.lookup(f"GREEK {'SMALL' if name.islower() else 'CAPITAL'} LETTER {name.upper()}"), x.b
+            except KeyError:
+                return _SIGNS.get(name, gone if name == "hline" else ""), x.b
+        return (gone if form in _LINE_ONLY else ""), x.b
+
+    for i, x in enumerate(leaves):
+        while x.a > frames[-1].closes or frames[-1].span and x.a == frames[-1].closes:
+            pop()
+        if x.a < at:
             continue
-        if not silent:
-            out.append(text[past:a])
-        s, past, new = text[a:b], b, ""
-        if math and kind not in ("texmath", "display", "texenv"):
-            new = s
-        elif lang == "html" and kind == "tag":
-            name, closing = _TAG_NAME(s)[1].lower(), s.startswith("</")
-            if name in ("style", "script"):
-                silent = not closing
-            elif re.fullmatch(r"h[1-6]", name):
-                new = "\n" if closing else "\n" + "#" * int(name[1]) + " "
-            elif name == "li":
-                new = "" if closing else "\n- "
-            elif name == "pre":
-                new, fenced = ("\n```\n", not closing)
-            elif name in ("code", "tt"):
-                new = "" if fenced else "`"
-            elif name == "tr":
-                new, fresh = ("" if closing else "\n"), True
-            elif name in ("td", "th"):
-                if not closing:
-                    new, fresh = ("" if fresh else " | "), False
-            elif name in ("br", "hr") or name in ("p", "div", "ul", "ol", "table", "body", "html", "blockquote") and closing:
-                new = "\n"
-        elif kind in ("entity", "entitycut"):
-            new = html.unescape(s).replace("\xa0", " ") if kind == "entity" else ""
-        elif kind == "hashes":
-            new = "#" * s.count("#") + " "
-        elif kind == "rule":
-            if lang == "markdown" and s.strip()[:1] in "=-" and out and "".join(out).rstrip("\n").rpartition("\n")[2].strip() and "".join(out).endswith("\n") and not "".join(out).endswith("\n\n"):
-                head_line(1 if s.strip()[0] == "=" else 2)
-        elif kind in ("star", "underline"):
-            new = s.strip(s[0])
-        elif kind == "strike":
-            new = s.strip("~")
-        elif kind in ("link", "image", "reference"):
-            new = re.match(r"!?\[([^\]]*)", s)[1]
-        elif kind == "definition":
-            if s.lstrip().startswith("[^"):
-                past = b - len(s.split()[-1])
+        frames[-1].held.append(text[at : x.a])
+        at, s, language, form = x.b, text[x.a : x.b], languages[i], x.form
+        partner = pairs.get(i)
+        if partner is not None and partner < i and frames[-1].leaf is leaves[partner]:  # closes an element
+            pop()
+            continue
+        if frames[-1].raw:  # code and formulas are kept; in HTML with their entities read
+            if frames[-1].what in ("pre", "code", "tt") and form in ("entity", "tag") and language == "html":
+                s = html.unescape(s).replace("\xa0", " ") if form == "entity" else ""
+            frames[-1].held.append(s)
+            if _spans(x):
+                at = x.b
+            continue
+        if form == "cell" and frames[-1].what == "row":
+            frames[-1].held.append(cell)
+            continue
+        if language == "plain":
+            if _spans(x):
+                push("plain", i)
+                at = x.start
             else:
-                end = text.find("\n", b)
-                past = end if end >= 0 else len(text)
-        elif kind in ("fence", "macro") and ("`" in s or "~" in s or s.lstrip("{/").startswith(("code", "noformat"))):
-            new = "```"
-        elif kind in ("bullet", "number"):
-            new = re.sub(r"[-*+](?=[ \t])", "-", s.replace("\t", "    "), count=1) if kind == "bullet" else s
-        elif kind == "codespan":
-            new = s
-        elif kind == "row" and lang in ("markdown", "wiki"):
-            end = text.find("\n", b)
-            line = text[b : end if end >= 0 else len(text)]
-            new = ""
-            if not any(b < x < b + len(line) and k != "pipe" for x, _, k, _ in found):
-                new = " | ".join(c.strip() for c in re.split(r"\|\||!!|\|", line.strip().strip("|!")))
-                past = b + len(line)
-        elif kind == "pipe":
-            new = "|"
-        elif kind == "autolink":
-            new = s[1:-1]
-        elif kind == "wikilink":
-            body = s.strip("[]")
-            new = "" if re.match(r"(?i)categor", body) else body.rpartition("|")[2].rpartition("::")[2]
-        elif kind == "external":
-            new = s.strip("[]").partition(" ")[2] or s.strip("[]")
-        elif kind == "equals":
-            new = "#" * (len(s.strip()) - len(s.strip().lstrip("="))) + " " + s.strip().strip("=").strip()
-        elif kind == "heading":
-            new = "#" * int(s.strip()[1]) + " " if s.strip()[0] == "h" else ""
-        elif kind == "texenv":
-            name = re.sub(r"^\\(?:begin|end)\{?|\*?\}?$", "", s)
-            if name in _MATH_ENVS:
-                new, math = "$$", s.startswith("\\begin")
-            elif name in ("verbatim", "lstlisting", "minted"):
-                new = "```"
-        elif kind == "texmath":
-            new, math = ("$" if s[1] in "()" else "$$"), s[1] in "(["
-        elif kind == "display":
-            new, math = "$$", not math
-        elif kind == "inline":
-            new = s
-        elif kind == "texaccent":
-            letter = re.sub(r"[^A-Za-z]", "", s)[:1] or ""
-            new = unicodedata.normalize("NFC", letter + _ACCENTS.get(s[1], ""))
-        elif kind == "texescape":
-            new = s[1:]
-        elif kind == "texrow":
-            new = ""
-        elif kind == "ampersand":
-            new = "|"
-        elif kind == "texcommand":
-            name, m = s.strip("\\*"), _ARGUMENT(text, a)
-            if name == "item":
-                new = "-"
-            elif name in ("ldots", "dots"):
-                new = "…"
-            elif m and name in _HEADS:
-                new, past = "#" * _HEADS[name] + " " + m[2], m.end()
-            elif m and name in _POINTERS:
-                new, past = f"[{m[2]}]", m.end()
-            elif m:
-                new, past = m[2], m.end()
-            elif name == "verb" and (m := _VERB(text, a)):
-                new, past = f"`{m[2]}`", m.end()
-        elif kind == "template":
-            new = ""
-        elif kind == "braces":
-            new = s if lang == "latex" else ""
-        if not silent:
-            out.append(new)
-    if not silent:
-        out.append(text[past:])
-    lines = (re.sub(r"[ \t]+$", "", x) for x in "".join(out).split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+                frames[-1].held.append(s)
+            continue
+        if partner is not None and partner > i:  # opens an element
+            if form == "tag":
+                name = _TAG_NAME(s)[1].lower()
+                push(name, i, name in ("pre", "script", "style"))
+            elif form == "texenv":
+                name = _environment(s)
+                at = _ENV_ARGUMENTS(text, x.b).end()
+                push("formula" if name in _MATH_ENVS else "verbatim" if name in _CODE_ENVS else name, i, name in _MATH_ENVS or name in _CODE_ENVS)
+            elif form == "display":
+                push("display", i, True)
+            elif form == "texmath":
+                push("within" if s[1] == "(" else "formula", i, True)
+            elif form == "template":
+                push("template" if len(s) == 2 else "parameter", i)
+            elif form == "fence":
+                push("fence", i, True)
+                frames[-1].held.append(s.strip().lstrip("> ").lstrip("`~").strip())
+            elif form == "macro":
+                code = s.startswith(("{code", "{noformat"))
+                push("fence" if code else "macro", i, code)
+            continue
+        if _spans(x):
+            at = x.start
+            if form == "wikilink" and re.match(r"\[\[\s*categor", s, re.I):
+                at = x.last
+                frames[-1].held.append(gone)
+            elif form == "link" and x.start == x.stop:
+                at = x.last
+                frames[-1].held.append(re.sub(r"^\[\]\(<?|>?(?:\s+\"[^\"\n]*\")?\)$", "", text[x.a : x.last]))
+            elif form == "equals" or form == "hashes" or form == "heading":
+                push("heading", i)
+                lead = s.strip()
+                frames[-1].number = lead.count("#") if form == "hashes" else len(lead) - len(lead.lstrip("=")) if form == "equals" else int(lead[1]) if lead[0] == "h" else 0
+            elif form == "texcommand":
+                name = s.strip("\\*")
+                push("heading" if name in _HEADS else "pointer" if name in _POINTERS else "note" if name == "footnote" else form, i)
+                frames[-1].number = _HEADS.get(name, 0)
+                if name == "frac":
+                    frames[-1].held.append(text[x.b + 1 : x.start - 2] + "/")
+            else:
+                push(form, i)
+            continue
+        new, at = leaf_text(i, x, language)
+        frames[-1].held.append(new)
+    while len(frames) > 1:
+        if not frames[-1].span:
+            frames[-1].held.append(text[at : int(min(frames[-1].closes, len(text)))] if at < frames[-1].closes else "")
+            at = max(at, int(frames[-1].closes))
+        pop()
+    frames[0].held.append(text[at:])
+    return _tidy("".join(frames[0].held).replace(cell, " | "), (gone, under))
+
+
+def _spans(x: Leaf | None) -> bool:
+    return x is not None and (x.last > x.start or x.stop > x.start)
+
+
+def _tidy(text: str, signs: tuple[str, str] | None) -> str:
+    """Lines without blanks at their ends, no more than one empty line in a row; lines that were markup only go, a line above a rule becomes a heading."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        if signs:
+            gone, under = signs
+            bare = line.strip(" \t")
+            if bare and not bare.strip(gone + " \t"):
+                continue
+            if bare.startswith(under):
+                if out and out[-1].strip() and not out[-1].startswith(("#", "- ", "|")):
+                    out[-1] = ("# " if bare[1:2] == "=" else "## ") + out[-1].strip()
+                continue
+            line = line.replace(gone, "").replace(under, "")
+        out.append(re.sub(r"[ \t]+$", "", line))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
 def carried(chunks: DataFrame, text_cols: tuple[str, ...] = ("raw_text", "context_text"), key: str = "id", at: str = "generated_at") -> DataFrame:

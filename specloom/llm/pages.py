@@ -14,7 +14,7 @@ _WORDS = (
 _IDS = ("alpha_one", "file_ref", "row_key", "seen_at", "big_total", "col_name")
 _TAGS = ("b", "i", "em", "strong", "span", "code", "p", "li", "td", "div", "h1", "h2", "h3", "sub", "sup", "u", "font", "small", "th", "tt", "mark", "SPAN", "P", "LI", "DIV")
 _ENTITIES = ("&nbsp;", "&amp;", "&lt;", "&gt;", "&hellip;", "&ldquo;", "&rdquo;", "&laquo;", "&raquo;", "&oacute;", "&ntilde;", "&eacute;", "&#233;", "&#8220;", "&#xE1;", "&#x201D;", "&quot;", "&mdash;", "&copy;")
-_COMMANDS = ("alpha", "beta", "cdot", "ldots", "sqrt{x}", "frac{a}{b}", "sum_{i=1}^{n} x_{i}", "textbf{w}", "emph{w}", "cite{k2001}", "ref{sec:k}", "S", "footnote{w w}", "underline{w}", "item w", "section{W w}", "subsection{W}", "paragraph{W}", "verb|k|", "label{eq:k}", "le 3", "int_0^1 f", "texttt{k}", "url{k}", "noindent", "hline")
+_COMMANDS = ("alpha", "beta", "cdot", "ldots", "sqrt{x}", "frac{a}{b}", "sum_{i=1}^{n} x_{i}", "textbf{w}", "emph{w}", "cite{k2001}", "ref{sec:k}", "S", "footnote{w w}", "underline{w}", "item w", "section{W w}", "subsection{W}", "paragraph{W}", "verb|k|", "label{eq:k}", "le 3", "int_0^1 f", "texttt{k}", "url{k}", "noindent", "hline", "textbf{w \\emph{w}}", "footnote{w \\cite{k2001}}")
 
 
 class _Pen:
@@ -96,7 +96,7 @@ def _markdown_inline(p: _Pen) -> None:
     r, w, n = p.r, p.words(), p.r.randint(1, 9)
     p.put(r.choice([
         f"**{w}**", f"__{w}__", f"*{w}*", f"_{w}_", f"***{w}***", f"~~{w}~~", f"`{w}`", f"[{w}](../{p.slug()}/{p.slug()}.md)", f"[{w}](<{p.slug()}/hoja {p.slug()}.md>)", f"[{w}](https://sitio.example/{p.slug()})",
-        f"![{w}](img/{p.slug()}.png)", f"[{w}][{n}]", f"[{w}][]", f"[^{n}]", f"<https://sitio.example/{p.slug()}>", f"[{w}](#{p.slug()})", f"``{w}``",
+        f"![{w}](img/{p.slug()}.png)", f"[{w}][{n}]", f"[{w}][]", f"[^{n}]", f"<https://sitio.example/{p.slug()}>", f"[{w}](#{p.slug()})", f"``{w}``", f"**{w} [{p.words()}](../{p.slug()}.md)**", f"*{w} `{p.words()}`*", f"[**{w}**](../{p.slug()}.md)",
     ]), "markdown")
 
 
@@ -118,7 +118,7 @@ def _wiki_inline(p: _Pen) -> None:
     elif k == 3:
         p.put(f"[https://sitio.example/{p.slug()} {w}]", "wiki")
     else:
-        p.put(r.choice([f"[[{w}]]", f"[[{p.title()}|{w}]]", f"[[{p.words(1, 1)}::{w}]]", f"[[Categoría:{p.title()}]]", f"[[Archivo:{p.slug()}.png|thumb|{w}]]", f"[[{w}", "{{{" + p.words(1, 1) + "|}}}", "{noformat}", "{quote}"]), "wiki")
+        p.put(r.choice([f"'''{w} [[{p.title()}]]'''", f"[[{p.title()}|''{w}'']]", f"[[{w}]]", f"[[{p.title()}|{w}]]", f"[[{p.words(1, 1)}::{w}]]", f"[[Categoría:{p.title()}]]", f"[[Archivo:{p.slug()}.png|thumb|{w}]]", f"[[{w}", "{{{" + p.words(1, 1) + "|}}}", "{noformat}", "{quote}"]), "wiki")
 
 
 def _latex_inline(p: _Pen) -> None:
