@@ -2,20 +2,24 @@
 
 Vectors are scaled to length one; cosine c then means the distance sqrt(2 - 2c). Exact copies (equal to six decimals) are one point.
 
-1. A tree of vantage points over a bounded sample cuts the space of each model into shards of about ``shard`` points.
+1. A tree of vantage points over a bounded sample cuts the space of each model into shards of about ``shard`` points, ``least`` of them at any size.
 2. A point lies in one shard and asks in every shard its ball may reach: at a vantage point with radius m it goes to both sides if its
-   own distance d has |d - m| <= ``factor`` * r, r being the radius of its ball.
+   own distance d has |d - m| <= ``factor`` * r, r being the radius of its ball. With ``probes`` it asks in that many of them at most, those with the
+   least lower bound of the distance (the greatest |d - m| on the way); without, in all.
 3. Each shard builds its own vantage-point tree and answers all questions that reached it, with the same relaxed triangle inequality, leaf by leaf as
    matrix products.
 4. The answers of the shards are merged.
 
+No task holds more than about ``PART`` points and as many questions: a shard with more points is cut by their digests into parts, in each of which its questions are asked, and
+questions likewise.
+
 The triangle inequality proper is ``factor`` 1, which gives exact results. Distances to a vantage point differ far less than the points' own distance does
 (in d dimensions by about its 1/sqrt(d)-th part), so a smaller factor prunes most and loses little: ``ALL`` or, with a floor, ``ABOVE`` over sqrt(d) unless one is
 given. What is lost adds up with the levels of the trees, those of the shards and those within them. With a floor on the cosine the ball is known from the start.
 Without one, a point first asks its own shard, and the k-th distance found there is the radius for the rest.
 
-A point's answers leave out its own document. So that a class of copies or a document of any size stays bounded, an answer holds the ``2 * k`` best
-under at most ``k`` a document, of which the k best of other documents are always a part: no document is more than k of the first 2k.
+A point's answers leave out its own document. A class of copies may be of several documents; so that it or a document of any size stays bounded, its answer holds the ``2 * k``
+best under at most ``k`` a document, of which the k best of other documents are always a part: no document is more than k of the first 2k.
 
 Unusable vectors (null, of other length than ``dimensions``, with a null or not finite value, all zero) and rows without id or model are left out; a null
 document_id is a document of its own. Ties: the smaller id by bytes. Redelivered rows count once.
@@ -35,11 +39,14 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 SAMPLE = 16_000
+MOST_SAMPLE = 400_000
+A_SHARD = 16
 LEAF = 192
 SALTS = 16
 PART = 120_000
 BLOCK = 4_096
 RISING = 0.9
+WIDE, NARROW, SHARDS, PROBES = 60_000, 20_000, 8, 8
 ALL = 2.0
 ABOVE = 1.6
 
@@ -118,6 +125,34 @@ class Tree:
             if len(far):
                 todo.append((node[3], far))
 
+    def ask(self, q: np.ndarray, width: np.ndarray, probes: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of q, leaves' nodes): the leaves each row reaches, the ``probes`` of them with the least lower bounds."""
+        todo, rows_, leaves, bounds = [(0, np.arange(len(q)), np.zeros(len(q)))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        while todo:
+            at, rows, bound = todo.pop()
+            node = self.nodes[at]
+            if isinstance(node[0], str):
+                rows_.append(rows)
+                leaves.append(np.full(len(rows), at))
+                bounds.append(bound)
+            elif node[0] is None:
+                todo += [(node[2], rows, bound), (node[3], rows, bound)]
+            else:
+                gap = _distance(q[rows], node[0].astype(q.dtype)) - node[1]
+                for side, over in ((2, gap), (3, -gap)):
+                    go = over <= width[rows]
+                    if go.any():
+                        todo.append((node[side], rows[go], np.maximum(bound[go], over[go])))
+        rows, leaves, bounds = np.concatenate(rows_), np.concatenate(leaves), np.concatenate(bounds)
+        if probes is None:
+            return rows, leaves
+        order = np.lexsort((leaves, bounds, rows))
+        o = rows[order]
+        start = np.ones(len(o), bool)
+        start[1:] = o[1:] != o[:-1]
+        order = order[np.arange(len(o)) - np.maximum.accumulate(np.where(start, np.arange(len(o)), 0)) < probes]
+        return rows[order], leaves[order]
+
     def home(self, q: np.ndarray) -> np.ndarray:
         """The leaf's node that each row of q lies in."""
         out = np.zeros(len(q), np.int64)
@@ -135,8 +170,8 @@ class Tree:
         return out
 
 
-def _best(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
-    """Places of the 2k best of each owner with at most k a document, in order (score down, id up)."""
+def _best(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int, need: np.ndarray) -> np.ndarray:
+    """Places of the ``need`` best of each owner with at most k a document, in order (score down, id up)."""
     order = np.lexsort((ids, -score, owner))
     o, d = owner[order], docs[order]
     by_doc = np.lexsort((np.arange(len(o)), d, o))
@@ -150,13 +185,14 @@ def _best(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, docs: np.ndarra
     start = np.ones(len(o), bool)
     start[1:] = o[1:] != o[:-1]
     first = np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))
-    return order[np.arange(len(o)) - first < 2 * k]
+    return order[np.arange(len(o)) - first < need[o]]
 
 
-def search(tree: Tree, x: np.ndarray, q: np.ndarray, radius: np.ndarray, low: np.ndarray, factor: float, xdoc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(tree: Tree, x: np.ndarray, q: np.ndarray, radius: np.ndarray, low: np.ndarray, factor: float, xdoc: np.ndarray, k: int, qdoc: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, cosine): answers of each row of q with cosine ``low`` at least, from the leaves its ball reaches.
 
-    What an answer must beat rises as leaves are seen: to the 2k-th best so far of the rows whose documents have no more than k rows here. These can't be more than k a
+    ``known`` rows of q are of one document, ``qdoc``, whose rows are no answers. What an answer must beat rises as leaves are seen: to the k-th best so far, for rows that
+    are not known to the 2k-th best so far of the rows whose documents have no more than k rows here. These can't be more than k a
     document, so 2k of them make a full answer. Rows of larger documents are held against the same bound, but don't raise it."""
     x32, q32 = x.astype(np.float32), q.astype(np.float32)
     plain = np.bincount(xdoc, minlength=1)[xdoc] <= k
@@ -169,17 +205,21 @@ def search(tree: Tree, x: np.ndarray, q: np.ndarray, radius: np.ndarray, low: np
         members = tree.nodes[at][1]
         s = q32[rows] @ x32[members].T
         hit = s >= bound[rows][:, None]
+        i, j = np.nonzero(hit)
+        mine = xdoc[members[j]] == qdoc[rows[i]]
+        hit[i[mine], j[mine]] = False
         if keep:
-            i, j = np.nonzero(hit)
+            i, j = i[~mine], j[~mine]
             got.append((rows[i], members[j], s[i, j]))
         if rising:
-            own = hit & plain[members]
+            own = hit & (plain[members][None, :] | known[rows][:, None])
             some = np.flatnonzero(own.any(1))
             if len(some):
                 both = np.concatenate([top[rows[some]], np.where(own[some], s[some], np.float32(-2))], 1)
-                best = np.partition(both, both.shape[1] - 2 * k, axis=1)[:, -2 * k :]
+                n = both.shape[1]
+                best = np.partition(both, (n - 2 * k, n - k), axis=1)[:, -2 * k :]
                 top[rows[some]] = best
-                bound[rows[some]] = np.maximum(bound[rows[some]], best.min(1) - np.float32(1e-5))
+                bound[rows[some]] = np.maximum(bound[rows[some]], np.where(known[rows[some]], best[:, k], best[:, 0]) - np.float32(1e-5))
 
     if rising:  # a look around the home leaf: bounds only
         for at, rows in tree.reach(q32, np.full(len(q), 0.25 * factor)):
@@ -219,7 +259,7 @@ def _classes(points: DataFrame) -> DataFrame:
 class Index:
     """Shards, classes and heads of a set of points."""
 
-    def __init__(self, points: DataFrame, k: int, shard: int):
+    def __init__(self, points: DataFrame, k: int, shard: int, least: int = 1):
         self.k = k
         self.points = cut(_classes(points))
         by_class = Window.partitionBy("model", "cls").orderBy("id")
@@ -236,33 +276,33 @@ class Index:
         several = heads.join(self.classes.filter("n > 1").select("model", "cls", "unit"), ["model", "cls"]).select("model", "cls", "doc", "id", "unit")
         self.heads = single.unionByName(several)
         counts = {r["model"]: r["n"] for r in self.classes.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row a model
-        # about SAMPLE classes by their digest, no more than twice as many at any size
-        share = min(1.0, SAMPLE / max(1, sum(counts.values())))
-        place = F.pmod(F.xxhash64("cls"), F.lit(1_000_000))
-        sample = self.classes.filter(place < int(share * 1_000_000) + 1).select("model", "unit").limit(2 * SAMPLE).toPandas()
+        shards = {m: max(least, round(n / shard)) for m, n in counts.items()}
+        # about ``wanted`` classes by their digest, no more than twice as many at any size
+        wanted = min(MOST_SAMPLE, max(SAMPLE, A_SHARD * sum(shards.values())))
+        share = min(1.0, wanted / max(1, sum(counts.values())))
+        place = F.pmod(F.xxhash64("cls"), F.lit(1_000_000_000))
+        sample = self.classes.filter(place < int(share * 1_000_000_000) + 1).select("model", "unit").limit(2 * wanted).toPandas()
         self.trees: dict[str, Tree] = {}
         self.sample = {}
         for m, n in counts.items():
             rows = sample[sample["model"] == m]["unit"]
             if len(rows):
                 x = np.stack([np.asarray(v, np.float64) for v in rows])
-                self.trees[m] = Tree(x, max(1, -(-len(x) // max(1, round(n / shard)))))
+                self.trees[m] = Tree(x, max(1, -(-len(x) // shards[m])))
                 self.sample[m] = (x, n / len(x))
 
-    def _plan_parts(self, factor: Callable[[int], float] | None, radius: float = 1.0) -> dict[str, np.ndarray]:
-        """Into how many parts the questions to each shard are split, by how many of the sample reach it: none has many more than ``PART``."""
+    def _plan_parts(self, factor: Callable[[int], float] | None, radius: float = 1.0, probes: int | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Into how many parts the points of each shard and the questions to it are split, by how many of the sample lie in it and reach it: none has many more than ``PART``."""
         out = {}
         for m, (x, weight) in self.sample.items():
             tree = self.trees[m]
-            n = np.ones(len(tree.nodes), np.int64)
-            got = tree.reach(x, np.full(len(x), factor(x.shape[1]) * radius)) if factor is not None else ((at, np.flatnonzero(tree.home(x) == at)) for at in range(len(tree.nodes)))
-            for at, rows in got:
-                n[at] = max(1, -(-int(len(rows) * weight) // PART))
-            out[m] = n
+            home = tree.home(x)
+            asked = tree.ask(x, np.full(len(x), factor(x.shape[1]) * radius), probes)[1] if factor is not None else home
+            out[m] = tuple(np.maximum(1, np.ceil(np.bincount(at, minlength=len(tree.nodes)) * weight / PART)).astype(np.int64) for at in (home, asked))
         return out
 
-    def _route(self, df: DataFrame, kind: int, factor: Callable[[int], float] | None, radius: str | None, parts: dict[str, np.ndarray]) -> DataFrame:
-        """Rows (model, cls, id, doc, unit[, radius]) to the shards they lie in (no factor) or ask in. Points go to all parts of a shard, a question to one."""
+    def _route(self, df: DataFrame, kind: int, factor: Callable[[int], float] | None, radius: str | None, parts: dict[str, tuple[np.ndarray, np.ndarray]], probes: int | None = None) -> DataFrame:
+        """Rows (model, cls, id, doc, unit[, radius]) to the shards they lie in (no factor) or ask in. Points go to one part of the points and all of the questions, a question the other way."""
         trees = self.trees
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,40 +318,40 @@ class Index:
                     elif factor is None:
                         rows, shards = np.arange(len(x)), tree.home(x)
                     else:
-                        got = [(rows, np.full(len(rows), at)) for at, rows in tree.reach(x, factor(x.shape[1]) * r)]
-                        rows, shards = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                    many = parts.get(m, np.ones(1, np.int64))[shards]
-                    if kind == 0:
-                        at = np.repeat(np.arange(len(rows)), many)
-                        piece = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                        rows, shards = rows[at], shards[at]
-                    else:
-                        piece = np.array([int.from_bytes(c[:4], "little") for c in part.column("cls").to_pylist()], np.int64)[rows] % many
+                        rows, shards = tree.ask(x, factor(x.shape[1]) * r, probes)
+                    of_points, of_questions = (n[shards] for n in parts.get(m, (np.ones(1, np.int64), np.ones(1, np.int64))))
+                    many, mine = (of_questions, of_points) if kind == 0 else (of_points, of_questions)
+                    at = np.repeat(np.arange(len(rows)), many)
+                    each = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                    fixed = np.array([int.from_bytes(c[4 * kind : 4 * kind + 4], "little") for c in part.column("cls").to_pylist()], np.int64)[rows] % mine
+                    piece = fixed[at] * of_questions[at] + each if kind == 0 else each * of_questions[at] + fixed[at]
+                    rows, shards = rows[at], shards[at]
                     out = part.take(pa.array(rows)).append_column("shard", pa.array(shards, pa.int32())).append_column("part", pa.array(piece, pa.int32()))
                     yield from out.select(["model", "shard", "part", "kind", "cls", "id", "doc", "unit", "radius"]).combine_chunks().to_batches()
 
         text = F.lit(None).cast("string")
-        cols = [F.col("id") if kind == 0 else text.alias("id"), F.col("doc") if kind == 0 else text.alias("doc")]
+        cols = [F.col("id"), F.col("doc")] if kind == 0 else [text.alias("id"), F.when(F.col("n") == 1, F.col("one.doc")).alias("doc")]
         rows = df.select("model", F.lit(kind).alias("kind"), "cls", *cols, "unit", (F.lit(0.0) if radius is None else F.expr(radius)).cast("double").alias("radius"))
         return rows.mapInArrow(run, "model string, shard int, part int, kind int, cls binary, id string, doc string, unit array<float>, radius double")
 
-    def answers(self, factor: float | None, floor: float | None = None) -> DataFrame:
-        """(model, cls, found: [(score, id, doc)]): the 2k best of each class, at most k a document, in order."""
+    def answers(self, factor: float | None, floor: float | None = None, probes: int | None = None) -> DataFrame:
+        """(model, cls, found: [(score, id, doc)]): the best of each class, in order: k of other documents for a class of one document, else 2k, at most k a document."""
         k = self.k
         given, factor = factor, lambda d: relaxed(given, floor, d)
         if floor is not None:
             r = float(np.sqrt(max(0.0, 2 - 2 * floor)))
-            parts = self._plan_parts(factor, r)
-            return self._merge(self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, factor, f"{r}D", parts), factor, floor))
+            parts = self._plan_parts(factor, r, probes)
+            return self._merge(self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, factor, f"{r}D", parts, probes), factor, floor))
         parts = self._plan_parts(None)
         first = self._ask(self._route(self.heads, 0, None, None, parts), self._route(self.classes, 1, None, "2D", parts), factor, None)
         first = cut(first)
         known = first.groupBy("model", "cls").agg(F.sort_array(F.collect_list("score"), False).alias("s"), F.first("shard").alias("home"))
         # what is found elsewhere must beat the last of a full answer at home
-        radius = F.when(F.size("s") >= 2 * k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("s", 2 * k)))).otherwise(F.lit(2.0))
-        wide = self.classes.join(known.select("model", "cls", radius.alias("radius"), "home"), ["model", "cls"], "left")
-        parts = self._plan_parts(factor)
-        asked = self._route(wide, 1, factor, "coalesce(radius, 2D)", parts).join(known.select("model", "cls", F.col("home").alias("shard")), ["model", "cls", "shard"], "left_anti")
+        need = F.when(F.col("n") == 1, k).otherwise(2 * k)
+        radius = F.when(F.size("s") >= need, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.try_element_at("s", need)))).otherwise(F.lit(2.0))
+        wide = self.classes.join(known, ["model", "cls"], "left").withColumn("radius", radius).drop("s")
+        parts = self._plan_parts(factor, probes=probes)
+        asked = self._route(wide, 1, factor, "coalesce(radius, 2D)", parts, probes).join(known.select("model", "cls", F.col("home").alias("shard")), ["model", "cls", "shard"], "left_anti")
         points = self._route(self.heads, 0, None, None, parts)
         return self._merge(first.unionByName(self._ask(points, asked.select(points.columns), factor, None)))
 
@@ -327,15 +367,20 @@ class Index:
                 return empty
             p = p.take(pa.compute.sort_indices(p.column("id").combine_chunks().cast(pa.binary())))  # in the order of their ids' bytes
             x, y = _matrix(p.column("unit").combine_chunks()), _matrix(q.column("unit").combine_chunks())
-            doc = pa.compute.dictionary_encode(p.column("doc").combine_chunks()).indices.to_numpy()
+            docs = pa.compute.dictionary_encode(p.column("doc").combine_chunks())
+            doc = docs.indices.to_numpy()
+            known = q.column("doc").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+            mine = pa.compute.fill_null(pa.compute.index_in(q.column("doc").combine_chunks(), value_set=docs.dictionary), -1).to_numpy(zero_copy_only=False)
+            mine, need = np.where(known, mine, -1), np.where(known, k, 2 * k)
             tree = Tree(x, LEAF)
             ids = np.arange(len(x))
             radius = q.column("radius").to_numpy()
             low = np.full(len(y), floor) if floor is not None else np.where(radius >= 2.0, -1.1, 1 - radius**2 / 2 - 1e-9)
             got = []
             for a in range(0, len(y), BLOCK):  # hits of a block are cut to answers before the next
-                i, j, s = search(tree, x, y[a : a + BLOCK], radius[a : a + BLOCK], low[a : a + BLOCK], factor(x.shape[1]), doc, k)
-                best = _best(i, s, ids[j], doc[j], k)
+                some = slice(a, a + BLOCK)
+                i, j, s = search(tree, x, y[some], radius[some], low[some], factor(x.shape[1]), doc, k, mine[some], known[some])
+                best = _best(i, s, ids[j], doc[j], k, need[some])
                 got.append((i[best] + a, j[best], s[best]))
             i, j, s = (np.concatenate(c) for c in zip(*got))
             out = q.select(["model", "cls", "shard"]).take(pa.array(i))
@@ -360,10 +405,16 @@ class Index:
         return rows.select("id", F.posexplode(mine).alias("r", "x")).select("id", (F.col("r") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.score").alias("score"))
 
 
-def similar(points: DataFrame, k: int = 10, floor: float | None = None, factor: float | None = None, shard: int = 60_000) -> DataFrame:
-    """(id, rank, neighbour, score): the k most similar points of other documents and the same model, with cosine ``floor`` at least if one is given."""
-    index = Index(points, k, shard)
-    return index.neighbours(index.answers(factor, floor))
+def similar(points: DataFrame, k: int = 10, floor: float | None = None, factor: float | None = None, shard: int | None = None, least: int | None = None, probes: int | None = None) -> DataFrame:
+    """(id, rank, neighbour, score): the k most similar points of other documents and the same model, with cosine ``floor`` at least if one is given.
+
+    ``factor`` 1 without ``probes`` is exact. Unless given, shards hold ``WIDE`` points; with a floor, whose balls are small, ``NARROW``, at least ``SHARDS`` of them, of which a
+    question asks in ``PROBES`` at most (0 for no such bound)."""
+    near = floor is not None
+    shard, least = shard or (NARROW if near else WIDE), least or (SHARDS if near else 1)
+    probes = (PROBES if near and factor is None else None) if probes is None else probes or None
+    index = Index(points, k, shard, least)
+    return index.neighbours(index.answers(factor, floor, probes))
 
 
 def mutual(similarities: DataFrame) -> DataFrame:
