@@ -5,8 +5,10 @@ A configuration table says, per kind, which sections become which fields and whi
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -203,7 +205,7 @@ def nodes(docs: DataFrame, docs_domain: bool = False, now: Column | None = None)
             value = F.to_json(tables(F.when(F.col("kind") == kind, section_text(names))))
             rows.append(F.struct(F.lit(field).alias("key"), value.alias("value"), F.lit(kind).alias("kind")))
         else:
-            value = section_text(names) if mode == "text" else section_deep(names) if mode == "deep" else F.array_join(list_items(section_text(names)), ",")
+            value = section_text(names) if mode == "text" else section_deep(names) if mode == "deep" else F.array_join(list_items(section_text(names)), "; ")
             text.append(F.struct(F.lit(field).alias("key"), F.when(F.col("kind") == kind, value).alias("value")))
     as_map = lambda xs: F.map_from_entries(F.transform(F.filter(F.array(*xs), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"], e["value"])))
     return docs.filter(F.col("kind").isNotNull()).select(
@@ -256,47 +258,52 @@ def edges(docs: DataFrame, spec_edges: bool = False, relation_types: bool = Fals
 # Chunks --------------------------------------------------------------------------------------------------------------
 
 
+def _fill(sums: list[int], first: int, room: int) -> int:
+    """How far from ``first`` on items fit into ``room``, by the prefix sums of their sizes: the place of the first that does not."""
+    return max(first, bisect_right(sums, sums[first] + room, first) - 1)
+
+
 def pack_paragraphs(content: str, most: int = 1500, overlap: int = 200) -> list[tuple[int, str]]:
     """(offset, text) of a section's chunks.
 
-    Paragraphs gather in a buffer that is written out before it would pass ``most``; its last part is carried over if no longer than ``overlap``. A longer paragraph that
-    meets an empty buffer gives way to its sentences, gathered likewise; what is left of them stays in the buffer as parts of their own. Offsets count a blank line
-    as two characters and point at the paragraph, also for its sentences."""
+    A chunk takes as many paragraphs as fit into ``most``, each counted with two characters for the blank line behind it; the cut is searched in the prefix sums of these sizes. The last
+    part of a chunk is repeated at the head of the next one if it is no longer than ``overlap``. A paragraph over ``most`` that starts a chunk is cut between sentences, each
+    counted with one character; the sentences of its last run stay parts of their own. Offsets point at the paragraph, also for its sentences."""
+    pieces = [p.strip() for p in content.split("\n\n")]
+    places = list(accumulate((len(p) + 2 for p in pieces), initial=0))
+    rows = [(at, p) for at, p in zip(places, pieces) if p]
+    sums = list(accumulate((len(p) + 2 for _, p in rows), initial=0))
     out: list[tuple[int, str]] = []
-    parts: list[str] = []
-    size = start = place = 0
-    for raw in content.split("\n\n"):
-        para = raw.strip()
-        if not para:
-            place += 2
-            continue
-        if parts and size + len(para) + 2 > most:
+
+    def begin(at: int, para: str) -> tuple[list[str], int]:
+        """The parts that a chunk starts with, and their size."""
+        if len(para) <= most:
+            return [para], len(para) + 2
+        said = [x for x in (y.strip() for y in re.split(r"(?<=\.)\s+", para)) if x]
+        lengths = list(accumulate((len(x) + 1 for x in said), initial=0))
+        low = 0
+        while (high := max(_fill(lengths, low, most), low + 1)) < len(said):
+            out.append((at, " ".join(said[low:high])))
+            low = high
+        return said[low:], lengths[-1] - lengths[low]
+
+    parts, size, start, k = [], 0, 0, 0
+    while k < len(rows):
+        at, para = rows[k]
+        if not parts:
+            start = at
+            parts, size = begin(at, para)
+            k += 1
+        end = _fill(sums, k, most - size) if k < len(rows) else k
+        parts += [p for _, p in rows[k:end]]
+        if end < len(rows):
             out.append((start, "\n\n".join(parts)))
-            tail = parts[-1]
+            tail, (at, para) = parts[-1], rows[end]
+            parts = []
             if 0 < len(tail) <= overlap:
-                parts, size, start = [tail], len(tail), place - len(tail) - 2
-            else:
-                parts, size, start = [], 0, place
-        if len(para) > most and not parts:
-            held: list[str] = []
-            held_size = 0
-            for sentence in filter(None, (s.strip() for s in re.split(r"(?<=\.)\s+", para))):
-                if held and held_size + len(sentence) + 1 > most:
-                    out.append((place, " ".join(held)))
-                    held, held_size = [], 0
-                held.append(sentence)
-                held_size += len(sentence) + 1
-            if held:
-                parts, size, start = held, held_size, place
-        else:
-            if not parts:
-                start = place
-            parts.append(para)
-            size += len(para) + 2
-        place += len(para) + 2
-    if parts:
-        out.append((start, "\n\n".join(parts)))
-    return out
+                parts, size, start, end = [tail, para], len(tail) + len(para) + 2, at - len(tail) - 2, end + 1
+        k = end
+    return [*out, (start, "\n\n".join(parts))] if parts else out
 
 
 def merge_short(content: str, least_words: int = 20) -> str:

@@ -74,7 +74,7 @@ def test_documents_and_routing(spark, files):
 def test_nodes(spark, files):
     n = {r["id"]: r for r in E.index(files).nodes.collect()}
     f = n["Entity:Pedido"]["indexed_fields"]
-    assert f["invariants"] == "uno,dos" and f["description"].startswith("Un pedido") and "attributes" not in f
+    assert f["invariants"] == "uno; dos" and f["description"].startswith("Un pedido") and "attributes" not in f
     assert json.loads(n["Entity:Pedido"]["tables"]["attributes"]) == [{"Campo": "id", "Tipo": "texto"}, {"Campo": "total", "Tipo": "número"}]
     assert n["UC:UC-001"]["indexed_fields"]["exceptions"] == "### One\n\nx\n\n### Two\n\ny" and n["UC:UC-001"]["status"] == "draft"
 
