@@ -49,14 +49,21 @@ COVERAGE = [
     ("requirement", "traces", "Artifacts this requirement traces to", "REQ_TRACES_TO"),
 ]
 
+# Rules that are only specified.
+COVERAGE_ALSO = [("entity", "requirements", "Requirements tracing to this entity", "REQ_TRACES_TO")]
+
+
+def coverage_rules(also: bool = False) -> list[tuple[str, str, str, str]]:
+    return [*COVERAGE, *(COVERAGE_ALSO if also else [])]
+
 
 def kinds(spark: SparkSession) -> DataFrame:
     rows = [(k, p, path, heads, layer, i) for i, (k, p, path, heads, layer) in enumerate(KINDS)]
     return spark.createDataFrame(rows, "kind string, prefix string, expected_path string, headings array<string>, guessed_layer string, prefix_rank int")
 
 
-def coverage(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*r, i) for i, r in enumerate(COVERAGE)], "kind string, category string, description string, edge_type string, category_rank int")
+def coverage(spark: SparkSession, also: bool = False) -> DataFrame:
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(coverage_rules(also))], "kind string, category string, description string, edge_type string, category_rank int")
 
 
 def _case(col: Column, pairs, default=None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,23 @@ def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def cosine_to(query, vector: Column) -> Column:
+    """Cosine of each vector to one query, an Arrow batch at a time as a matrix product; null where a vector is null, of another length, of zero length or not finite, or the query is."""
+    q = np.asarray(query, np.float32).astype(np.float64)
+
+    @F.pandas_udf("double")
+    def run(rows: pd.Series) -> pd.Series:
+        out = np.full(len(rows), np.nan)
+        fit = np.fromiter((r is not None and len(r) == len(q) for r in rows), bool, len(rows))
+        if fit.any():
+            x = np.concatenate(rows[fit].to_list()).astype(np.float64).reshape(-1, len(q))
+            with np.errstate(all="ignore"):
+                out[fit] = (x @ q) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
+        return pd.Series(np.where(np.isfinite(out), out, np.nan))
+
+    return run(vector)
+
+
 def constant(vector) -> Column:
     return F.array(*[F.lit(float(np.float32(v))).cast("float") for v in vector])
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.text import snippet
-from ..functions.vectors import constant, cosine
-from ..runtime import cut
+from ..functions.vectors import cosine_to
+from ..runtime import cut, measured, near_join
 from . import graph as G
 
 
@@ -78,10 +80,31 @@ def _label() -> Column:
 # Graph ---------------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class Related:
-    nodes: DataFrame  # node_id, score, snippet, match_source, distance
-    edges: DataFrame
+class _Lazy:
+    """Results that are planned when they are first asked for; each part is a function without arguments."""
+
+    def __init__(self, **parts: Callable[[], DataFrame]):
+        self._parts = parts
+
+    def _part(self, name: str) -> DataFrame:
+        return self._parts[name]()
+
+
+class Related(_Lazy):
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """node_id, score, snippet, match_source, distance"""
+        return self._part("nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The edges that the search took."""
+        return self._part("edges")
+
+    @cached_property
+    def layer_violations(self) -> DataFrame:
+        """The violations among the nodes found, which the search did not take if layers are respected."""
+        return self._part("layer_violations")
 
 
 def related(graph: G.Graph, root: str, depth: int = 2, edge_types: list[str] | None = None, kinds: list[str] | None = None, respect_layers: bool = True, checked: bool = True) -> Related:
@@ -89,17 +112,48 @@ def related(graph: G.Graph, root: str, depth: int = 2, edge_types: list[str] | N
     check(depth=depth)
     if checked:
         _need_node(graph, root)
-    reached = G.search(graph, _one(graph.nodes.sparkSession, root), depth, edge_types, respect_layers)
-    nodes = reached.filter("distance > 0").join(_of(graph.nodes, kinds, None), "id")
-    score = (1.0 / (1.0 + F.col("distance"))).alias("score")
-    return Related(nodes.select(F.col("id").alias("node_id"), score, _label(), F.lit("graph").alias("match_source"), "distance"), G.traversed(graph, reached, depth, edge_types, respect_layers))
+    one = _one(graph.nodes.sparkSession, root)
+    reach = lambda hops: G.search(graph, one, hops, edge_types, respect_layers, checked)
 
+    def nodes() -> DataFrame:
+        near = reach(depth).filter("distance > 0").join(_of(graph.nodes, kinds, None), "id")
+        return near.select(F.col("id").alias("node_id"), (1.0 / (1.0 + F.col("distance"))).alias("score"), _label(), F.lit("graph").alias("match_source"), "distance")
+
+    return Related(
+        nodes=nodes,
+        edges=lambda: G.traversed(graph, reach(depth - 1) if depth > 1 else one, edge_types, respect_layers),
+        layer_violations=lambda: _violations_among(graph, reach(depth).select("id")),
+    )
 
-@dataclass
-class Impact:
-    direct: DataFrame  # node_id, kind, edge_type, impact_description: a row an incoming edge
-    transitive: DataFrame  # node_id, kind, path, edge_types
-    scenarios: DataFrame  # node_id, scenario_name, reason
+
+def _violations_among(graph: G.Graph, ids: DataFrame) -> DataFrame:
+    """Violations both of whose ends are among the ids."""
+    ids, small = measured(ids.distinct())
+    side = F.broadcast(ids) if small else ids
+    v = G.violations(graph).select("from_node", "to_node", "from_layer", "to_layer", "edge_type")
+    return v.join(side.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(side.withColumnRenamed("id", "to_node"), "to_node", "left_semi").select(*v.columns)
+
+
+class Impact(_Lazy):
+    @cached_property
+    def direct(self) -> DataFrame:
+        """node_id, kind, edge_type, impact_description: a row an incoming edge"""
+        return self._part("direct")
+
+    @cached_property
+    def transitive(self) -> DataFrame:
+        """node_id, kind, path, edge_types, impact_description"""
+        return self._part("transitive")
+
+    @cached_property
+    def scenarios(self) -> DataFrame:
+        """node_id, scenario_name, reason"""
+        return self._part("scenarios")
+
+    @cached_property
+    def truncated(self) -> bool:
+        """Whether more nodes depend on the node than the depth lets see."""
+        return not self._part("beyond").isEmpty()
 
 
 def impact(graph: G.Graph, node_id: str, change_type: str = "modify_attribute", depth: int = 3, checked: bool = True) -> Impact:
@@ -107,34 +161,66 @@ def impact(graph: G.Graph, node_id: str, change_type: str = "modify_attribute",
     check(depth=depth, change_type=change_type)
     if checked:
         _need_node(graph, node_id)
-    spark, kinds = graph.nodes.sparkSession, graph.nodes.select("id", "kind")
-    what = F.coalesce(F.create_map(*[F.lit(x) for kv in IMPACT.items() for x in kv])[F.col("edge_type")], F.concat(F.lit("Connected via "), F.coalesce("edge_type", F.lit(""))))
-    direct = graph.edges.filter(F.col("to_node") == node_id).join(kinds.withColumnRenamed("id", "from_node"), "from_node").select(F.col("from_node").alias("node_id"), "kind", "edge_type", F.concat(what, F.lit(f" — change type: {change_type}")).alias("impact_description"))
-    far = G.dependents(graph, _one(spark, node_id), depth if depth > 1 else 0)
-    transitive = far.filter((F.col("distance") > 1) & (F.col("id") != node_id)).join(kinds, "id").select(F.col("id").alias("node_id"), "kind", "path", "edge_types")
-    hit = direct.select("node_id").union(transitive.select("node_id")).union(_one(spark, node_id)).distinct()
-    validating = graph.edges.filter("edge_type = 'VALIDATES'").join(hit.withColumnRenamed("node_id", "to_node"), "to_node", "left_semi")
-    scenarios = validating.join(graph.nodes.select(F.col("id").alias("from_node"), F.col("indexed_fields")["title"].alias("title")), "from_node").select(
-        F.col("from_node").alias("node_id"), F.coalesce("title", "from_node").alias("scenario_name"), F.concat(F.lit("Validates "), "to_node", F.lit(" which is affected")).alias("reason")
-    )
-    return Impact(direct, transitive, scenarios)
+    one, kinds = _one(graph.nodes.sparkSession, node_id), graph.nodes.select("id", "kind")
+    said = lambda t: F.coalesce(F.create_map(*[F.lit(x) for kv in IMPACT.items() for x in kv])[t], F.concat(F.lit("Connected via "), F.coalesce(t, F.lit(""))))
+    cache: dict[str, DataFrame] = {}
+
+    def ways() -> DataFrame:
+        if "ways" not in cache:
+            cache["ways"] = G.dependents(graph, one, depth, checked)
+        return cache["ways"]
+
+    def direct() -> DataFrame:
+        what = F.concat(said(F.col("edge_type")), F.lit(f" — change type: {change_type}"))
+        return graph.edges.filter(F.col("to_node") == node_id).join(kinds.withColumnRenamed("id", "from_node"), "from_node").select(F.col("from_node").alias("node_id"), "kind", "edge_type", what.alias("impact_description"))
+
+    def transitive() -> DataFrame:
+        far = ways().filter((F.col("distance") > 1) & (F.col("id") != node_id)).join(kinds, "id")
+        via = F.concat(said(F.try_element_at("edge_types", F.lit(-1))), F.lit(" — via "), F.try_element_at("path", F.lit(-2)))
+        return far.select(F.col("id").alias("node_id"), "kind", "path", "edge_types", via.alias("impact_description"))
 
+    def scenarios() -> DataFrame:
+        hit, small = measured(ways().select(F.col("id").alias("to_node")).union(one).distinct())
+        checks = graph.edges.filter("edge_type = 'VALIDATES'").join(F.broadcast(hit) if small else hit, "to_node", "left_semi")
+        return checks.join(graph.nodes.select(F.col("id").alias("from_node"), F.col("indexed_fields")["title"].alias("title")), "from_node").select(
+            F.col("from_node").alias("node_id"), F.coalesce("title", "from_node").alias("scenario_name"), F.concat(F.lit("Validates "), "to_node", F.lit(" which is affected")).alias("reason")
+        )
 
-def coverage(graph: G.Graph, node_id: str | None = None) -> DataFrame:
-    """(node_id, category, edge_type, status, found): per node of a kind with rules and category, the distinct other ends of its edges of that type.
+    def beyond() -> DataFrame:
+        inner = ways().select("id").union(one)
+        last, small = measured(ways().filter(F.col("distance") == depth).select(F.col("id").alias("to_node")))
+        return graph.edges.join(F.broadcast(last) if small else last, "to_node", "left_semi").select(F.col("from_node").alias("id")).join(inner, "id", "left_anti")
 
-    All nodes at once unless one is named. The rules are a fixed dozen of rows."""
-    spark = graph.nodes.sparkSession
-    nodes = graph.nodes.select("id", "kind")
+    return Impact(direct=direct, transitive=transitive, scenarios=scenarios, beyond=beyond)
+
+
+def coverage_links(graph: G.Graph, node_id: str | None = None, also: bool = False) -> DataFrame:
+    """(node_id, category, other): what covers each category of a node, a row a node at the other end of an edge of the category's type."""
+    ends = G.incident(graph.edges.filter(F.col("edge_type").isin(sorted({r[3] for r in dims.coverage_rules(also)})))).select("node_id", "edge_type", "other").distinct()
+    return _wanted(graph, node_id, also).select("node_id", "category", "edge_type").join(ends, ["node_id", "edge_type"]).select("node_id", "category", "other")
+
+
+def _wanted(graph: G.Graph, node_id: str | None, also: bool) -> DataFrame:
+    nodes = graph.nodes.select(F.col("id").alias("node_id"), "kind")
+    if node_id is not None:
+        nodes = nodes.filter(F.col("node_id") == node_id)
+    return nodes.join(F.broadcast(dims.coverage(graph.nodes.sparkSession, also)), "kind")
+
+
+def coverage(graph: G.Graph, node_id: str | None = None, also: bool = False) -> DataFrame:
+    """(node_id, category, category_rank, description, edge_type, status, links): per node of a kind with rules and category, how many distinct nodes cover it by an edge of its type.
+
+    All nodes at once unless one is named. The rules are a fixed dozen of rows, ``also`` adds those that are only specified. Which nodes they are says ``coverage_links``, a row each: no
+    list grows with a hub. Links are counted before they are joined."""
     if node_id is not None:
         _need_node(graph, node_id)
-        nodes = nodes.filter(F.col("id") == node_id)
-        if nodes.filter(F.col("kind").isin([r[0] for r in dims.COVERAGE])).isEmpty():
+        kind = graph.nodes.filter(F.col("id") == node_id).filter(F.col("kind").isin([r[0] for r in dims.COVERAGE]))
+        if kind.isEmpty():
             raise QueryError("UNKNOWN_KIND", f"no coverage rules for the kind of {node_id}")
-    wanted = nodes.join(F.broadcast(dims.coverage(spark)), "kind")
-    ends = G.incident(graph.edges.filter(F.col("edge_type").isin(sorted({r[3] for r in dims.COVERAGE})))).select(F.col("node_id").alias("id"), "edge_type", "other").distinct()
-    found = wanted.join(ends, ["id", "edge_type"], "left").groupBy("id", "kind", "category", "category_rank", "description", "edge_type").agg(F.array_sort(F.collect_set("other")).alias("found"))
-    return found.select(F.col("id").alias("node_id"), "category", "category_rank", "description", "edge_type", F.when(F.size("found") > 0, "covered").otherwise("missing").alias("status"), "found")
+    edges = graph.edges.filter(F.col("edge_type").isin(sorted({r[3] for r in dims.coverage_rules(also)})))
+    links = G.incident(edges).select("node_id", "edge_type", "other").distinct().groupBy("node_id", "edge_type").agg(F.count("*").alias("links"))
+    found = _wanted(graph, node_id, also).join(links, ["node_id", "edge_type"], "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
+    return found.select("node_id", "category", "category_rank", "description", "edge_type", F.when(F.col("links") > 0, "covered").otherwise("missing").alias("status"), "links")
 
 
 def coverage_percent(cover: DataFrame) -> DataFrame:
@@ -167,21 +253,27 @@ def orphan_edges(graph: G.Graph, edge_types: list[str] | None = None) -> DataFra
 # Text and vectors ------------------------------------------------------------------------------------------------------
 
 
-def lexical(nodes: DataFrame, text: str, fields: list[str] | None = None) -> DataFrame:
-    """Nodes whose id, an alias or an indexed field (of the given ones) contains the text, without regard to case."""
+def contains(text: str, fields: list[str] | None = None) -> Column:
     needle = text.lower()
     values = F.map_values("indexed_fields") if fields is None else F.array(*[F.col("indexed_fields")[f] for f in fields])
     everything = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce(values, F.array().cast("array<string>")))
-    return nodes.filter(F.exists(everything, lambda v: F.coalesce(F.lower(v).contains(needle), F.lit(False))))
+    return F.exists(everything, lambda v: F.coalesce(F.lower(v).contains(needle), F.lit(False)))
 
 
-def nearest_chunks(chunks: DataFrame, vector, limit: int, min_score: float) -> DataFrame:
+def lexical(nodes: DataFrame, text: str, fields: list[str] | None = None) -> DataFrame:
+    """Nodes whose id, an alias or an indexed field (of the given ones) contains the text, without regard to case."""
+    return nodes.filter(contains(text, fields))
+
+
+def nearest_chunks(chunks: DataFrame, vector, limit: int, min_score: float, latest: str | None = None) -> DataFrame:
     """(id, score) of the best chunks with at least that cosine. Scores are rounded to nine places before they are compared.
 
-    Chunks of other dimensions, null or zero vectors don't score; a zero query finds nothing. One scan, then a bounded heap per task."""
-    v = list(vector)
-    score = F.when(F.size("vector") == len(v), F.round(cosine(constant(v), F.col("vector")), 9))
-    return chunks.select("id", score.alias("score")).filter(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(limit)
+    Chunks of other dimensions, null or zero vectors don't score; a zero query finds nothing. One scan, then a bounded heap per task. Where ``chunks`` holds several versions of an id,
+    ``latest`` names the column that tells the last: versions are scored where they lie, so that scores are shuffled, not vectors."""
+    scored = chunks.select("id", *([latest] if latest else []), F.round(cosine_to(list(vector), F.col("vector")), 9).alias("score"))
+    if latest:
+        scored = scored.groupBy("id").agg(F.max(F.struct(latest, "score")).alias("m")).select("id", "m.score")
+    return scored.filter(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def nodes_of_documents(nodes: DataFrame) -> DataFrame:
@@ -201,11 +293,11 @@ def chunk_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return hits.withColumn("doc", _document(F.col("id"))).join(nodes_of_documents(nodes), "doc").groupBy("node_id").agg(F.max("score").alias("score"))
 
 
-def semantic(graph: G.Graph, chunks: DataFrame, text: str, encode, min_score: float = 0.7, limit: int = 10, kinds=None, layers=None, vector=None) -> DataFrame:
+def semantic(graph: G.Graph, chunks: DataFrame, text: str, encode, min_score: float = 0.7, limit: int = 10, kinds=None, layers=None, vector=None, latest: str | None = None) -> DataFrame:
     """(node_id, score, snippet, match_source): nodes by their best chunk. Three times the limit of chunks is taken before nodes are filtered."""
     check(limit=limit, min_score=min_score)
     vector = vector if vector is not None else encode([_need_text(text)])[0]
-    best = chunk_nodes(nearest_chunks(chunks, vector, limit * 3, min_score), graph.nodes)
+    best = chunk_nodes(nearest_chunks(chunks, vector, limit * 3, min_score, latest), graph.nodes)
     rows = _of(graph.nodes, kinds, layers).join(best.withColumnRenamed("node_id", "id"), "id")
     return rows.select(F.col("id").alias("node_id"), "score", _label(), F.lit("semantic").alias("match_source")).orderBy(F.desc("score"), "node_id").limit(limit)
 
@@ -214,24 +306,19 @@ def semantic(graph: G.Graph, chunks: DataFrame, text: str, encode, min_score: fl
 class Hybrid:
     scored: DataFrame  # node_id, semantic, lexical, graph, score, match_source, snippet: every node at or over min_score
     results: DataFrame  # the best of these within limit and budget
-    expansion: DataFrame  # the edges taken from the seeds
+    _expansion: Callable[[], DataFrame]
+    _violations: Callable[[], DataFrame]
     warnings: list[str] = field(default_factory=list)
 
+    @cached_property
+    def expansion(self) -> DataFrame:
+        """The edges taken from the seeds."""
+        return self._expansion()
 
-def near_seeds(graph: G.Graph, seeds: DataFrame, depth: int, respect_layers: bool = True) -> DataFrame:
-    """(id, seed, distance): for every node the two nearest seeds within ``depth``.
-
-    Two are enough to know whether a seed other than the node itself reaches it; so the state is bounded by the nodes, not by pairs of seed and node."""
-    links = G.usable(graph.edges, None, respect_layers)
-    near = links.select(F.col("from_node").alias("at"), F.col("to_node").alias("next")).unionByName(links.select(F.col("to_node").alias("at"), F.col("from_node").alias("next")))
-    two = Window.partitionBy("id").orderBy("distance", "seed")
-    state = cut(seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("distance")))
-    for hop in range(1, depth + 1):
-        edge = state.filter(F.col("distance") == hop - 1).select(F.col("id").alias("at"), "seed")
-        found = near.join(G.small(edge), "at").select(F.col("next").alias("id"), "seed", F.lit(hop).alias("distance")).distinct()
-        merged = state.unionByName(found).groupBy("id", "seed").agg(F.min("distance").alias("distance"))
-        state = cut(merged.withColumn("k", F.row_number().over(two)).filter("k <= 2").drop("k"))
-    return state
+    @cached_property
+    def layer_violations(self) -> DataFrame:
+        """The violations among the results."""
+        return self._violations()
 
 
 def fusion_score(s: Column, g: Column, l: Column) -> Column:  # noqa: E741
@@ -260,7 +347,7 @@ def within_budget(rows: DataFrame, order: list, tokens: Column, most: int, limit
     return t.filter((fits | (F.col("rank") == 1)) if keep_first else fits)
 
 
-def hybrid(graph: G.Graph, chunks: DataFrame | None, text: str, encode=None, expand: bool = True, depth: int = 2, kinds=None, layers=None, respect_layers: bool = True, min_score: float = 0.5, limit: int = 10, max_tokens: int = 8000, vector=None) -> Hybrid:
+def hybrid(graph: G.Graph, chunks: DataFrame | None, text: str, encode=None, expand: bool = True, depth: int = 2, kinds=None, layers=None, respect_layers: bool = True, min_score: float = 0.5, limit: int = 10, max_tokens: int = 8000, vector=None, latest: str | None = None) -> Hybrid:
     """Vectors, text and graph fused. Text alone scores 0.0417, text and graph 0.25, and so on: without vectors set ``min_score`` accordingly."""
     check(depth=depth, limit=limit, min_score=min_score)
     _need_text(text)
@@ -269,23 +356,25 @@ def hybrid(graph: G.Graph, chunks: DataFrame | None, text: str, encode=None, exp
     none = spark.createDataFrame([], "node_id string, score double")
     if chunks is not None and (encode or vector is not None):
         v = vector if vector is not None else encode([text])[0]
-        sem = cut(chunk_nodes(nearest_chunks(chunks, v, limit * 3, min_score * 0.8), graph.nodes))
+        sem = cut(chunk_nodes(nearest_chunks(chunks, v, limit * 3, min_score * 0.8, latest), graph.nodes))
     else:
         sem = none
         warnings.append("NO_EMBEDDINGS: the index has no vectors, semantic search skipped")
     lex = cut(lexical(wanted, text).select(F.col("id").alias("node_id"), F.lit(FLAT).alias("score")))
-    near, edges = none, graph.edges.limit(0)
+    near, expansion = none, lambda: graph.edges.limit(0)
     if expand:
-        reached = near_seeds(graph, sem.select(F.col("node_id").alias("id")).union(lex.select("node_id")).distinct(), depth, respect_layers)
-        near = reached.filter("seed <> id").select(F.col("id").alias("node_id")).distinct().join(wanted.select(F.col("id").alias("node_id")), "node_id", "left_semi").withColumn("score", F.lit(FLAT))
-        edges = G.traversed(graph, reached, depth, None, respect_layers)
+        seeds = sem.select(F.col("node_id").alias("id")).unionByName(lex.select(F.col("node_id").alias("id"))).withColumn("value", F.col("id"))
+        hops = G.reaching(graph, seeds, depth, None, respect_layers)
+        # a seed other than the node itself reaches it if the least or the greatest that does is another
+        near = hops[-1].filter("lo <> id or hi <> id").select(F.col("id").alias("node_id"), F.lit(FLAT).alias("score"))
+        expansion = lambda: G.traversed(graph, hops[-2], None, respect_layers)
     scored = fuse(sem, lex, near).filter(F.col("score") >= min_score).join(wanted.select(F.col("id").alias("node_id"), snippet(F.col("kind"), F.col("indexed_fields")["title"], F.col("id")).alias("snippet")), "node_id")
-    best = within_budget(scored, [F.desc("score"), F.col("node_id")], F.greatest(F.lit(1), F.floor(F.length("snippet") / 4)), max_tokens, limit, True)
-    return Hybrid(scored, best.select("node_id", "score", "snippet", "match_source", "tokens", "rank"), edges, warnings)
+    best = within_budget(scored, [F.desc("score"), F.col("node_id")], F.greatest(F.lit(1), F.floor(F.length("snippet") / 4)), max_tokens, limit, True).select("node_id", "score", "snippet", "match_source", "tokens", "rank")
+    return Hybrid(scored, best, expansion, lambda: _violations_among(graph, best.select(F.col("node_id").alias("id"))), warnings)
 
 
-def find_spec(graph: G.Graph, chunks: DataFrame | None, text: str, encode=None, vector=None) -> Hybrid:
-    return hybrid(graph, chunks, text, encode, limit=5, min_score=0.1, vector=vector)
+def find_spec(graph: G.Graph, chunks: DataFrame | None, text: str, encode=None, vector=None, latest: str | None = None) -> Hybrid:
+    return hybrid(graph, chunks, text, encode, limit=5, min_score=0.1, vector=vector, latest=latest)
 
 
 def listing(nodes: DataFrame, kinds: list[str] | None = None, domain: str | None = None) -> DataFrame:
@@ -318,50 +407,52 @@ def _basename(path: str) -> str:
     return stem if dot and stem else name
 
 
-def resolve_hints(nodes: DataFrame, hints: list[str]) -> tuple[list[tuple[str, str, int, str]], list[str]]:
-    """([(node_id, hint, place, method)], warnings). A hint is an id, a path, or words; the first way that finds a new node decides.
+def resolve_hints(nodes: DataFrame, hints: list[str]) -> tuple[DataFrame, list[str]]:
+    """((node_id, hint, place, method), warnings). A hint is an id, a path, or words; the first way that finds a node which no earlier hint has found decides.
 
-    Hints are a handful given by the caller: each step is one filtered scan, ids alone come to the driver, a hint's finds by the order of kinds, then by id."""
-    out, seen, warnings = [], set(), []
+    One scan tries all ways of all hints; what they find, one row a node and way, stays a frame. The driver only learns, hint by hint, which way was the first."""
     prefixes = [p for _, p, *_ in dims.KINDS]
+    everything = F.lower(F.concat_ws(" ", "id", "aliases", F.map_values("indexed_fields")))
 
-    def add(found: list[str], hint: str, place: int, method: str) -> None:
-        for x in found:
-            if x not in seen:
-                seen.add(x)
-                out.append((x, hint, place, method))
-
-    def by_name(name: str) -> list[str]:
-        names = dict.fromkeys([name, name[:1].upper() + name[1:]])
-        ids = [f"{p}:{n}" for n in names for p in prefixes]
-        there = {r["id"] for r in nodes.filter(F.col("id").isin(ids)).select("id").distinct().collect()}
-        return [i for i in ids if i in there]
-
-    def by_text(words: list[str]) -> list[str]:
-        found = lexical(nodes, words[0])
-        text = F.lower(F.concat_ws(" ", "id", "aliases", F.map_values("indexed_fields")))
+    def named(name: str) -> Column:
+        return F.col("id").isin([f"{p}:{n}" for n in dict.fromkeys([name, name[:1].upper() + name[1:]]) for p in prefixes])
+
+    def says(words: list[str]) -> Column:
+        out = contains(words[0])
         for w in words[1:]:
-            found = found.filter(text.contains(w.lower()))
-        return [r["id"] for r in found.select("id").distinct().orderBy("id").collect()]
+            out = out & F.coalesce(everything.contains(w.lower()), F.lit(False))
+        return out
 
+    ways: list[tuple[int, int, str, Column]] = []  # place, order, method, which nodes
     for place, hint in enumerate(hints):
-        before = len(out)
-        if ":" in hint and not nodes.filter(F.col("id") == hint).isEmpty():
-            add([hint], hint, place, "exact")
-            continue
-        if "/" in hint or "." in hint:
-            add(by_name(_basename(hint)), hint, place, "basename")
-            if len(out) == before:
-                add(by_text([_basename(hint)]), hint, place, "text_search")
-            if len(out) > before:
-                continue
+        path = "/" in hint or "." in hint
+        if ":" in hint:
+            ways.append((place, 0, "exact", F.col("id") == hint))
+        if path:
+            ways.append((place, 1, "basename", named(_basename(hint))))
+            ways.append((place, 2, "text_search", says([_basename(hint)])))
         elif ":" not in hint:
-            add(by_name(hint), hint, place, "exact")
-        if len(out) == before and hint.split():
-            add(by_text(hint.split()), hint, place, "text_search")
-        if len(out) == before:
+            ways.append((place, 1, "exact", named(hint)))
+        if hint.split():
+            ways.append((place, 3, "text_search", says(hint.split())))
+    kind = "struct<place: int, way: int, method: string>"
+    tried = F.filter(F.array(*[F.when(cond, F.struct(F.lit(p), F.lit(w), F.lit(m)).cast(kind)) for p, w, m, cond in ways]), lambda x: x.isNotNull()) if ways else F.array().cast(f"array<{kind}>")
+    found = cut(nodes.select("id", F.explode(tried).alias("w")).select("id", "w.*").distinct())
+    picks, warnings = [], []
+    taken = lambda: (F.col("place") * 4 + F.col("way")).isin([p * 4 + w for p, w in picks]) if picks else F.lit(False)
+    for place, hint in enumerate(hints):
+        mine = F.when(F.col("place") == place, F.col("way"))
+        by_id = found.groupBy("id").agg(F.max(taken()).alias("old"), F.min(mine).alias("way"))
+        r = by_id.filter("way is not null").agg(F.min("way").alias("any"), F.min(F.when(~F.col("old"), F.col("way"))).alias("new")).first()
+        if r["any"] == 0:  # an id that is there, found before or not
+            picks.append((place, 0))
+        elif r["new"] is not None:
+            picks.append((place, r["new"]))
+        else:
             warnings.append(f"No match found for hint: '{hint}'")
-    return out, warnings
+    of = F.element_at(F.array(*map(F.lit, hints)), F.col("place") + 1)
+    first = found.filter(taken()).groupBy("id").agg(F.min(F.struct("place", "method")).alias("f"))
+    return first.select(F.col("id").alias("node_id"), F.col("f.place").alias("place"), F.col("f.method").alias("method")).select("node_id", of.alias("hint"), "place", "method"), warnings
 
 
 def discover(graph: G.Graph, resolved: DataFrame, depth: int = 1) -> DataFrame:
@@ -369,17 +460,18 @@ def discover(graph: G.Graph, resolved: DataFrame, depth: int = 1) -> DataFrame:
 
     ``resolved`` has (node_id, place). The first discovery of a node counts: by place of the hint, then itself, outgoing, incoming, further."""
     roots = resolved.select(F.col("node_id").alias("root"), "place")
-    first = roots.select(F.col("root").alias("id"), F.col("root").alias("via"), F.lit(0).alias("distance"), "place", F.lit(0).alias("step"), F.lit("").alias("key"))
     arrow = F.concat("from_node", F.lit(" -> "), F.coalesce("edge_type", F.lit("")), F.lit(" -> "), "to_node").alias("via")
     key = F.concat_ws("\x01", "source_file", F.lpad(F.coalesce("ordinal", F.lit(0)).cast("string"), 20, "0"), F.coalesce("edge_type", F.lit(""))).alias("key")
-    small = G.small(cut(roots))
-    outgoing = graph.edges.join(small.withColumnRenamed("root", "from_node"), "from_node").select(F.col("to_node").alias("id"), arrow, F.lit(1).alias("distance"), "place", F.lit(1).alias("step"), key)
-    incoming = graph.edges.join(small.withColumnRenamed("root", "to_node"), "to_node").select(F.col("from_node").alias("id"), arrow, F.lit(1).alias("distance"), "place", F.lit(2).alias("step"), key)
+    roots, small = measured(roots)
+    first = roots.select(F.col("root").alias("id"), F.col("root").alias("via"), F.lit(0).alias("distance"), "place", F.lit(0).alias("step"), F.lit("").alias("key"))
+    outgoing = near_join(graph.edges, roots.withColumnRenamed("root", "from_node"), small, "from_node", "to_node").select(F.col("to_node").alias("id"), arrow, F.lit(1).alias("distance"), "place", F.lit(1).alias("step"), key)
+    incoming = near_join(graph.edges, roots.withColumnRenamed("root", "to_node"), small, "to_node", "from_node").select(F.col("from_node").alias("id"), arrow, F.lit(1).alias("distance"), "place", F.lit(2).alias("step"), key)
     rows = first.unionByName(outgoing).unionByName(incoming)
     if depth > 1:
-        reached = G.search(graph, roots.select(F.col("root").alias("id")), depth).filter("distance > 1").join(small, "root")
-        via = F.concat("root", F.lit(f" -> traverse({depth}) -> "), "id").alias("via")
-        rows = rows.unionByName(reached.select("id", via, F.lit(2).alias("distance"), "place", F.lit(3).alias("step"), F.lit("").alias("key")))
+        # the least (place, root) that reaches a node is enough: a root that is nearer than two hops has a row of an earlier step above
+        reached = G.reaching(graph, roots.select(F.col("root").alias("id"), F.struct("place", "root").alias("value")), depth)[-1]
+        via = F.concat("lo.root", F.lit(f" -> traverse({depth}) -> "), "id").alias("via")
+        rows = rows.unionByName(reached.select("id", via, F.lit(2).alias("distance"), F.col("lo.place").alias("place"), F.lit(3).alias("step"), F.lit("").alias("key")))
     best = rows.groupBy("id").agg(F.min(F.struct("place", "step", "key", "via", "distance")).alias("b"))
     return best.select("id", "b.via", "b.distance", "b.place", "b.step", "b.key")
 
@@ -408,9 +500,7 @@ def context(graph: G.Graph, hints: list[str], depth: int = 1, max_tokens: int =
     if not hints:
         raise QueryError("EMPTY_HINTS", "no hints")
     check(depth=depth, most_depth=3)
-    spark = graph.nodes.sparkSession
-    found, warnings = resolve_hints(graph.nodes, hints)
-    resolved = spark.createDataFrame(found, "node_id string, hint string, place int, method string")
+    resolved, warnings = resolve_hints(graph.nodes, hints)
     items = cut(content(graph.nodes).join(discover(graph, resolved, depth), "id"))
     tokens = F.ceil(F.length(F.concat_ws(" ", "id", "kind", "content", F.coalesce("source_file", F.lit("")), "via")) / 4)
     order = [F.col(c) for c in ("priority", "distance", "place", "step", "key", "id")]

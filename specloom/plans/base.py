@@ -30,7 +30,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    return G.build(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return G.build(nodes(spark, sf_dir), edges(spark, sf_dir), table(spark, sf_dir, "graph_edges").select("from_node", "to_node"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of the chunks, for searches that find the last by generated_at themselves."""
+    return table(spark, sf_dir, "chunk_embeddings").select("id", "generated_at", "vector").filter("id is not null")
 
 
 NODES_SQL = """n as (select * exclude (k) replace (lower(trim(kind)) as kind) from (

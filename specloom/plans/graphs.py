@@ -8,10 +8,11 @@ from .. import dims
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..runtime import cut
-from .base import CHUNKS_SQL, GRAPH_SQL, HUB, NEAR_SQL, NODES_SQL, VECTOR, VECTOR_SQL, chunks, graph, nodes
+from .base import CHUNKS_SQL, GRAPH_SQL, HUB, NEAR_SQL, NODES_SQL, VECTOR, VECTOR_SQL, chunks, graph, nodes, versions
 
 TYPES = ["EMITS", "ENTITY_RULE"]
 TEXT = "marea"
+AT = "generated_at"
 HINTS = ["Entity:ZonaComun", "specs/01-domain/entities/CarpetaMaestra.md", "cmd-comun-05", "nothing of the kind"]
 KEYS = ["from_node", "to_node", "edge_type"]
 
@@ -51,7 +52,11 @@ def violation_check(spark, d):
 
 def coverage_all(spark, d):
     c = R.coverage(graph(spark, d))
-    return c.select("node_id", "category", "edge_type", "status", F.array_join("found", ",").alias("found"))
+    return c.select("node_id", "category", "edge_type", "status", "links")
+
+
+def coverage_links(spark, d):
+    return R.coverage_links(graph(spark, d))
 
 
 def coverage_percent(spark, d):
@@ -77,9 +82,10 @@ def index_stats(spark, d):
     return R.stats(graph(spark, d), chunks(spark, d))
 
 
-def _kept(g: G.Graph) -> G.Graph:
-    """The graph computed once for a search of several hops: narrow edges, cut from their lineage."""
-    return G.Graph(g.nodes, cut(g.edges.select(*KEYS, "source_file", "ordinal", "edge_id", "layer_violation")), g.orphans)
+def _kept(g: G.Graph, nodes_too: bool = False) -> G.Graph:
+    """The graph computed once for a search of several hops: narrow edges, cut from their lineage; the nodes as well where a query reads them more than twice."""
+    kept = cut(g.nodes.select("id", "kind", "layer", "domain", "source_file", "aliases", "indexed_fields")) if nodes_too else g.nodes
+    return G.Graph(kept, cut(g.edges.select(*KEYS, "source_file", "ordinal", "edge_id", "layer_violation")), g.orphans)
 
 
 def bfs_depth1(spark, d):
@@ -112,12 +118,12 @@ def impact_scenarios(spark, d):
 
 
 def semantic_topk(spark, d):
-    return R.nearest_chunks(chunks(spark, d), VECTOR, 30, 0.1).withColumn("score", F.round("score", 6))
+    return R.nearest_chunks(versions(spark, d), VECTOR, 30, 0.1, AT).withColumn("score", F.round("score", 6))
 
 
 def semantic_nodes(spark, d):
     g = graph(spark, d)
-    return R.semantic(g, chunks(spark, d), "", None, min_score=0.1, limit=10, kinds=["entity", "use-case", "command", "event"], vector=VECTOR).select("node_id", F.round("score", 6).alias("score"), "snippet", "match_source")
+    return R.semantic(g, versions(spark, d), "", None, latest=AT, min_score=0.1, limit=10, kinds=["entity", "use-case", "command", "event"], vector=VECTOR).select("node_id", F.round("score", 6).alias("score"), "snippet", "match_source")
 
 
 def lexical_search(spark, d):
@@ -129,8 +135,8 @@ def lexical_fields(spark, d):
 
 
 def _hybrid(spark, d, **options):
-    g = _kept(graph(spark, d))
-    return R.hybrid(g, chunks(spark, d), TEXT, min_score=0.04, vector=VECTOR, **options)
+    g = _kept(graph(spark, d), True)
+    return R.hybrid(g, versions(spark, d), TEXT, min_score=0.04, vector=VECTOR, latest=AT, **options)
 
 
 def hybrid_fusion(spark, d):
@@ -151,25 +157,25 @@ def hybrid_graph_expansion(spark, d):
 
 
 def hybrid_lexical_only(spark, d):
-    g = _kept(graph(spark, d))
+    g = _kept(graph(spark, d), True)
     return R.hybrid(g, None, TEXT, min_score=0.01, depth=1, kinds=["entity", "event"], limit=50).results.select("node_id", F.round("score", 6).alias("score"), "match_source")
 
 
 def find_spec(spark, d):
-    return R.find_spec(_kept(graph(spark, d)), chunks(spark, d), TEXT, vector=VECTOR).results.select("node_id", F.round("score", 6).alias("score"), "match_source")
+    return R.find_spec(_kept(graph(spark, d), True), versions(spark, d), TEXT, vector=VECTOR, latest=AT).results.select("node_id", F.round("score", 6).alias("score"), "match_source")
 
 
 def context_hints(spark, d):
-    return R.context(_kept(graph(spark, d)), HINTS).hints
+    return R.context(_kept(graph(spark, d), True), HINTS).hints
 
 
 def context_items(spark, d):
-    c = R.context(_kept(graph(spark, d)), ["Entity:ZonaComun"], depth=1)
+    c = R.context(_kept(graph(spark, d), True), ["Entity:ZonaComun"], depth=1)
     return c.items.select("id", "kind", "content", "priority", "distance")
 
 
 def context_budget(spark, d):
-    c = R.context(_kept(graph(spark, d)), HINTS, depth=1, max_tokens=600)
+    c = R.context(_kept(graph(spark, d), True), HINTS, depth=1, max_tokens=600)
     return c.constraints.unionByName(c.behavior)
 
 
@@ -180,7 +186,7 @@ def chunk_documents(spark, d):
 
 
 _QUERIES = [
-    edge_build_dedupe, orphan_edges, orphan_edges_typed, orphan_rate, layer_violations, violation_rate, violation_check, coverage_all, coverage_percent, incident_edges, node_lookup, node_list, index_stats,
+    edge_build_dedupe, orphan_edges, orphan_edges_typed, orphan_rate, layer_violations, violation_rate, violation_check, coverage_all, coverage_links, coverage_percent, incident_edges, node_lookup, node_list, index_stats,
     bfs_depth1, bfs_depth2, bfs_typed, bfs_edges, impact_direct, impact_transitive, impact_scenarios, semantic_topk, semantic_nodes, lexical_search, lexical_fields, hybrid_fusion, hybrid_search, hybrid_budget,
     hybrid_graph_expansion, hybrid_lexical_only, find_spec, context_hints, context_items, context_budget, chunk_documents,
 ]
@@ -245,7 +251,8 @@ ORACLE = {
     "layer_violations": _VIOLATIONS + " select from_node, to_node, from_layer, to_layer, edge_type from v where from_kind in ('entity', 'command') or to_kind in ('entity', 'command')",
     "violation_rate": _VIOLATIONS + ", a as (select count(*) as violations from v), b as (select count(*) as edges from g) select violations, edges, round(violations::double / edges * 10000) / 100 as rate from a, b",
     "violation_check": f"with {GRAPH_SQL}, pre as (from (values {_PREFIXES}) t(prefix, r, layer)), y as (select a.layer as origin, b.layer as target from g left join pre a on a.prefix = split_part(from_node, ':', 1) and contains(from_node, ':') left join pre b on b.prefix = split_part(to_node, ':', 1) and contains(to_node, ':')) select origin, target, coalesce(origin <> '00-requirements' and {_LAYER.format('origin')} < {_LAYER.format('target')}, false) as violation, count(*) as edges from y group by all",
-    "coverage_all": _COVERED + " select node_id, category, edge_type, if(len(f) > 0, 'covered', 'missing') as status, coalesce(array_to_string(f, ','), '') as found from cov",
+    "coverage_all": _COVERED + " select node_id, category, edge_type, if(len(f) > 0, 'covered', 'missing') as status, coalesce(len(f), 0)::bigint as links from cov",
+    "coverage_links": _COVERED + " select node_id, category, unnest(f) as other from cov where len(f) > 0",
     "coverage_percent": _COVERED + ", k as (select node_id, count(*) filter (len(f) > 0) as present, count(*) as total from cov group by node_id) select node_id, present, total - present as missing, round(present::double / total * 1000) / 10 as coverage_percent from k",
     "incident_edges": f"with {GRAPH_SQL} select node_id, direction, edge_type, count(*) as edges, count(distinct other) as others from (select from_node as node_id, 'out' as direction, edge_type, to_node as other from g union all select to_node, 'in', edge_type, from_node from g) group by all",
     "node_lookup": f"with {GRAPH_SQL} select distinct from_node, from_exists from x",

@@ -103,8 +103,8 @@ def test_search_against_brute_force(spark):
         want |= {m: d for m in front}
     assert dict(rows(G.search(g, spark.createDataFrame([("n0",)], "id string"), 3), "id", "distance")) == want
     seeds = ["n0", "n1", "n2"]
-    state = R.near_seeds(g, spark.createDataFrame([(s,) for s in seeds], "id string"), 2)
-    hit = {r["id"] for r in state.filter("id <> seed").collect()}
+    state = G.reaching(g, spark.createDataFrame([(s, s) for s in seeds], "id string, value string"), 2)[-1]
+    hit = {r["id"] for r in state.filter("id <> lo or id <> hi").collect()}
     reach = {s: {s} | near[s] | {m for n in near[s] for m in near[n]} for s in seeds}
     assert hit == {n for n in names if any(n in reach[s] and n != s for s in seeds)}
 
