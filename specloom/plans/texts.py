@@ -10,6 +10,7 @@ from ..functions.vectors import HashingEncoder
 from ..operators import extract as E
 from ..operators import maintain as M
 from ..runtime import table
+from . import documents
 from .base import chunks, edges, nodes
 
 
@@ -39,7 +40,7 @@ def kind_route(spark, d):
 
 def sections(spark, d):
     s = _texts(spark, d).select("doc_id", F.posexplode(X.sections("text")).alias("pos", "s"))
-    return s.select("doc_id", "pos", "s.heading", "s.level", "s.path", F.length("s.content").alias("chars"))
+    return s.select("doc_id", "pos", "s.heading", "s.level", "s.path", "s.content")
 
 
 def section_headings(spark, d):
@@ -64,8 +65,9 @@ def bullet_items(spark, d):
 
 
 def tables(spark, d):
+    """Cells of the pipe tables of every text, by the names of their columns."""
     rows = _texts(spark, d).select("doc_id", F.posexplode(E.tables("text")).alias("pos", "row"))
-    return rows.select("doc_id", "pos", F.to_json("row").alias("row"))
+    return rows.select("doc_id", "pos", F.explode("row").alias("name", "value"))
 
 
 def content_hash(spark, d):
@@ -84,8 +86,12 @@ def _files(spark, d):
 
 
 def extracted_nodes(spark, d):
-    n = E.nodes(E.documents(_files(spark, d)))
-    return n.select("id", "kind", "source_file", "source_hash", "layer", "status", F.to_json("indexed_fields").alias("fields"), F.to_json("tables").alias("tables"))
+    return E.nodes(E.documents(_files(spark, d))).select("id", "kind", "source_file", "source_hash", "layer", "status")
+
+
+def extracted_fields(spark, d):
+    """The text fields of every node, a row each."""
+    return E.nodes(E.documents(_files(spark, d))).select("id", "source_file", F.explode("indexed_fields").alias("field", "value"))
 
 
 def extracted_edges(spark, d):
@@ -93,7 +99,7 @@ def extracted_edges(spark, d):
 
 
 def extracted_chunks(spark, d):
-    return E.chunks(E.documents(_files(spark, d))).select("id", "document_id", "section_path", "chunk_index", "char_offset", "raw_text", "text_hash")
+    return E.chunks(E.documents(_files(spark, d))).select("id", "document_id", "document_kind", "section_path", "chunk_index", "char_offset", "raw_text", "context_text", "text_hash")
 
 
 def encoded_chunks(spark, d):
@@ -153,7 +159,7 @@ def event_windows_sliding(spark, d):
 
 
 _QUERIES = [
-    wiki_links, link_resolve, kind_route, sections, section_headings, anchors, sentences, bullet_items, tables, content_hash, excerpts, extracted_nodes, extracted_edges, extracted_chunks, encoded_chunks, index_log,
+    wiki_links, link_resolve, kind_route, sections, section_headings, anchors, sentences, bullet_items, tables, content_hash, excerpts, extracted_nodes, extracted_fields, extracted_edges, extracted_chunks, encoded_chunks, index_log,
     incremental_diff, merge_lww, merge_edges, cascade_delete, latest_state, event_windows, event_windows_sliding,
 ]
 QUERIES = {f.__name__: f for f in _QUERIES}
@@ -172,7 +178,7 @@ def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^[\t\n\x{{000B}}\f\r\p{{Z}}\x{{FEFF}}]+|[\t\n\x{{000B}}\f\r\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
 
 
-ORACLE = {
+ORACLE = documents.ORACLE | {
     "wiki_links": "with " + _LINKS.format(key="doc_id", text="text", rows="documents") + f" select doc_id, pos, target, domain, alias, {_NODE} as node_id from link",
     "link_resolve": "with " + _LINKS.format(key="id", text="raw_text", rows="chunk_embeddings") + f", t as (select distinct target, {_NODE} as node_id from link), l as (from (values {_LAYER}) t(prefix, layer)) select target, node_id, layer, starts_with(node_id, 'Entity:' || target) as is_entity from t left join l on prefix = split_part(node_id, ':', 1)",
     "kind_route": f"with k as (from (values {_KINDS}) t(kind, path)) select k.kind as routed, coalesce(not contains(source_file, path), false) as warned, {_PATH} as layer, count(*) as files from graph_nodes g left join k on k.kind = lower(trim(g.kind)) group by all",
