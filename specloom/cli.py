@@ -39,7 +39,7 @@ def _graph(spark: SparkSession, path: str, embeddings: bool = False):
 
 def _index(spark: SparkSession, a) -> None:
     level = a.level if a.level == "L1" else "L2"
-    made = extract.index(store.spec_files(spark, a.specs), level, HashingEncoder(DIMENSIONS), "hashing", DIMENSIONS, a.domain)
+    made = extract.index(store.spec_files(spark, a.specs, unread=True), level, HashingEncoder(DIMENSIONS), "hashing", DIMENSIONS, a.domain)
     made.nodes, made.edges = made.nodes.persist(), made.edges.persist()
     commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True).stdout.strip() or None
     manifest = store.manifest_of(made, level, "hashing", DIMENSIONS, [a.domain] if a.domain else [], commit)
@@ -63,6 +63,7 @@ def _impact(spark, a) -> None:
     i = retrieval.impact(_graph(spark, a.index_path)[0], a.node, depth=a.depth)
     for part in (i.direct, i.transitive, i.scenarios):
         _show(part, "node_id")
+    print(json.dumps({"truncated": i.truncated}))
 
 
 def _semantic(spark, a) -> None:
@@ -73,8 +74,10 @@ def _semantic(spark, a) -> None:
 
 
 def _coverage(spark, a) -> None:
-    c = retrieval.coverage(_graph(spark, a.index_path)[0], a.node)
+    g = _graph(spark, a.index_path)[0]
+    c = retrieval.coverage(g, a.node)
     _show(c, "category_rank")
+    _show(retrieval.coverage_links(g, a.node), "category", "other")
     _show(retrieval.coverage_percent(c))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import pandas as pd
@@ -109,6 +109,30 @@ SPEC_EDGES = [
     ("adr", "DECIDES_FOR", ("Decisión", "Decision"), (), False),
     ("glossary", "GLOSSARY_DEFINES", ("Definición", "Definition"), (), False),
 ]
+
+
+@dataclass
+class Registry:
+    """What is known of kinds: (kind, prefix, path, embedded headings, layer), and the tables of fields and of edges from links.
+
+    ``register`` adds a kind, or puts other rows in the place of a known one's. A field may also be a function of the documents' columns instead of headings."""
+
+    kinds: list[tuple] = field(default_factory=lambda: list(dims.KINDS))
+    fields: list[tuple] = field(default_factory=lambda: list(FIELDS))
+    links: list[tuple] = field(default_factory=lambda: list(LINK_EDGES))
+
+    def register(self, kind: str, prefix: str, path: str = "", embedded: tuple[str, ...] = (), layer: str = dims.DEFAULT_LAYER, fields: tuple[tuple, ...] = (), links: tuple[tuple, ...] = ()) -> "Registry":
+        """``fields`` are (field, headings, mode) or (field, function); ``links`` are (edge type, headings, starts of targets, every section)."""
+        self.kinds = [k for k in self.kinds if k[0] != kind] + [(kind, prefix, path, [h.lower() for h in embedded], layer)]
+        self.fields = [f for f in self.fields if f[0] != kind] + [(kind, *f) if len(f) == 3 else (kind, f[0], f[1], "function") for f in fields]
+        self.links = [x for x in self.links if x[0] != kind] + [(kind, *x) for x in links]
+        return self
+
+    def has(self, kind: str) -> bool:
+        return any(k[0] == kind for k in self.kinds)
+
+
+DEFAULT = Registry()
 EDGES = "from_node string, to_node string, edge_type string, source_file string, extraction_method string, metadata map<string,string>, layer_violation boolean, bidirectional boolean, ordinal bigint"
 
 
@@ -152,27 +176,32 @@ def tables(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else table_rows(t))
 
 
-def route(kind: Column, path: Column) -> tuple[Column, Column]:
-    """(kind, warning): the kind if it is one of the sixteen (blanks and case aside), else null; a warning where the path doesn't fit it."""
+def route(kind: Column, path: Column, registry: Registry | None = None) -> tuple[Column, Column]:
+    """(kind, warning): the kind if it is a registered one, of sixteen by default (blanks and case aside), else null; a warning where the path doesn't fit it."""
     bare = F.lower(F.trim(kind))
-    valid = F.when(bare.isin([k for k, *_ in dims.KINDS]), bare)
-    expected = dims._case(bare, [(k, path_) for k, _, path_, *_r in dims.KINDS])
+    kinds = (registry or DEFAULT).kinds
+    valid = F.when(bare.isin([k for k, *_ in kinds]), bare)
+    expected = dims._case(bare, [(k, path_) for k, _, path_, *_r in kinds])
     return valid, F.when(~path.contains(expected), F.concat(F.lit("'"), bare, F.lit("' expected in "), expected, F.lit(", found in "), path))
 
 
-def documents(files: DataFrame, domain: str | None = None) -> DataFrame:
-    """Parsed documents of files (path, content): id, kind, source_path, source_hash, layer, front, aliases, sections, body, warning, domain. Files of no valid kind have a null kind."""
-    p = files.select("path", "content", _parse("content").alias("p"))
-    kind, warning = route(F.col("p.front")["kind"], F.col("path"))
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+def documents(files: DataFrame, domain: str | None = None, registry: Registry | None = None) -> DataFrame:
+    """Parsed documents of files (path, content): id, kind, source_path, source_hash, layer, front, aliases, sections, body, warning, domain, unread. Files of no valid kind have a null kind.
+
+    A YAML file is a head without a body."""
+    head_only = F.col("path").rlike(r"\.ya?ml$")
+    content = F.when(head_only & ~F.col("content").startswith("---"), F.concat(F.lit("---\n"), "content", F.lit("\n---\n"))).when(head_only, F.concat("content", F.lit("\n---\n"))).otherwise(F.col("content"))
+    p = files.select("path", "content", _parse(content).alias("p"))
+    kind, warning = route(F.col("p.front")["kind"], F.col("path"), registry)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(md|ya?ml)$", "")
     return p.select(
         F.coalesce(F.col("p.front")["id"], stem).alias("id"), kind.alias("kind"), F.col("path").alias("source_path"), F.sha2("content", 256).alias("source_hash"), dims.layer_of_path(F.col("path")).alias("layer"),
-        F.col("p.front").alias("front"), F.col("p.aliases").alias("aliases"), F.col("p.sections").alias("sections"), F.col("p.body").alias("body"), warning.alias("warning"), F.lit(domain).cast("string").alias("domain"),
+        F.col("p.front").alias("front"), F.col("p.aliases").alias("aliases"), F.col("p.sections").alias("sections"), F.col("p.body").alias("body"), warning.alias("warning"), F.lit(domain).cast("string").alias("domain"), F.col("content").isNull().alias("unread"),
     )
 
 
-def node_id(docs_domain: bool = False) -> Column:
-    plain = F.concat_ws(":", dims.prefix_of_kind(F.col("kind")), F.col("id"))
+def node_id(docs_domain: bool = False, registry: Registry | None = None) -> Column:
+    plain = F.concat_ws(":", dims._case(F.col("kind"), [(k, p) for k, p, *_ in (registry or DEFAULT).kinds]), F.col("id"))
     return F.concat_ws(":", F.col("domain"), plain) if docs_domain else plain
 
 
@@ -197,11 +226,13 @@ def section_deep(names) -> Column:
     return F.when((at > 0) & (F.size(parts) > 0), F.array_join(parts, "\n\n"))
 
 
-def nodes(docs: DataFrame, docs_domain: bool = False, now: Column | None = None) -> DataFrame:
+def nodes(docs: DataFrame, docs_domain: bool = False, now: Column | None = None, registry: Registry | None = None) -> DataFrame:
     """Graph nodes of documents. Text fields are searchable; the rows of tables go as JSON into ``tables``."""
     text, rows = [], []
-    for kind, field, names, mode in FIELDS:
-        if mode == "rows":
+    for kind, field, names, mode in (registry or DEFAULT).fields:
+        if mode == "function":
+            text.append(F.struct(F.lit(field).alias("key"), F.when(F.col("kind") == kind, names()).alias("value")))
+        elif mode == "rows":
             value = F.to_json(tables(F.when(F.col("kind") == kind, section_text(names))))
             rows.append(F.struct(F.lit(field).alias("key"), value.alias("value"), F.lit(kind).alias("kind")))
         else:
@@ -209,17 +240,17 @@ def nodes(docs: DataFrame, docs_domain: bool = False, now: Column | None = None)
             text.append(F.struct(F.lit(field).alias("key"), F.when(F.col("kind") == kind, value).alias("value")))
     as_map = lambda xs: F.map_from_entries(F.transform(F.filter(F.array(*xs), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"], e["value"])))
     return docs.filter(F.col("kind").isNotNull()).select(
-        node_id(docs_domain).alias("id"), "kind", F.col("source_path").alias("source_file"), "source_hash", "layer", F.coalesce(F.col("front")["status"], F.lit("draft")).alias("status"), "aliases", "domain",
+        node_id(docs_domain, registry).alias("id"), "kind", F.col("source_path").alias("source_file"), "source_hash", "layer", F.coalesce(F.col("front")["status"], F.lit("draft")).alias("status"), "aliases", "domain",
         as_map(text).alias("indexed_fields"), as_map(rows).alias("tables"), (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("indexed_at"),
     )
 
 
-def edges(docs: DataFrame, spec_edges: bool = False, relation_types: bool = False, docs_domain: bool = False, both_ways: bool = False) -> DataFrame:
+def edges(docs: DataFrame, spec_edges: bool = False, relation_types: bool = False, docs_domain: bool = False, both_ways: bool = False, registry: Registry | None = None) -> DataFrame:
     """Graph edges of documents, one of each (from, to, type), the first in the text: links first, then what sections say.
 
     ``spec_edges`` adds the types that are specified only, and CROSS_DOMAIN_REF for links into another domain; ``relation_types`` adds an edge named by the text of each
     relation; ``both_ways`` also flags links whose reverse violates the layers."""
-    d = docs.filter(F.col("kind").isNotNull()).select(node_id(docs_domain).alias("from_node"), "kind", "layer", "sections", F.col("source_path").alias("source_file"), "domain")
+    d = docs.filter(F.col("kind").isNotNull()).select(node_id(docs_domain, registry).alias("from_node"), "kind", "layer", "sections", F.col("source_path").alias("source_file"), "domain")
     whole = F.array_join(F.transform("sections", lambda s: s["content"]), "\n")
     empty = F.create_map().cast("map<string,string>")
 
@@ -236,7 +267,7 @@ def edges(docs: DataFrame, spec_edges: bool = False, relation_types: bool = Fals
     first = all_links.withColumn("_k", F.row_number().over(Window.partitionBy("from_node", "to_node").orderBy("ordinal"))).filter("_k = 1")
     out = first.select(*same, F.lit("WIKI_LINK").alias("edge_type"), F.lit("wiki_link").alias("extraction_method"), meta.alias("metadata"), broken.alias("layer_violation"), F.lit(True).alias("bidirectional"))
     plain = [F.lit("wiki_link").alias("extraction_method"), empty.alias("metadata"), F.lit(False).alias("layer_violation"), F.lit(False).alias("bidirectional")]
-    for step, (kind, edge_type, names, starts, every) in enumerate([*LINK_EDGES, *(SPEC_EDGES if spec_edges else [])], 2):
+    for step, (kind, edge_type, names, starts, every) in enumerate([*(registry or DEFAULT).links, *(SPEC_EDGES if spec_edges else [])], 2):
         text = whole if not names else F.array_join(F.transform(F.filter("sections", _named(names)), lambda s: s["content"]), "\n") if every else section_text(names)
         want = is_entity_target(F.col("link.target")) if not starts else F.greatest(*[F.col("link.target").startswith(s) for s in starts], F.lit(False))
         out = out.unionByName(linked(d.filter(F.col("kind") == kind), text, step).filter(want).select(*same, F.lit(edge_type).alias("edge_type"), *plain))
@@ -251,10 +282,57 @@ def edges(docs: DataFrame, spec_edges: bool = False, relation_types: bool = Fals
     if spec_edges:
         far = all_links.filter(F.col("link.domain").isNotNull() & ~F.col("link.domain").eqNullSafe(F.col("domain"))).withColumn("to_node", F.concat_ws(":", F.col("link.domain"), "to_node") if docs_domain else F.col("to_node"))
         out = out.unionByName(far.select(*same, F.lit("CROSS_DOMAIN_REF").alias("edge_type"), *plain))
+        policy = first.filter(F.col("kind").isin("business-policy", "cross-policy") & is_entity_target(F.col("link.target")))
+        out = out.unionByName(policy.select(*same, F.lit("ENTITY_POLICY").alias("edge_type"), *plain))
+        out = out.unionByName(first.filter(broken).select(*same, F.lit("LAYER_DEPENDENCY").alias("edge_type"), *plain[:2], F.lit(True).alias("layer_violation"), plain[3]))
     w = Window.partitionBy("from_node", "to_node", "edge_type").orderBy("ordinal")
     return out.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(*[c.split()[0] for c in EDGES.split(", ")])
 
 
+# Scenarios -----------------------------------------------------------------------------------------------------------
+
+_SCENARIOS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("feature", "name")] + [T.StructField("tags", T.ArrayType(T.StringType()))]))
+_SCENARIO_LINE = re.compile(r"\s*(?:(Feature|Característica|Funcionalidad|Funcionalidade)|(?:Scenario|Escenario|Cenário)(?: Outline)?|Example|Ejemplo|Exemplo)\s*:\s*(.*?)\s*$")
+
+
+def scenarios_of(content: str | None) -> list[tuple[str | None, str, list[str]]]:
+    """(feature, scenario, tags) of a feature file: the tags above a scenario and those above its feature, in order, each once. Tags start with a capital, as ids do."""
+    out, feature, shared, tags = [], None, [], []
+    for line in (content or "").split("\n"):
+        m = _SCENARIO_LINE.match(line)
+        if line.strip().startswith("@"):
+            tags += re.findall(r"@([A-ZÀ-Þ][\w-]*)", line)
+        elif m and m[1]:
+            feature, shared, tags = m[2], tags, []
+        elif m:
+            out.append((feature, m[2], list(dict.fromkeys([*shared, *tags]))))
+            tags = []
+        elif line.strip() and not line.strip().startswith("#"):
+            tags = []
+    return out
+
+
+def features(files: DataFrame, domain: str | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of feature files (path, content): a node of kind ``scenario`` for each scenario, and a VALIDATES edge to each node that its tags name.
+
+    An id is made of the file's name and the scenario's place in it. A file without scenarios gives nothing."""
+    parse = F.pandas_udf(lambda c: c.map(scenarios_of), _SCENARIOS)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.feature$", "")
+    rows = files.filter(F.col("path").endswith(".feature")).select("path", F.sha2("content", 256).alias("hash"), stem.alias("stem"), F.posexplode(parse("content")).alias("k", "s"))
+    rows = rows.withColumn("id", F.concat(F.lit("Scenario:"), "stem", F.lit("-"), (F.col("k") + 1).cast("string")))
+    text = F.map_filter(F.create_map(F.lit("title"), F.col("s.name"), F.lit("feature"), F.col("s.feature")), lambda k, v: v.isNotNull())
+    nodes_ = rows.select(
+        "id", F.lit("scenario").alias("kind"), F.col("path").alias("source_file"), F.col("hash").alias("source_hash"), dims.layer_of_path(F.col("path")).alias("layer"), F.lit("draft").alias("status"), F.array().cast("array<string>").alias("aliases"),
+        F.lit(domain).cast("string").alias("domain"), text.alias("indexed_fields"), F.create_map().cast("map<string,string>").alias("tables"), (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("indexed_at"),
+    )
+    tagged = rows.select("id", "path", F.posexplode("s.tags").alias("k", "tag"))
+    edges_ = tagged.select(
+        F.col("id").alias("from_node"), node_of_link(F.col("tag")).alias("to_node"), F.lit("VALIDATES").alias("edge_type"), F.col("path").alias("source_file"), F.lit("feature_tag").alias("extraction_method"),
+        F.create_map().cast("map<string,string>").alias("metadata"), F.lit(False).alias("layer_violation"), F.lit(False).alias("bidirectional"), F.col("k").cast("bigint").alias("ordinal"),
+    )
+    return nodes_, edges_
+
+
 # Chunks --------------------------------------------------------------------------------------------------------------
 
 
@@ -323,7 +401,7 @@ def merge_short(content: str, least_words: int = 20) -> str:
     return "\n\n".join([*out, short] if short else out)
 
 
-def chunks(docs: DataFrame, most: int = 1500, overlap: int = 200, merged: bool = False) -> DataFrame:
+def chunks(docs: DataFrame, most: int = 1500, overlap: int = 200, merged: bool = False, registry: Registry | None = None) -> DataFrame:
     """(id, document_id, document_kind, section_path, chunk_index, raw_text, context_text, char_offset, text_hash) of the sections that are embedded for a document's kind."""
     kind = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("text", T.StringType())]))
 
@@ -331,7 +409,7 @@ def chunks(docs: DataFrame, most: int = 1500, overlap: int = 200, merged: bool =
     def cut_up(sections: pd.Series) -> pd.Series:
         return sections.map(lambda xs: [(s["heading"], o, t) for s in xs for o, t in pack_paragraphs(merge_short(s["content"]) if merged else s["content"], most, overlap)])
 
-    heads = F.create_map(*[x for k, _, _, names, _ in dims.KINDS for x in (F.lit(k), F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))])
+    heads = F.create_map(*[x for k, _, _, names, _ in (registry or DEFAULT).kinds for x in (F.lit(k), F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))])
     wanted = F.filter("sections", lambda s: F.array_contains(F.col("heads"), F.lower(s["heading"])) & (F.trim(s["content"]) != ""))
     title = F.when(F.col("front")["title"] != "", F.concat(F.lit("\nTitle: "), F.col("front")["title"]))
     identity = F.concat(F.lit("Document: "), "id", F.lit("\nKind: "), "kind", F.lit("\nLayer: "), "layer", F.coalesce(title, F.lit("")))
@@ -362,15 +440,19 @@ class Index:
     chunks: DataFrame | None
 
 
-def index(files: DataFrame, level: str = "L1", encoder=None, model: str = "hashing", dimensions: int = 64, domain: str | None = None, enrich=None, **options) -> Index:
-    """Index files (path, content). Of several documents of one id the last by path counts. ``enrich`` may turn an Index into a richer one (level L3)."""
-    docs = documents(files, domain)
+def index(files: DataFrame, level: str = "L1", encoder=None, model: str = "hashing", dimensions: int = 64, domain: str | None = None, enrich=None, registry: Registry | None = None, **options) -> Index:
+    """Index files (path, content): documents, and feature files by their ending. A null content is a file that can't be read: it is logged and skipped. Of several documents of one id the last by path counts. ``enrich`` may turn an Index into a richer one (level L3)."""
+    specs = files.filter(~F.col("path").endswith(".feature"))
+    docs = documents(specs, domain, registry)
     by_domain = options.pop("docs_domain", False)
-    now = nodes(docs, by_domain)
+    said, checks = features(files, domain)
+    now = nodes(docs, by_domain, registry=registry).unionByName(said)
     last = now.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("source_file")))).filter("_k = 1").drop("_k")
-    log = docs.select("source_path", F.when(F.col("kind").isNotNull(), node_id(by_domain)).alias("node_id"), F.when(F.col("kind").isNull(), "No valid kind in front-matter").alias("skipped_reason"), "warning")
-    parts = chunks(docs) if level != "L1" else None
+    why = F.when(F.col("unread"), "File can't be read").when(F.col("kind").isNull(), "No valid kind in front-matter")
+    log = docs.select("source_path", F.when(F.col("kind").isNotNull(), node_id(by_domain, registry)).alias("node_id"), why.alias("skipped_reason"), "warning")
+    parts = chunks(docs, registry=registry) if level != "L1" else None
     if parts is not None and encoder is not None:
         parts = encode(parts, encoder, model, dimensions)
-    made = Index(log, last, edges(docs, docs_domain=by_domain, **options), parts)
+    links = edges(docs, docs_domain=by_domain, registry=registry, **options).unionByName(checks)
+    made = Index(log, last, links, parts)
     return enrich(made) if enrich and level == "L3" else made

@@ -74,6 +74,21 @@ def build(nodes: DataFrame, edges: DataFrame, rows: DataFrame | None = None) ->
     return Graph(nodes, first_edges(marked.filter(both).drop("from_exists", "to_exists")), orphans)
 
 
+def insert(graph: Graph, edges: DataFrame) -> Graph:
+    """The graph with further edges, one or many: those with both ends are added unless there is one of their (from, to, type) already, the others become orphans.
+
+    Only the new edges are looked up; the graph's own are not built again."""
+    marked = _exists(edges, graph.nodes, edges)
+    both = F.col("from_exists") & F.col("to_exists")
+    keys = ["from_node", "to_node", "edge_type"]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}"))
+    fresh = first_edges(marked.filter(both).drop("from_exists", "to_exists")).alias("n").join(graph.edges.select(*keys).alias("o"), same, "left_anti")
+    orphans = marked.filter(~both).withColumn("reason", reason(F.col("from_exists"), F.col("to_exists")))
+    return Graph(graph.nodes, graph.edges.unionByName(fresh, True), graph.orphans.unionByName(orphans, True))
+
+
 def usable(edges: DataFrame, edge_types: list[str] | None = None, respect_layers: bool = True) -> DataFrame:
     """Edges a search may take: no layer violations if layers are respected; of the given types (none given: all, an empty list: none)."""
     if respect_layers:

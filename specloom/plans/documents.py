@@ -89,9 +89,11 @@ said as (
 link as ({_links('said', 'id, kind, step, edge_type, starts', 't')}),
 typed as (
   select id, node, edge_type, step * 1000000 + pos as ordinal from link where step = 0 or if(starts = '', {_ENTITY}, list_bool_or(list_transform(string_split(starts, ','), lambda s: starts_with(target, s))))
-  union all select id, node, 'CROSS_DOMAIN_REF', pos from link where step = 0 and domain is not null)"""
+  union all select id, node, 'CROSS_DOMAIN_REF', pos from link where step = 0 and domain is not null
+  union all select id, node, 'ENTITY_POLICY', pos from link where step = 0 and kind in ('business-policy', 'cross-policy') and {_ENTITY}
+  union all select id, node, 'LAYER_DEPENDENCY', pos from link where step = 0 and coalesce({_RANK.format(chr(39) + '02-behavior' + chr(39))} < {_RANK.format('(' + _LAYER_OF.format('node') + ')')}, false))"""
 _RELATED = f"""relation as (select spec.id, sec.content as t, row_number() over (partition by spec.doc_id order by sec.pos) as k from spec join sec on sec.doc_id = spec.doc_id where spec.kind = 'entity' and lower(sec.heading) in ('relaciones', 'relations', 'relationships'))"""
-_FIRST = f"select id as from_node, node as to_node, edge_type, edge_type = 'WIKI_LINK' and coalesce({_RANK.format(chr(39) + '02-behavior' + chr(39))} < {_RANK.format('(' + _LAYER_OF.format('node') + ')')}, false) as layer_violation, edge_type = 'WIKI_LINK' as bidirectional, min(ordinal)::bigint as ordinal from {{0}} group by all"
+_FIRST = f"select id as from_node, node as to_node, edge_type, edge_type in ('WIKI_LINK', 'LAYER_DEPENDENCY') and coalesce({_RANK.format(chr(39) + '02-behavior' + chr(39))} < {_RANK.format('(' + _LAYER_OF.format('node') + ')')}, false) as layer_violation, edge_type = 'WIKI_LINK' as bidirectional, min(ordinal)::bigint as ordinal from {{0}} group by all"
 
 _EMBEDDED = ", ".join(f"('{k}', '{h}')" for k, _, _, names, _ in dims.KINDS for h in names)
 # Paragraphs go one by one into the buffer of their section: (written chunks, the buffer's text, size, last part, start).

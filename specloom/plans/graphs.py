@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..operators import extract as E
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..runtime import cut
@@ -105,16 +106,23 @@ def bfs_edges(spark, d):
 
 
 def impact_direct(spark, d):
-    return R.impact(_kept(graph(spark, d)), HUB).direct
+    return R.impact(graph(spark, d), HUB).direct
 
 
 def impact_transitive(spark, d):
-    t = R.impact(_kept(graph(spark, d)), HUB, depth=2).transitive
+    t = R.impact(_kept(graph(spark, d)), HUB).transitive
     return t.select("node_id", "kind", F.array_join("path", ">").alias("path"), F.array_join("edge_types", ">").alias("edge_types"))
 
 
 def impact_scenarios(spark, d):
-    return R.impact(_kept(graph(spark, d)), HUB, depth=2).scenarios
+    """The scenarios to run again. The tables hold none: each requirement's traces are written as a feature file, which goes through the extraction and is added to the graph."""
+    g = _kept(graph(spark, d), True)
+    traces = g.edges.filter("edge_type = 'REQ_TRACES_TO'").groupBy("from_node").agg(F.array_sort(F.collect_set(F.concat(F.lit("@"), F.expr("substr(to_node, instr(to_node, ':') + 1)")))).alias("tags"))
+    content = F.concat(F.lit("Feature: "), "from_node", F.lit("\n\n  "), F.array_join("tags", " "), F.lit("\n  Scenario: check "), "from_node", F.lit("\n    Given that\n"))
+    files = traces.select(F.concat(F.lit("specs/04-verification/examples/"), F.translate("from_node", ":", "_"), F.lit(".feature")).alias("path"), content.alias("content"))
+    said, checks = E.features(files)
+    more = G.Graph(g.nodes.unionByName(said.select(*g.nodes.columns)), g.edges, g.orphans)
+    return R.impact(_kept(G.insert(more, checks.withColumn("edge_id", F.lit(None).cast("bigint")).select(*g.edges.columns))), HUB).scenarios
 
 
 def semantic_topk(spark, d):
@@ -243,7 +251,44 @@ content as (select id, kind, source_file, if(length(t) > 300, substr(t, 1, 297)
 
 _ONE_HOP = "select 'Entity:ZonaComun' as id, 0 as distance union all select distinct case when from_node = 'Entity:ZonaComun' then to_node else from_node end, 1 from g where (from_node = 'Entity:ZonaComun') <> (to_node = 'Entity:ZonaComun')"
 
+_BACK = f"""with {GRAPH_SQL}, b as (select to_node as a, from_node as b, coalesce(edge_type, '') as t from g),
+d1 as (select b as id, min(t) as t from b where a = '{HUB}' and b <> '{HUB}' group by b),
+d2 as (select b.b as id, min((d1.id, d1.t, b.t)) as w from d1 join b on b.a = d1.id where b.b <> '{HUB}' and b.b not in (select id from d1) group by b.b),
+d3 as (select b.b as id, min((d2.w[1], d2.id, d2.w[2], d2.w[3], b.t)) as w from d2 join b on b.a = d2.id where b.b <> '{HUB}' and b.b not in (select id from d1) and b.b not in (select id from d2) group by b.b)"""
+_TAGGED = "case " + " ".join(f"when starts_with(target, '{s}') then '{p}:' || target" for s, p in dims.LINK_PREFIXES) + " else 'Entity:' || target end"
+
+
+def _hints(hints: list[str]) -> str:
+    """Common tables up to ``hint`` (id, place, method): of each hint the first way that finds a node no earlier hint has found."""
+    text = "lower(concat_ws(' ', n.id, array_to_string(n.aliases, ' '), array_to_string(map_values(n.indexed_fields), ' ')))"
+    says = lambda words: " and ".join([_LEX.replace("'marea'", f"'{words[0].lower()}'"), *(f"contains({text}, '{w.lower()}')" for w in words[1:])])
+    named = lambda x: "n.id in (" + ", ".join(f"'{p}:{y}'" for y in dict.fromkeys([x, x[:1].upper() + x[1:]]) for _, p, *_r in dims.KINDS) + ")"
+    out, old = [], "select null as id where false"
+    for k, h in enumerate(hints):
+        path, base = "/" in h or "." in h, R._basename(h)
+        ways = [(0, "exact", f"n.id = '{h}'")] if ":" in h else []
+        ways += [(1, "basename", named(base)), (2, "text_search", says([base]))] if path else [(1, "exact", named(h))] if ":" not in h else []
+        ways += [(3, "text_search", says(h.split()))] if h.split() else []
+        rows = " union all ".join(f"select n.id, {w} as way, '{m}' as method from n where {c}" for w, m, c in ways)
+        out.append(f"way{k} as ({rows}), old{k} as ({old}), pick{k} as (select case when bool_or(way = 0) then 0 else min(way) filter (id not in (select id from old{k})) end as way from way{k})")
+        out.append(f"new{k} as (select id, {k} as place, method from way{k} where way = (select way from pick{k}) and id not in (select id from old{k}))")
+        old = " union all ".join(f"select id from new{j}" for j in range(k + 1))
+    return ", ".join(out) + ", hint as (" + " union all ".join(f"select * from new{j}" for j in range(len(hints))) + ")"
+
+
+_ARROW = "from_node || ' -> ' || coalesce(edge_type, '') || ' -> ' || to_node"
+_KEY = "concat_ws(chr(1), source_file, lpad(coalesce(ordinal, 0)::varchar, 20, '0'), coalesce(edge_type, ''))"
+_DISCOVERED = f"""found as (
+  select id, id as via, 0 as distance, place, 0 as step, '' as key from hint
+  union all select to_node, {_ARROW}, 1, place, 1, {_KEY} from g join hint on hint.id = from_node
+  union all select from_node, {_ARROW}, 1, place, 2, {_KEY} from g join hint on hint.id = to_node),
+disc as (select id, unnest(min({{'place': place, 'step': step, 'key': key, 'via': via, 'distance': distance}})) from found group by id),
+item as (select content.*, via, distance, place, step, key, ceil(length(concat_ws(' ', content.id, kind, content, coalesce(source_file, ''), via)) / 4.0)::bigint as tokens from content join disc using (id)),
+kept as (select *, row_number() over w as rank, sum(tokens) over w as total from item window w as (order by priority, distance, place, step, key, id rows between unbounded preceding and current row))"""
+
 ORACLE = {
+    "context_hints": f"with {NODES_SQL}, {_hints(HINTS)}, said as (from (values " + ", ".join(f"({k}, '{h}')" for k, h in enumerate(HINTS)) + ") t(place, hint)) select id as node_id, hint, place, method from hint join said using (place)",
+    "context_budget": f"with {GRAPH_SQL}, {_hints(HINTS)}, {_CONTENT}, {_DISCOVERED} select rank, id as node_id, kind, content, source_file, via, priority, tokens from kept where total <= 600",
     "edge_build_dedupe": f"with {GRAPH_SQL} select from_node, to_node, edge_type, edge_id, source_file, ordinal from g",
     "orphan_edges": f"with {GRAPH_SQL} select from_node, to_node, edge_type, source_file, from_exists, to_exists, case when not from_exists and not to_exists then 'both_missing' when not from_exists then 'missing_source' else 'missing_target' end as reason from x where not (from_exists and to_exists)",
     "orphan_edges_typed": f"with {GRAPH_SQL} select from_node, to_node, edge_type, source_file, from_exists, to_exists, case when not from_exists and not to_exists then 'both_missing' when not from_exists then 'missing_source' else 'missing_target' end as reason from x where not (from_exists and to_exists) and edge_type in ('EMITS', 'ENTITY_RULE')",
@@ -265,11 +310,13 @@ r0 as (select 'Entity:ZonaComun' as id), r1 as (select distinct b as id from nea
 r as (select id, 1 as distance from r1 union all select id, 2 from r2) select id as node_id, distance from n join r using (id) where kind in ('event', 'entity', 'business-rule')""",
     "bfs_edges": _REACH + ", i as (from r0 union from r1) select from_node, to_node, edge_type from u where from_node in (from i) or to_node in (from i)",
     "impact_direct": f"with {GRAPH_SQL}, t as (from (values " + ", ".join(f"('{k}', '{v}')" for k, v in R.IMPACT.items()) + f") t(edge_type, w)) select n.id as node_id, n.kind, g.edge_type, coalesce(w, 'Connected via ' || coalesce(g.edge_type, '')) || ' — change type: modify_attribute' as impact_description from g join n on n.id = from_node left join t on t.edge_type = g.edge_type where to_node = '{HUB}'",
-    "impact_transitive": f"""with {GRAPH_SQL}, b as (select to_node as a, from_node as b, coalesce(edge_type, '') as t from g),
-d1 as (select b as id, min(t) as t from b where a = '{HUB}' and b <> '{HUB}' group by b),
-d2 as (select b.b as id, min((d1.id, d1.t, b.t)) as w from d1 join b on b.a = d1.id where b.b <> '{HUB}' and b.b not in (select id from d1) group by b.b)
-select d2.id as node_id, n.kind, '{HUB}>' || w[1] || '>' || d2.id as path, w[2] || '>' || w[3] as edge_types from d2 join n using (id)""",
-    "impact_scenarios": f"with {GRAPH_SQL} select n.id as node_id, coalesce(indexed_fields['title'], n.id) as scenario_name, 'Validates ' || to_node || ' which is affected' as reason from g join n on n.id = from_node where edge_type = 'VALIDATES'",
+    "impact_transitive": f"""{_BACK}
+select d2.id as node_id, n.kind, '{HUB}>' || w[1] || '>' || d2.id as path, w[2] || '>' || w[3] as edge_types from d2 join n using (id)
+union all select d3.id, n.kind, '{HUB}>' || w[1] || '>' || w[2] || '>' || d3.id, w[3] || '>' || w[4] || '>' || w[5] from d3 join n using (id)""",
+    "impact_scenarios": f"""{_BACK}, hit as (select '{HUB}' as id union select id from d1 union select id from d2 union select id from d3),
+tag as (select distinct from_node, regexp_extract(substr(to_node, instr(to_node, ':') + 1), '^[A-ZÀ-Þ][\p{{L}}\p{{N}}_-]*') as target from g where edge_type = 'REQ_TRACES_TO'),
+goal as (select from_node, {_TAGGED} as to_node from tag where target <> '')
+select distinct 'Scenario:' || replace(from_node, ':', '_') || '-1' as node_id, 'check ' || from_node as scenario_name, 'Validates ' || to_node || ' which is affected' as reason from goal where to_node in (select id from hit) and to_node in (select id from n)""",
     "semantic_topk": f"with {_HITS} select id, round(score, 6) as score from h where score >= 0.1 order by score desc, id limit 30",
     "semantic_nodes": f"with {NODES_SQL}, {_DOCS}, {_HITS}, s as (select node_id, max(score) as score from (select * from h where score >= 0.1 order by score desc, id limit 30) t join docs on docs.doc = split_part(t.id, ':chunk-', 1) group by node_id) select node_id, round(score, 6) as score, {_LABEL.format(n='n')} as snippet, 'semantic' as match_source from s join n on n.id = node_id where kind in ('entity', 'use-case', 'command', 'event') order by s.score desc, node_id limit 10",
     "lexical_search": f"with {NODES_SQL} select id, kind from n where {_LEX}",

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import dims
 from ..operators.extract import EDGES, Index
 from ..operators.retrieval import QueryError
+from ..runtime import cut
 
 NODES = "id string, kind string, source_file string, source_hash string, layer string, status string, aliases array<string>, domain string, indexed_fields map<string,string>, indexed_at timestamp_ntz"
 META = "id string, document_id string, document_kind string, section_path string, chunk_index int, raw_text string, context_text string, model string, dimensions int, text_hash string, generated_at timestamp_ntz"
@@ -38,12 +40,16 @@ def _rows(spark: SparkSession, schema: str) -> DataFrame:
 # Reading -------------------------------------------------------------------------------------------------------------
 
 
-def spec_files(spark: SparkSession, root: str, patterns: str = "*.md") -> DataFrame:
-    """(path, content) of all files below a folder, paths relative to it. ``patterns`` may be a glob such as ``*.{md,yaml}``. Unreadable files are skipped."""
+def spec_files(spark: SparkSession, root: str, patterns: str = "*.{md,yaml,yml,feature}", unread: bool = False) -> DataFrame:
+    """(path, content) of all files below a folder, paths relative to it, by a glob of names. Files that can't be read are left out, or have a null content if ``unread`` asks for them: the
+    folder's listing is joined, which opens no file."""
     at = root.rstrip("/")
-    r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", patterns).option("ignoreCorruptFiles", True).text(at, wholetext=True)
-    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    return r.select(_relative(name, at).alias("path"), F.col("value").alias("content"))
+    found = lambda r: r.option("recursiveFileLookup", True).option("pathGlobFilter", patterns)
+    name = lambda c: _relative(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), at)
+    texts = found(spark.read).option("ignoreCorruptFiles", True).text(at, wholetext=True).select(name(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+    if not unread:
+        return texts
+    return found(spark.read.format("binaryFile")).load(at).select(name(F.col("path")).alias("path")).join(texts, "path", "left")
 
 
 def _relative(name, root: str):
@@ -51,14 +57,6 @@ def _relative(name, root: str):
     return F.substring_index(name, base.rstrip("/") + "/", -1)
 
 
-def feature_scenarios(spark: SparkSession, root: str) -> DataFrame:
-    """(path, scenario, tags) of the scenarios in ``.feature`` files, with the ids their tags name: sources of VALIDATES edges."""
-    f = spec_files(spark, root, "*.feature")
-    name = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:Scenario|Escenario)(?: Outline)?:\s*(.+?)\s*$"), F.lit(1)))
-    tags = F.array_distinct(F.regexp_extract_all("content", F.lit(r"@([A-Z]+-[\w-]+)"), F.lit(1)))
-    return f.select("path", tags.alias("tags"), name.alias("scenario"))
-
-
 def load_nodes(spark: SparkSession, path: str) -> DataFrame:
     """All node files; missing folder: none."""
     at = f"{path}/nodes"
@@ -137,6 +135,23 @@ def read_section(spark: SparkSession, root: str, file: str, anchor: str | None =
     return got["content"]
 
 
+def delete_document(spark: SparkSession, path: str, kind: str, document_id: str) -> dict[str, int]:
+    """Take a document out of the file layout: its node file, its chunk files, the edges that start at it. Gives how many files and edges went; deleting it again takes nothing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    for name in (f"nodes/{kind}/{document_id}.json", f"embeddings/{kind}/{document_id}.json", f"embeddings/{kind}/{document_id}.f32"):
+        at = hadoop.Path(f"{path}/{name}")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        gone += bool(fs.exists(at) and fs.delete(at, False))
+    edges = load_edges(spark, path)
+    prefix = next((p for k, p, *_ in dims.KINDS if k == kind), kind)
+    mine = edges.filter(F.col("from_node") == f"{prefix}:{document_id}").count()
+    if mine:
+        kept = cut(edges.filter(F.col("from_node").isNull() | (F.col("from_node") != f"{prefix}:{document_id}")))
+        kept.write.mode("overwrite").json(f"{path}/edges")
+    return {"files": gone, "edges": mine}
+
+
 # Writing -------------------------------------------------------------------------------------------------------------
 
 
