@@ -127,5 +127,6 @@ ORACLE = {
     "extracted_fields": f"{_SPECS}, {_FOUND}, {_DEEP} select id, source_file, field, if(mode = 'list', {_ITEMS}, content) as value from own where mode in ('text', 'list') union all select id, source_file, field, value from own join deep using (doc_id, field)",
     "extracted_edges": f"{_SPECS}, {_EDGES}, {_RELATED}, given as (select * from relation where k = 1), {_table('given', 'id', 't')}, rows_ as (select distinct id, pos from cell), at_ as ({_links('(select c.id, c.pos as row_, c.name, c.value, n.i from cell c join (select distinct id, name, i from pair) n using (id, name))', 'id, row_, i', 'value')}), one as (select id, row_, arg_min(node, (i, pos)) as node from at_ group by all), every_ as (select * from typed union all select id, node, 'DOMAIN_RELATION', 1000000 + row_ from one) {_FIRST.format('every_')}",
     "extracted_chunks": f"{_SPECS}, {_CHUNKS} select bare || ':chunk-' || n as id, bare as document_id, kind as document_kind, heading as section_path, n::int as chunk_index, o::int as char_offset, t as raw_text, 'Document: ' || bare || chr(10) || 'Kind: ' || kind || chr(10) || 'Layer: 02-behavior' || coalesce(chr(10) || 'Title: ' || title, '') || chr(10) || 'Section: ' || heading || chr(10) || chr(10) || t as context_text, sha256(t) as text_hash from chunk",
+    "encoded_chunks": f"{_SPECS}, {_CHUNKS} select bare || ':chunk-' || n as id, 'hashing' as model, 32 as dimensions, 32 as size from chunk",
     "index_log": f"with {_DOCS} select prefix.kind is not null as indexed, if(prefix.kind is null, 'No valid kind in front-matter', null) as skipped_reason, prefix.kind is not null as warned, count(*) as files from doc left join prefix using (kind) group by all",
 }

@@ -103,7 +103,7 @@ def extracted_chunks(spark, d):
 
 
 def encoded_chunks(spark, d):
-    c = E.encode(E.chunks(E.documents(_files(spark, d)), merged=True), HashingEncoder(32), "hashing", 32)
+    c = E.encode(E.chunks(E.documents(_files(spark, d))), HashingEncoder(32), "hashing", 32)
     return c.select("id", "model", "dimensions", F.size("vector").alias("size"))
 
 
