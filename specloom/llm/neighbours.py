@@ -417,6 +417,16 @@ def similar(points: DataFrame, k: int = 10, floor: float | None = None, factor:
     return index.neighbours(index.answers(factor, floor, probes))
 
 
+def closed(similarities: DataFrame, k: int) -> DataFrame:
+    """Similarities found from either side: an answer of one is a candidate of the other, each keeps its k best. What a relaxed search loses it seldom loses from both sides.
+
+    Copies of one vector may name one id very often; a ranking keeps k rows an id in each task before it shuffles."""
+    back = similarities.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "score")
+    both = similarities.select("id", "neighbour", "score").unionByName(back).groupBy("id", "neighbour").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "neighbour")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "score")
+
+
 def mutual(similarities: DataFrame) -> DataFrame:
     """(id_a, id_b, score): pairs of which each is an answer of the other, id_a < id_b by bytes."""
     a = F.least("id", "neighbour").alias("id_a")

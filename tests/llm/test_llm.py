@@ -323,6 +323,13 @@ def test_unusable_vectors_and_mutual_pairs(spark):
     assert neighbours.similar(neighbours.current_points(c.limit(0)), 10, floor=0.95).count() == 0
 
 
+def test_closed_finds_from_either_side(spark):
+    s = spark.createDataFrame([("a", 1, "b", 0.9), ("a", 2, "c", 0.8), ("b", 1, "a", 0.9), ("d", 1, "a", 0.95)], "id string, rank int, neighbour string, score double")
+    assert rows(neighbours.closed(s, 2), "id", "rank", "neighbour") == [("a", 1, "d"), ("a", 2, "b"), ("b", 1, "a"), ("c", 1, "a"), ("d", 1, "a")]
+    assert rows(neighbours.mutual(neighbours.closed(s, 2)), "id_a", "id_b") == [("a", "b"), ("a", "d")]
+    assert neighbours.closed(s.limit(0), 2).count() == 0
+
+
 # Encoding
 
 
