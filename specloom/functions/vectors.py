@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -62,3 +63,43 @@ class HashingEncoder:
                 row[h % self.dimensions] += 1.0 if h >> 63 else -1.0
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(lengths == 0, 1, lengths)).astype(np.float32).tolist()
+
+
+# Names of encoder models and their dimensions; the first is the default.
+MODELS = {"all-MiniLM-L6-v2": 384, "all-mpnet-base-v2": 768, "paraphrase-multilingual-MiniLM-L12-v2": 384}
+_LOADERS: dict[str, Callable[[], Callable[[list[str]], list]]] = {}
+
+
+def register_model(name: str, dimensions: int, load: Callable[[], Callable[[list[str]], list]]) -> None:
+    """Make a model known. ``load`` runs once a worker and gives a function from texts to token vectors (a matrix and a mask a text, see ``pooled``) or to finished vectors."""
+    MODELS[name], _LOADERS[name] = dimensions, load
+
+
+def pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Unit vectors of texts: the mean of the vectors (text, token, dimension) of their tokens that the mask (text, token) keeps; zero where it keeps none."""
+    weights = mask.astype(np.float64)[:, :, None]
+    mean = (tokens * weights).sum(1) / np.maximum(weights.sum(1), 1)
+    length = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(length == 0, 1, length)
+
+
+class ModelEncoder:
+    """The encoder of a named model, loaded when it is first called; until one is registered, the hashing stand-in of the model's dimensions. Travels to workers by its name."""
+
+    def __init__(self, name: str | None = None):
+        self.name = name or next(iter(MODELS))
+        if self.name not in MODELS:
+            raise ValueError(f"unknown model {self.name}")
+        self.dimensions, self._load, self._run = MODELS[self.name], _LOADERS.get(self.name), None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_run": None}
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        if self._run is None:
+            self._run = self._load() if self._load else HashingEncoder(self.dimensions)
+        got = self._run(texts)
+        out = pooled(*got) if isinstance(got, tuple) else np.asarray(got, np.float64)
+        if out.shape != (len(texts), self.dimensions):
+            raise ValueError(f"{self.name} gives {out.shape}, not {(len(texts), self.dimensions)}")
+        return out.astype(np.float32).tolist()

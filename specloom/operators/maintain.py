@@ -20,6 +20,36 @@ def diff(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     return both.select("source_file", F.when(F.col("o").isNull(), "A").when(F.col("n").isNull(), "D").when(F.col("o.h").eqNullSafe(F.col("n.h")), same).otherwise("M").alias("change"))
 
 
+def run_kind(manifest: dict | None, commit: str | None, known: bool, changes: DataFrame, force: bool = False) -> str:
+    """What an index run does: 'full' without a manifest, without its commit, or where that commit is not ``known`` any more, or if forced; 'none' where no spec changed (the manifest
+    then stays as it is); else 'incremental'."""
+    if force or not manifest or not manifest.get("git_commit") or not known:
+        return "full"
+    if commit is not None and commit == manifest["git_commit"]:
+        return "none"
+    return "none" if changes.filter("change <> '='").isEmpty() else "incremental"
+
+
+# The event types of documents, of queries and of merges, and the state that a document's event puts it in.
+EVENT_TYPES = {
+    "Document-Detected": "detected", "Document-Parsed": "parsing", "Document-Indexed": "indexed", "Document-Stale": "stale", "Document-Deleted": "deleted",
+    "Query-Received": None, "Query-Completed": None, "Query-Failed": None, "Merge-Requested": None, "Merge-Completed": None,
+}
+
+
+def document_events(changes: DataFrame, log: DataFrame, at) -> DataFrame:
+    """(source_file, step, event_type, state, at): the events of one run, by what changed (source_file, change) and what became of each file (source_path, node_id, skipped_reason).
+
+    An added file is detected, parsed and indexed; a modified one stale first; a deleted one deleted. A skipped file is detected only. Unchanged files give none."""
+    done = log.groupBy(F.col("source_path").alias("source_file")).agg(F.max(F.col("node_id").isNotNull()).alias("indexed"))
+    steps = {"A": ["Document-Detected", "Document-Parsed", "Document-Indexed"], "M": ["Document-Stale", "Document-Parsed", "Document-Indexed"], "D": ["Document-Deleted"]}
+    of = F.create_map(*[x for k, v in steps.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    rows = changes.filter(F.col("change").isin(*steps)).join(done, "source_file", "left").select("source_file", F.col("change"), "indexed", F.posexplode(of[F.col("change")]).alias("step", "event_type"))
+    rows = rows.filter((F.col("change") == "D") | (F.col("step") == 0) | F.coalesce("indexed", F.lit(False)))
+    state = F.create_map(*[F.lit(x) for kv in EVENT_TYPES.items() if kv[1] for x in kv])[F.col("event_type")]
+    return rows.select("source_file", "step", "event_type", state.alias("state"), F.lit(at).cast("timestamp_ntz").alias("at"))
+
+
 @dataclass
 class Tables:
     nodes: DataFrame

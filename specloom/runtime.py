@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``; where it is unset, in local mode (tests), one of our own, elsewhere an error."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if at is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="specloom-checkpoint-")
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()

@@ -264,3 +264,103 @@ def test_command_line(spark, tmp_path, capsys):
         assert code == 0 and out, a
     assert say("graph", "nobody", *ix)[0] == 1
     assert say("section", str(tmp_path), "uc.md", "--anchor", "description")[1].startswith("## Description")
+
+
+FEATURE = "@Pedido\nFeature: Pedidos\n\n  Background:\n    Given x\n\n  @UC-001 @smoke\n  Scenario: crear uno\n    When y\n\n  @BR-1\n  Escenario: otro más\n  Scenario Outline: sin nada\n"
+
+
+def test_feature_files_validate(spark):
+    assert E.scenarios_of(FEATURE) == [("Pedidos", "crear uno", ["Pedido", "UC-001"]), ("Pedidos", "otro más", ["Pedido", "BR-1"]), ("Pedidos", "sin nada", ["Pedido"])]
+    assert E.scenarios_of(None) == [] and E.scenarios_of("") == []
+    files = spark.createDataFrame([("specs/04-verification/examples/a.feature", FEATURE), ("b.feature", None), ("c.feature", "nothing"), ("01-domain/entities/Pedido.md", ENTITY)], "path string, content string")
+    made = E.index(files)
+    assert rows(made.nodes.filter("kind = 'scenario'"), "id", "layer") == [(f"Scenario:a-{k}", "04-verification") for k in (1, 2, 3)]
+    assert ("Scenario:a-1", "UC:UC-001", "VALIDATES") in rows(made.edges, "from_node", "to_node", "edge_type")
+    assert made.log.count() == 1
+    assert E.features(files.limit(0))[0].count() == 0
+
+
+def test_registered_kinds_yaml_and_unread_files(spark, tmp_path):
+    reg = E.Registry().register("risk", "RISK", "05-risks/", ("Causa",), fields=(("cause", ("Causa",), "text"), ("size", lambda: F.upper(F.col("front")["size"]))), links=(("THREATENS", ("Causa",), ("BR-",), False),))
+    files = spark.createDataFrame([("05-risks/r.md", "---\nid: R-1\nkind: risk\nsize: big\n---\n# R\n## Causa\nver [[BR-7]] y [[Otro]]"), ("x/e.yaml", "id: E-1\nkind: entity\ntitle: Uno"), ("x/f.yml", "---\nid: E-2\nkind: entity"), ("lost.md", None)], "path string, content string")
+    made = E.index(files, "L2", registry=reg)
+    assert rows(made.nodes, "id", "kind") == [("Entity:E-1", "entity"), ("Entity:E-2", "entity"), ("RISK:R-1", "risk")]
+    assert made.nodes.filter("id = 'RISK:R-1'").first()["indexed_fields"] == {"cause": "ver [[BR-7]] y [[Otro]]", "size": "BIG"}
+    assert ("RISK:R-1", "BR:BR-7", "THREATENS") in rows(made.edges, "from_node", "to_node", "edge_type") and made.chunks.count() == 1
+    assert rows(made.log.filter("skipped_reason is not null"), "source_path", "skipped_reason") == [("lost.md", "File can't be read")]
+    assert E.index(files).nodes.count() == 2 and not E.DEFAULT.has("risk")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.md").write_text("x")
+    assert rows(store.spec_files(spark, str(tmp_path), unread=True), "path", "content") == [("a/x.md", "x")]
+
+
+def test_delete_a_stored_document(spark, files, tmp_path):
+    made = E.index(files, "L2", lambda t: [[1.0, 2.0] for _ in t], "m", 2)
+    at = str(tmp_path / "index")
+    store.export(made.nodes, made.edges, made.chunks, at, store.manifest_of(made, "L2", "m", 2, []))
+    nodes, edges = store.load_nodes(spark, at).count(), store.load_edges(spark, at).count()
+    mine = made.edges.filter("from_node = 'Entity:Pedido'").count()
+    assert store.delete_document(spark, at, "entity", "Pedido") == {"files": 3, "edges": mine} and mine > 0
+    assert store.load_nodes(spark, at).count() == nodes - 1 and store.load_edges(spark, at).count() == edges - mine
+    assert store.load_embeddings(spark, at).filter("document_id = 'Pedido'").count() == 0
+    assert store.delete_document(spark, at, "entity", "Pedido") == {"files": 0, "edges": 0}
+
+
+def test_runs_and_events(spark):
+    c = spark.createDataFrame([("a", "A"), ("m", "M"), ("d", "D"), ("s", "="), ("k", "A")], "source_file string, change string")
+    log = spark.createDataFrame([("a", "E:a", None), ("m", "E:m", None), ("k", None, "no kind")], "source_path string, node_id string, skipped_reason string")
+    got = [(r["source_file"], r["event_type"], r["state"]) for r in M.document_events(c, log, "2024-01-01").orderBy("source_file", "step").collect()]
+    assert [g for g in got if g[0] == "m"] == [("m", "Document-Stale", "stale"), ("m", "Document-Parsed", "parsing"), ("m", "Document-Indexed", "indexed")]
+    assert [g[1] for g in got if g[0] == "k"] == ["Document-Detected"] and [g[1] for g in got if g[0] == "d"] == ["Document-Deleted"] and not [g for g in got if g[0] == "s"]
+    m = {"git_commit": "abc"}
+    assert M.run_kind(None, "x", True, c) == "full" == M.run_kind(m, "x", False, c) == M.run_kind(m, "x", True, c, True)
+    assert M.run_kind(m, "x", True, c) == "incremental" and M.run_kind(m, "abc", True, c) == "none" == M.run_kind(m, "x", True, c.filter("change = '='"))
+
+
+def test_encoder_models():
+    from specloom.functions import vectors as V
+
+    assert len(V.ModelEncoder()(["uno"])[0]) == 384
+    V.register_model("own", 2, lambda: lambda texts: (np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]]] * len(texts)), np.array([[1, 1, 0]] * len(texts))))
+    assert np.allclose(V.ModelEncoder("own")(["x", "y"]), [[0.6, 0.8]] * 2) and V.pooled(np.ones((1, 2, 3)), np.zeros((1, 2))).tolist() == [[0, 0, 0]]
+    with pytest.raises(ValueError):
+        V.ModelEncoder("unheard of")
+
+
+def test_tools(spark, files, tmp_path):
+    import io
+    import threading
+    import urllib.request
+
+    from specloom import tools
+    from specloom.functions.vectors import HashingEncoder
+
+    specs, at = tmp_path / "specs", str(tmp_path / "index")
+    (specs / "d").mkdir(parents=True)
+    (specs / "d" / "x.md").write_text("# Uno\na\n## Dos\nb\n")
+    made = E.index(files, "L2", HashingEncoder(8), "hashing", 8)
+    store.save(made, at, store.manifest_of(made, "L2", "hashing", 8, []))
+    o = tools.Opened(spark, at, str(specs))
+    text = lambda tool, /, **k: tools.call(o, tool, k)["content"][0]["text"]
+    assert "UC:UC-001" in text("search", query="story", min_score=0.01) and "Entity:Pedido" in text("find_spec", name="Pedido")
+    assert json.loads(text("related", node_id="Entity:Pedido"))["nodes"] == {"rows": [], "cut": False} and "truncated" in json.loads(text("impact", node_id="UC:UC-001"))
+    assert text("read_section", file="d/x.md", anchor="dos") == "## Dos\nb" and json.loads(text("list", kind="entity"))["rows"][0]["id"] == "Entity:Pedido"
+    assert json.loads(text("stats"))["manifest"]["index_level"] == "L2" and json.loads(text("context", hints=["Pedido"]))["constraints"]["rows"]
+    assert json.loads(text("coverage", node_id="Entity:Pedido"))["percent"]["rows"] and "violations" in text("violations") and "rows" in text("semantic", query="pedido", min_score=0)
+    for name, args in (("related", {"node_id": "nobody"}), ("search", {}), ("search", {"query": "abc", "odd": 1}), ("nothing", {}), ("read_section", {"file": "../x"})):
+        assert tools.call(o, name, args)["isError"]
+    out = io.StringIO()
+    lines = ['{"jsonrpc": "2.0", "id": 1, "method": "initialize"}', "", '{"method": "notifications/initialized"}', '{"id": 2, "method": "tools/list"}', '{"id": 3, "method": "tools/call", "params": {"name": "list"}}', '{"id": 4, "method": "odd"}', "no json"]
+    tools.serve(o, io.StringIO("\n".join(lines)), out)
+    got = [json.loads(x) for x in out.getvalue().split("\n") if x]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, None] and len(got[1]["result"]["tools"]) == len(tools.TOOLS) and "error" in got[3] and "error" in got[4]
+    server = tools.http(o, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1/retrieve/"
+    assert json.load(urllib.request.urlopen(base + "list?kind=entity"))["rows"]
+    assert json.load(urllib.request.urlopen(urllib.request.Request(base + "impact", b'{"node_id": "UC:UC-001"}')))["direct"]
+    for bad, status in (("related?node_id=nobody", 400), ("odd", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(base + bad)
+        assert e.value.code == status
+    server.shutdown()

@@ -169,3 +169,39 @@ def test_context(spark, impact_graph):
 def test_encoder_is_deterministic():
     a, b = HashingEncoder(16)(["one two", "one two"])
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6 and sum(HashingEncoder(16)([""])[0]) == 0
+
+
+def test_insert_checks_new_edges_only(spark):
+    g = make(spark, [node(x) for x in "ABC"], [edge("A", "B", k=1)])
+    more = G.insert(g, spark.createDataFrame([edge("A", "B", k=2), edge("B", "C", k=3), edge("B", "C", k=4), edge("A", "X", k=5), edge("A", "B", None, 6)], EDGES))
+    assert rows(more.edges.select("from_node", "to_node", "edge_id"), "from_node", "to_node", "edge_id") == [("A", "B", 1), ("A", "B", 6), ("B", "C", 3)]
+    assert rows(more.orphans, "to_node", "reason") == [("X", "missing_target")] and rows(g.edges, "edge_id") == [(1,)]
+    again = G.insert(more, spark.createDataFrame([edge("A", "B", None, 7)], EDGES))
+    assert again.edges.count() == 3
+
+
+def test_results_report_violations_and_truncation(spark, impact_graph):
+    assert rows(R.related(impact_graph, "Entity:KDoc", 3, respect_layers=False).layer_violations, "from_node") == [("Event:E",)]
+    assert R.related(impact_graph, "Entity:KDoc", 1).layer_violations.count() == 0
+    assert R.impact(impact_graph, "Entity:KDoc", depth=1).truncated and not R.impact(impact_graph, "Entity:KDoc", depth=3).truncated
+    far = {r["node_id"]: r["impact_description"] for r in R.impact(impact_graph, "Entity:KDoc").transitive.collect()}
+    assert far["UC:UC-1"] == "Use case applies this rule — via BR:BR-1"
+    assert {r["category"] for r in R.coverage(impact_graph, "Entity:KDoc", also=True).collect()} == {"events", "business_rules", "use_cases", "requirements"}
+
+
+def test_large_sides_are_salted(spark, impact_graph, monkeypatch):
+    from specloom import runtime
+
+    want = {k: rows(f(), *c) for k, (f, c) in _asked(spark, impact_graph).items()}
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", -1)
+    assert {k: rows(f(), *c) for k, (f, c) in _asked(spark, impact_graph).items()} == want
+    g = make(spark, [node(x) for x in "AB"], [edge("A", "B", k=1), edge("A", "X", k=2), edge(None, "B", k=3)])
+    assert g.edges.count() == 1 and rows(g.orphans, "edge_id", "reason") == [(2, "missing_target"), (3, "missing_source")]
+
+
+def _asked(spark, g):
+    one = spark.createDataFrame([("Entity:KDoc", "x"), ("UC:UC-1", "y")], "id string, value string")
+    return {
+        "search": (lambda: G.search(g, one.select("id"), 2), ("root", "id", "distance")), "dependents": (lambda: G.dependents(g, one.select("id"), 3), ("root", "id", "distance")), "reaching": (lambda: G.reaching(g, one, 2)[-1], ("id", "lo", "hi")),
+        "traversed": (lambda: G.traversed(g, one.select("id")), ("from_node", "to_node", "edge_type")), "scenarios": (lambda: R.impact(g, "Entity:KDoc").scenarios, ("node_id",)), "context": (lambda: R.context(g, ["KDoc"], depth=2).items, ("id", "via", "distance")),
+    }
