@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,6 +234,17 @@ class Encoder:
         return np.diff(self._offsets(self.lengths[codes], counts))
 
 
+def _ship(docs: DataFrame, path: str) -> None:
+    """Send the rank file along with the job, for workers that do not have it at the driver's path."""
+    sc = docs.sparkSession.sparkContext
+    if not sc.master.startswith("local") and os.path.exists(path) and not any(f.endswith("/" + os.path.basename(path)) for f in sc.listFiles):
+        sc.addFile(path)
+
+
+def _here(path: str) -> str:
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -249,10 +261,11 @@ def _parts(batch: pa.RecordBatch, most_chars: int = 4_000_000) -> Iterator[pa.Re
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, ids): token ids of every row's text. One pass, no shuffle."""
     path, pattern = path or vocabulary(), pattern or split_pattern()
+    _ship(docs, path)
     id_field = docs.schema[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(_here(path), pattern)
         for batch in batches:
             for part in _parts(batch):
                 ids, offsets = enc.encode(part.column(1).to_pylist())
@@ -264,10 +277,11 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, tokens): number of tokens of every row's text."""
     path, pattern = path or vocabulary(), pattern or split_pattern()
+    _ship(docs, path)
     id_field = docs.schema[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(_here(path), pattern)
         for batch in batches:
             for part in _parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(enc.count(part.column(1).to_pylist()), pa.int64())], names=[id_col, "tokens"])
