@@ -129,12 +129,14 @@ def search(graph: Graph, roots: DataFrame, depth: int, edge_types: list[str] | N
     return seen
 
 
-def reaching(graph: Graph, seeds: DataFrame, depth: int, edge_types: list[str] | None = None, respect_layers: bool = True) -> list[DataFrame]:
+def reaching(graph: Graph, seeds: DataFrame, depth: int, edge_types: list[str] | None = None, respect_layers: bool = True, few: bool | None = None) -> list[DataFrame]:
     """For 0 to ``depth`` hops, (id, lo, hi): the least and the greatest ``value`` of the seeds (id, value) that reach a node within so many hops.
 
-    The state is one row a node, however many seeds there are: least and greatest of a union are those of its parts, so each hop is one join and one aggregation."""
+    ``few`` says whether the seeds, computed already, were measured as small. The state is one row a node, however many seeds there are: least and greatest of a union are those of its parts, so each hop is one join and one aggregation."""
     near = _both_ways(usable(graph.edges, edge_types, respect_layers))
-    state, small = measured(seeds.groupBy("id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    state, small = seeds.groupBy("id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), few
+    if few is None:
+        state, small = measured(state)
     out = [state]
     for hop in range(1, depth + 1):
         came = near_join(near, state, small, "id", "next").select(F.col("next").alias("id"), "lo", "hi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.text import snippet
 from ..functions.vectors import cosine_to
-from ..runtime import cut, measured, near_join
+from ..runtime import cut, measured, near_join, together
 from . import graph as G
 
 
@@ -354,17 +354,17 @@ def hybrid(graph: G.Graph, chunks: DataFrame | None, text: str, encode=None, exp
     spark, warnings = graph.nodes.sparkSession, []
     wanted = _of(graph.nodes, kinds, layers)
     none = spark.createDataFrame([], "node_id string, score double")
+    words = lambda: measured(lexical(wanted, text).select(F.col("id").alias("node_id"), F.lit(FLAT).alias("score")))
     if chunks is not None and (encode or vector is not None):
         v = vector if vector is not None else encode([text])[0]
-        sem = cut(chunk_nodes(nearest_chunks(chunks, v, limit * 3, min_score * 0.8, latest), graph.nodes))
+        (sem, few_sem), (lex, few_lex) = together(lambda: measured(chunk_nodes(nearest_chunks(chunks, v, limit * 3, min_score * 0.8, latest), graph.nodes)), words)
     else:
-        sem = none
+        (sem, few_sem), (lex, few_lex) = (none, True), words()
         warnings.append("NO_EMBEDDINGS: the index has no vectors, semantic search skipped")
-    lex = cut(lexical(wanted, text).select(F.col("id").alias("node_id"), F.lit(FLAT).alias("score")))
     near, expansion = none, lambda: graph.edges.limit(0)
     if expand:
         seeds = sem.select(F.col("node_id").alias("id")).unionByName(lex.select(F.col("node_id").alias("id"))).withColumn("value", F.col("id"))
-        hops = G.reaching(graph, seeds, depth, None, respect_layers)
+        hops = G.reaching(graph, seeds, depth, None, respect_layers, few_sem and few_lex)
         # a seed other than the node itself reaches it if the least or the greatest that does is another
         near = hops[-1].filter("lo <> id or hi <> id").select(F.col("id").alias("node_id"), F.lit(FLAT).alias("score"))
         expansion = lambda: G.traversed(graph, hops[-2], None, respect_layers)

@@ -8,7 +8,7 @@ from .. import dims
 from ..operators import extract as E
 from ..operators import graph as G
 from ..operators import retrieval as R
-from ..runtime import cut
+from ..runtime import cut, together
 from .base import CHUNKS_SQL, GRAPH_SQL, HUB, NEAR_SQL, NODES_SQL, VECTOR, VECTOR_SQL, chunks, graph, nodes, versions
 
 TYPES = ["EMITS", "ENTITY_RULE"]
@@ -85,8 +85,11 @@ def index_stats(spark, d):
 
 def _kept(g: G.Graph, nodes_too: bool = False) -> G.Graph:
     """The graph computed once for a search of several hops: narrow edges, cut from their lineage; the nodes as well where a query reads them more than twice."""
-    kept = cut(g.nodes.select("id", "kind", "layer", "domain", "source_file", "aliases", "indexed_fields")) if nodes_too else g.nodes
-    return G.Graph(kept, cut(g.edges.select(*KEYS, "source_file", "ordinal", "edge_id", "layer_violation")), g.orphans)
+    edges = lambda: cut(g.edges.select(*KEYS, "source_file", "ordinal", "edge_id", "layer_violation"))
+    if not nodes_too:
+        return G.Graph(g.nodes, edges(), g.orphans)
+    kept = lambda: cut(g.nodes.select("id", "kind", "layer", "domain", "source_file", "aliases", "indexed_fields"))
+    return G.Graph(*together(kept, edges), g.orphans)
 
 
 def bfs_depth1(spark, d):

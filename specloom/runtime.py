@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,12 @@ def measured(df: DataFrame) -> tuple[DataFrame, bool]:
     return done, (seen.get["bytes"] or 0) <= BROADCAST_BYTES
 
 
+def together(*parts: Callable):
+    """Run independent jobs side by side; small ones leave most cores idle if they wait for each other. Gives their results in order."""
+    with ThreadPoolExecutor(len(parts)) as pool:
+        return [f.result() for f in [pool.submit(p) for p in parts]]
+
+
 def near_join(links: DataFrame, side: DataFrame, small: bool, key: str, other: str) -> DataFrame:
     """The join of edges with ``side`` on ``key``. A small side is broadcast and no edge moves; else both shuffle, salted by the edges' column ``other``, so that a key that
     a tenth of all edges share lies in ``SALTS`` tasks."""
