@@ -85,9 +85,9 @@ def p7_faults(spark: SparkSession, sf_dir: str, window: str = "base") -> DataFra
     capacity = _capacity(spark, sf_dir, window)
     sizes = cut(bpe.count_tokens(_texts(spark, sf_dir)))
     w = cut(packing.pack(sizes, capacity))
-    over = w.groupBy("window_id").agg(F.sum("tokens").alias("n")).filter(F.col("n") > capacity).agg(F.count("*").alias("over"))
+    over = w.groupBy("window_id").agg(F.sum("tokens").alias("n")).filter(F.col("n") > capacity).agg(F.count("*").alias("too_full"))
     got = w.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"))
-    per = sizes.filter("tokens > 0").join(got, "doc_id", "left").agg(F.count_if((F.col("tokens") <= capacity) & (F.col("pieces") > 1)).alias("cut"), F.count_if(~F.col("tokens").eqNullSafe(F.col("placed"))).alias("lost"))
+    per = sizes.filter("tokens > 0").join(got, "doc_id", "left").agg(F.count_if((F.col("tokens") <= capacity) & (F.col("pieces") > 1)).alias("divided"), F.count_if(~F.col("tokens").eqNullSafe(F.col("placed"))).alias("lost"))
     return over.join(F.broadcast(per), F.lit(True))
 
 
@@ -112,7 +112,7 @@ t as (select * from (select *, row_number() over (partition by id order by round
 select t.id as id_a, t.other as id_b from t join t r on r.id = t.other and r.other = t.id where t.id < t.other""",
     "p2_rejoined": """select id, raw_text as text, true as fits, true as overlaps from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
 join encoder_models m using (model) where k = 1 and length(raw_text) > max_chars""",
-    "p7_faults": "select 0 as over, 0 as cut, 0 as lost",
+    "p7_faults": "select 0 as too_full, 0 as divided, 0 as lost",
     "p2_found": """select id from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
 join encoder_models m using (model) where k = 1 and length(raw_text) > max_chars""",
 }
