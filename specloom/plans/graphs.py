@@ -317,7 +317,7 @@ r as (select id, 1 as distance from r1 union all select id, 2 from r2) select id
 select d2.id as node_id, n.kind, '{HUB}>' || w[1] || '>' || d2.id as path, w[2] || '>' || w[3] as edge_types from d2 join n using (id)
 union all select d3.id, n.kind, '{HUB}>' || w[1] || '>' || w[2] || '>' || d3.id, w[3] || '>' || w[4] || '>' || w[5] from d3 join n using (id)""",
     "impact_scenarios": f"""{_BACK}, hit as (select '{HUB}' as id union select id from d1 union select id from d2 union select id from d3),
-tag as (select distinct from_node, regexp_extract(substr(to_node, instr(to_node, ':') + 1), '^[A-ZÀ-Þ][\p{{L}}\p{{N}}_-]*') as target from g where edge_type = 'REQ_TRACES_TO'),
+tag as (select distinct from_node, regexp_extract(substr(to_node, instr(to_node, ':') + 1), '^[A-ZÀ-Þ][\\p{{L}}\\p{{N}}_-]*') as target from g where edge_type = 'REQ_TRACES_TO'),
 goal as (select from_node, {_TAGGED} as to_node from tag where target <> '')
 select distinct 'Scenario:' || replace(from_node, ':', '_') || '-1' as node_id, 'check ' || from_node as scenario_name, 'Validates ' || to_node || ' which is affected' as reason from goal where to_node in (select id from hit) and to_node in (select id from n)""",
     "semantic_topk": f"with {_HITS} select id, round(score, 6) as score from h where score >= 0.1 order by score desc, id limit 30",
