@@ -31,14 +31,14 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text, fits, overlaps): the pieces of each text put together again without what they share, whether all are within the limit, and whether each starts with what the piece before it ends with."""
+    """(id, text, fits, shares): the pieces of each text put together again without what they share, whether all are within the limit, and whether each starts with what the piece before it ends with."""
     over = cut(splitting.oversized(table(spark, sf_dir, "chunk_embeddings"), table(spark, sf_dir, "encoder_models")))
     shared = F.least(F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)), F.floor((F.col("max_chars") - 1) / 2)).cast("int")
     p = splitting.split(over).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "text"))).alias("p")).join(over.select("id", "max_chars", shared.alias("shared")), "id")
     rest = F.slice("p", 2, F.size("p"))
     behind = F.zip_with(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), rest, lambda a, b: (a["start"] + F.length(a["text"]) - F.col("shared") == b["start"]) & (F.right(a["text"], F.col("shared")) == F.left(b["text"], F.col("shared"))))
     text = F.concat(F.col("p")[0]["text"], F.array_join(F.transform(rest, lambda x: F.substring(x["text"], F.col("shared") + 1, F.length(x["text"]))), ""))
-    return p.select("id", text.alias("text"), F.forall("p", lambda x: F.length(x["text"]) <= F.col("max_chars")).alias("fits"), F.forall(behind, lambda x: x).alias("overlaps"))
+    return p.select("id", text.alias("text"), F.forall("p", lambda x: F.length(x["text"]) <= F.col("max_chars")).alias("fits"), F.forall(behind, lambda x: x).alias("shares"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ ORACLE = {
 s as (select a.id, b.id as other, list_cosine_similarity(a.v, b.v) as c from u a join u b on a.model = b.model and a.doc <> b.doc and len(a.v) = len(b.v)),
 t as (select * from (select *, row_number() over (partition by id order by round(c, 9) desc, other) as k from s) r where k <= 10 and c >= 0.95)
 select t.id as id_a, t.other as id_b from t join t r on r.id = t.other and r.other = t.id where t.id < t.other""",
-    "p2_rejoined": """select id, raw_text as text, true as fits, true as overlaps from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
+    "p2_rejoined": """select id, raw_text as text, true as fits, true as shares from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
 join encoder_models m using (model) where k = 1 and length(raw_text) > max_chars""",
     "p7_faults": "select 0 as too_full, 0 as divided, 0 as lost",
     "p2_found": """select id from (select id, raw_text, model, row_number() over (partition by id order by generated_at desc) as k from chunk_embeddings) c
